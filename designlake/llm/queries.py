@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 
 
 def queries() -> dict:
-    return {"op6_source_mixing": mixing.op6_source_mixing, "op7_quality_rules": quality.op7_quality_rules}
+    return {f.__name__: f for f in (mixing.op6_source_mixing, quality.op7_quality_rules, simhash.op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
