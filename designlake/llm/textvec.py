@@ -43,11 +43,17 @@ WORD_BYTE = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)]
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts, and where each text's words begin (one more entry than texts)."""
+    h, first, _, _, _ = placed_words(texts)
+    return h, first
+
+
+def placed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words; and each word's first byte and end among the texts joined by a newline, and those bytes."""
     b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = np.array([len(t) + 1 for t in texts], np.int64)
     edge = np.diff(np.concatenate([[False], WORD_BYTE[b], [False]]).astype(np.int8))
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return span_hashes(prefix_sums(b), lo, hi), np.searchsorted(lo, np.r_[0, np.cumsum(size)])
+    return span_hashes(prefix_sums(b), lo, hi), np.searchsorted(lo, np.r_[0, np.cumsum(size)]), lo, hi, b
 
 
 def batches(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
