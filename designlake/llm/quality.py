@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import WORD, fresh, word_array
+from .store import WORD, bound, fresh, word_array
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = [
@@ -53,12 +53,13 @@ def _staged(df: DataFrame, text: Column) -> tuple[DataFrame, str]:
     q = fresh(df, "quality")
     t = F.coalesce(text, F.lit(""))
     low = F.array(*[F.lit(w) for w in STOP_WORDS])
-    df = df.withColumn(q, F.struct(word_array(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("lines"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("sym")))
+    df = bound(df, q, F.struct(word_array(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("lines"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("sym")))
     w = F.col(q)["w"]
     n = F.size(w)
     # a window's words hashed together, so that equal windows meet when the hashes are sorted
     h = F.transform(F.slice(w, 1, F.greatest(n - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)]))
-    df = df.withColumn(
+    df = bound(
+        df,
         q,
         F.struct(
             n.cast("long").alias("n_words"),
@@ -73,14 +74,14 @@ def _staged(df: DataFrame, text: Column) -> tuple[DataFrame, str]:
     )
     h = F.col(q)["h"]
     pairs = F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
-    df = df.withColumn(q, F.col(q).withField("h", pairs))
+    df = bound(df, q, F.col(q).withField("h", pairs))
     s = F.col(q)["h"]
     twice = F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["x"] == e["x"])).eqNullSafe(True) | (F.get(s, k + 1)["x"] == e["x"]).eqNullSafe(True))
-    df = df.withColumn(q, F.col(q).withField("h", F.sort_array(F.transform(twice, lambda e: e["i"]))))
+    df = bound(df, q, F.col(q).withField("h", F.sort_array(F.transform(twice, lambda e: e["i"]))))
     p = F.col(q)["h"]
     # each repeated window covers its words up to where the next repeated window starts
     cover = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    df = df.withColumn(q, F.col(q).dropFields("h").withField("n_repeat_words", F.coalesce(cover, F.lit(0)).cast("long")))
+    df = bound(df, q, F.col(q).dropFields("h").withField("n_repeat_words", F.coalesce(cover, F.lit(0)).cast("long")))
     return df, q
 
 
@@ -91,18 +92,16 @@ def measured(docs: DataFrame, rules=RULES, text: str = "text") -> tuple[DataFram
     per = lambda x, by: F.when(m[by] > 0, m[x] / m[by]).otherwise(0.0)
     ratios = {"mean_word_chars": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "n_words"), "stop_ratio": per("n_stop", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "stutter_ratio": per("n_stutter", "n_words")}
     base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    df = df.withColumn(q, F.struct(*[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop", "n_stutter", "n_repeat_words")], *[v.alias(k) for k, v in ratios.items()], base.alias("base_failed")))
+    df = bound(df, q, F.struct(*[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop", "n_stutter", "n_repeat_words")], *[v.alias(k) for k, v in ratios.items()], base.alias("base_failed")))
     broken = [F.when((m["n_words"] >= r.words) & ((m[r.metric] < r.low) | (m[r.metric] > r.high)), F.lit(r.name)) for r in rules]
-    df = df.withColumn(q, m.withField("broken", F.array_compact(F.array(*broken))))
-    return df.withColumn(q, m.withField("kept", ~m["base_failed"] & (F.size(m["broken"]) == 0))), q
+    df = bound(df, q, m.withField("broken", F.array_compact(F.array(*broken))))
+    return bound(df, q, m.withField("kept", ~m["base_failed"] & (F.size(m["broken"]) == 0))), q
 
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that break no rule, with their own columns."""
     df, q = measured(docs, rules)
-    # a plain filter would be pushed below the projection, with every step of it copied out at each use; one that
-    # holds a (never true) random test stays above
-    return df.where(F.when(F.rand(0) < 0, False).otherwise(F.col(q)["kept"])).drop(q)
+    return df.where(F.col(q)["kept"]).drop(q)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def bound(df: DataFrame, name: str, value) -> DataFrame:
+    """withColumn whose value is computed once per row: the optimizer copies no part of it into later steps."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
