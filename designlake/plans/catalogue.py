@@ -106,7 +106,7 @@ span AS (SELECT n.*, f.e FROM node n JOIN fin f USING (page_id, i)),
 par AS (SELECT c.page_id, c.i, c.tag, max(p.i) AS parent FROM span c LEFT JOIN span p ON p.page_id = c.page_id AND p.t < c.t AND p.e > c.t GROUP BY ALL)
 """
 
-LATEST = "SELECT user_id, count(*) AS n_events, arg_max(event_type, row(ts, event_id)) AS state, max(ts) AS "at" FROM events GROUP BY user_id"
+LATEST = 'SELECT user_id, count(*) AS n_events, arg_max(event_type, row(ts, event_id)) AS state, max(ts) AS "at" FROM events GROUP BY user_id'
 
 SQL = {
     "tag_tally": r"""
@@ -144,5 +144,5 @@ SELECT p.page_id, p.i, coalesce(k.n, 0) AS n_children, p.tag || '[' || coalesce(
     "meta_extract": r"""SELECT page_id, substr(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), 1, 200) AS title, nullif(trim(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1)), '') AS lang FROM pages""",
     "text_lines": "WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT doc_id, trim(line) AS line, min(pos) AS first_at, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(line)",
     "job_latest_state": LATEST,
-    "job_ttl_sweep": f"WITH j AS ({LATEST}) SELECT * FROM j WHERE j."at" < (SELECT max(j2."at") FROM j AS j2) - INTERVAL 30 MINUTE",
+    "job_ttl_sweep": f'WITH j AS ({LATEST}) SELECT * FROM j WHERE j."at" < (SELECT max(k."at") FROM j AS k) - INTERVAL 30 MINUTE',
 }
