@@ -8,12 +8,14 @@ That cannot meet any budget that grows with the input alone, so repeated interva
 1. Equal texts are merged; a text with copies is itself repeated.
 2. Every `length`-byte window has an anchor, its `gram`-byte substring of least hash, so equal windows have equal
    anchors. Windows in a row with one anchor form a zone of at most 2 * length bytes. Zones are named by the hash
-   of their bytes and the anchor's place: a zone whose name occurs twice is repeated as a whole.
-3. Where one anchor has zones of several names, one zone of each name is refined to its single windows, which are
-   counted by hash. A window found twice is repeated.
+   of their bytes and the anchor's place: a zone whose name occurs twice is repeated as a whole. A zone without a
+   second name for its core (here the anchor; what all windows of it contain) has nothing else to find.
+3. Where one core has several names, one zone of each name is cut into blocks of `BLOCK` windows by their distance
+   from the anchor. Blocks are named and judged likewise, by the bytes that all windows of a full block contain.
+4. What is still open is refined to single windows, which are counted by hash. A window found twice is repeated.
 
 No step lists pairs or gathers a group: names are counted with partial aggregation, and the shuffled rows are one
-per zone, about 2 / length of the bytes. Hashes have 64 bits.
+per zone, about 2 / length of the bytes, and few more where near copies differ. Hashes have 64 bits.
 
 Defined cases: null and empty texts have no bytes and nothing removed; repeated rows are copies of each other;
 copies shorter than `length` stay; an empty table gives an empty one; only doc_id and text are read.
@@ -34,6 +36,7 @@ from .textvec import batches, mix, prefix_sums, span_hashes
 
 LENGTH = 200
 GRAM = 32
+BLOCK = 16
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -55,26 +58,51 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def zones(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts joined to one: each zone's text number, first and last window, anchor hash and name; and prefix sums."""
+    """Each zone's text number, first and last window and anchor (places in the text), core and name."""
     b = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    s = prefix_sums(b)
+    size = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(size)
     none = np.zeros(0, np.int64)
+    empty = (none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     if len(b) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), s
+        return empty
+    s = prefix_sums(b)
     lo = np.arange(len(b) - gram + 1)
     h = span_hashes(s, lo, lo + gram)
     at = least_places(h, length - gram + 1)
     w = np.arange(len(at))
-    text = np.searchsorted(ends, w, side="right")
+    text = np.repeat(np.arange(len(texts)), size)[: len(at)]
     whole = w + length <= ends[text]
     w, at, text = w[whole], at[whole], text[whole]
     if not len(w):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), s
+        return empty
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-    first, last, anchor = w[new], w[np.r_[new[1:] - 1, len(w) - 1]], at[new]
-    name = mix(span_hashes(s, first, last + length) + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64))
-    return text[new], first, last, h[anchor], name, s
+    first, last, anchor, text = w[new], w[np.r_[new[1:] - 1, len(w) - 1]], at[new], text[new]
+    base = (ends - size)[text]
+    return text, first - base, last - base, anchor - base, h[anchor], _name(s, first, last, anchor, length)
+
+
+def _name(s: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the bytes of windows first to last, and of their places against the anchor."""
+    return mix(span_hashes(s, first, last + length) + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64))
+
+
+def _cut_up(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items of n parts each: every part's item, and its number in the item."""
+    item = np.repeat(np.arange(len(n)), n)
+    return item, np.arange(len(item)) - (np.cumsum(n) - n)[item]
+
+
+def blocks(text: bytes, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, length: int, block: int) -> tuple[np.ndarray, ...]:
+    """Windows lo to hi of anchors at, cut by distance from the anchor: first, last, anchor, core, name."""
+    near, far = (at - hi) // block, (at - lo) // block
+    item, k = _cut_up(far - near + 1)
+    j = near[item] + k
+    a = at[item]
+    first, last = np.maximum(lo[item], a - (j + 1) * block + 1), np.minimum(hi[item], a - j * block)
+    s = prefix_sums(np.frombuffer(text, np.uint8))
+    core = mix(span_hashes(s, a - j * block, a - (j + 1) * block + 1 + length) + j.astype(np.uint64))
+    return first, last, a, core, _name(s, first, last, a, length)
 
 
 def _merged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,35 +114,43 @@ def _merged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "hash"), cut(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
 
 
+ROWS = "key long, lo int, hi int, at int, core long, name long"
+
+
+def _frame(key, lo, hi, at, core, name) -> pd.DataFrame:
+    return pd.DataFrame({"key": key, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "at": at.astype(np.int32), "core": core.view(np.int64), "name": name.view(np.int64)})
+
+
 def _zone_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             t, key = p["bytes"].tolist(), p["key"].to_numpy()
-            for lo, hi in batches(t):
-                text, _, _, anchor, name, _ = zones(t[lo:hi], length, gram)
-                start = np.searchsorted(text, np.arange(hi - lo))
-                yield pd.DataFrame({"key": key[lo:hi][text], "zone": (np.arange(len(text)) - start[text]).astype(np.int32), "anchor": anchor.view(np.int64), "name": name.view(np.int64)})
+            for a, b in batches(t):
+                text, *zone = zones(t[a:b], length, gram)
+                yield _frame(key[a:b][text], *zone)
 
-    return texts.select("key", "bytes").mapInPandas(run, "key long, zone int, anchor long, name long")
+    return texts.select("key", "bytes").mapInPandas(run, ROWS)
 
 
-def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """texts (key, bytes, asked: sorted zones) to (key, at, hash) of every window of the asked zones."""
+def _finer_rows(texts: DataFrame, length: int, block: int) -> DataFrame:
+    """texts (key, bytes, asked: array of lo, hi, at) to rows of their blocks; of single windows if block is 1."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            t, key, asked = p["bytes"].tolist(), p["key"].to_numpy(), p["asked"].tolist()
-            for lo, hi in batches(t):
-                text, first, last, _, _, s = zones(t[lo:hi], length, gram)
-                begin = np.searchsorted(text, np.arange(hi - lo))
-                z = np.concatenate([begin[i] + np.asarray(asked[lo + i], np.int64) for i in range(hi - lo)])
-                n = (last - first + 1)[z]
-                w = np.repeat(first[z] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                base = np.r_[0, np.cumsum([len(x) for x in t[lo:hi]])]
-                doc = np.repeat(text[z], n)
-                yield pd.DataFrame({"key": key[lo:hi][doc], "at": w - base[doc], "hash": span_hashes(s, w, w + length).view(np.int64)})
+            for key, text, lo, hi, at in zip(p["key"], p["bytes"], p["lo"], p["hi"], p["at"]):
+                yield _frame(key, *blocks(text, *(np.asarray(x, np.int64) for x in (lo, hi, at)), length, block))
+
+    return texts.select("key", "bytes", *[F.col(f"asked.{c}").alias(c) for c in ("lo", "hi", "at")]).mapInPandas(run, ROWS)
+
 
-    return texts.select("key", "bytes", "asked").mapInPandas(run, "key long, at long, hash long")
+def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows to those whose name occurs twice (key, lo, hi), and those to refine: one of each name of a mixed core."""
+    names = cut(rows.groupBy("core", "name").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "at")).alias("first")), "names")
+    mixed = names.groupBy("core").agg(F.count("*").alias("names")).where("names > 1").select("core")
+    ask = names.join(mixed, "core", "left_semi").select("first.*")
+    ask = ask.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("asked"))
+    twice = rows.select("key", "lo", "hi", "core", "name").join(names.where("n > 1").select("core", "name"), ["core", "name"], "left_semi")
+    return twice.select("key", "lo", "hi"), ask
 
 
 def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,48 +161,37 @@ def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[new[1:] - 1, len(hi) - 1]]
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, hash), and per hash of a text: n_bytes, starts and ends of the removed runs, kept_sha256."""
     rows, texts = _merged(docs)
     z = cut(_zone_rows(texts.where(F.length("bytes") >= length), length, gram), "zones")
-    one = F.min(F.struct("key", "zone"))
-    names = cut(z.groupBy("anchor", "name").agg(F.count("*").alias("n"), one.alias("first")), "names")
-    mixed = names.groupBy("anchor").agg(F.count("*").alias("names")).where("names > 1").select("anchor", F.lit(True).alias("mixed"))
-    names = names.join(mixed, "anchor", "left").where("n > 1 or mixed")
-    # zones to refine: the first of each name. Zones found twice: every one of them.
-    ask = names.where("mixed").groupBy(F.col("first.key").alias("key")).agg(F.sort_array(F.collect_list("first.zone")).alias("asked"))
-    twice = z.join(names.where("n > 1").select("anchor", "name"), ["anchor", "name"]).groupBy("key").agg(F.collect_list("zone").alias("whole"))
-    windows = cut(_windows(texts.join(ask, "key"), length, gram), "windows")
-    found = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    single = windows.join(found, "hash").groupBy("key").agg(F.collect_list("at").alias("single"))
+    found, ask = _judged(z)
+    z = cut(_finer_rows(texts.join(ask, "key"), length, block), "blocks")
+    more, ask = _judged(z)
+    z = cut(_finer_rows(texts.join(ask, "key"), length, 1), "windows")
+    name = z.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    found = found.unionByName(more).unionByName(z.join(name, "name", "left_semi").select("key", "lo", "hi"))
+    found = found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.int64)
         for p in parts:
-            t = p["bytes"].tolist()
-            for lo, hi in batches(t):
-                q = p.iloc[lo:hi]
-                text, first, last, _, _, _ = zones(t[lo:hi], length, gram) if q["whole"].notna().any() else (none,) * 6
-                begin, base, out = np.searchsorted(text, np.arange(hi - lo)), 0, []
-                for i, (b, n, whole, at) in enumerate(zip(q["bytes"], q["copies"], q["whole"], q["single"])):
-                    if n > 1 and len(b) >= length:
-                        a, e = np.array([0]), np.array([len(b)])
-                    else:
-                        at = none if at is None else np.asarray(at, np.int64)
-                        k = none if whole is None else begin[i] + np.asarray(whole, np.int64)
-                        a, e = np.r_[first[k] - base, at], np.r_[last[k] - base + length, at + length]
-                        if len(a):
-                            a, e = _runs(a, e)
-                    sha, done = hashlib.sha256(), 0
-                    for x, y in zip(a.tolist(), e.tolist()):
-                        sha.update(b[done:x])
-                        done = y
-                    sha.update(b[done:])
-                    out.append((len(b), a, e, sha.hexdigest()))
-                    base += len(b)
-                yield pd.DataFrame({"hash": q["hash"].to_numpy(), "n_bytes": [x[0] for x in out], "starts": [x[1] for x in out], "ends": [x[2] for x in out], "kept_sha256": [x[3] for x in out]})
-
-    full = texts.join(twice, "key", "left").join(single, "key", "left").select("hash", "bytes", "copies", "whole", "single")
+            out = []
+            for b, n, lo, hi in zip(p["bytes"], p["copies"], p["lo"], p["hi"]):
+                if n > 1 and len(b) >= length:
+                    a, e = np.array([0]), np.array([len(b)])
+                elif lo is None:
+                    a = e = np.zeros(0, np.int64)
+                else:
+                    a, e = _runs(np.asarray(lo, np.int64), np.asarray(hi, np.int64) + length)
+                sha, done = hashlib.sha256(), 0
+                for x, y in zip(a.tolist(), e.tolist()):
+                    sha.update(b[done:x])
+                    done = y
+                sha.update(b[done:])
+                out.append((len(b), a, e, sha.hexdigest()))
+            yield pd.DataFrame({"hash": p["hash"].to_numpy(), "n_bytes": [x[0] for x in out], "starts": [x[1] for x in out], "ends": [x[2] for x in out], "kept_sha256": [x[3] for x in out]})
+
+    full = texts.join(found, "key", "left").select("hash", "bytes", "copies", F.col("found.lo").alias("lo"), F.col("found.hi").alias("hi"))
     return rows, full.mapInPandas(run, "hash string, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string")
 
 

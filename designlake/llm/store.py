@@ -32,7 +32,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs start from files that outlive executors."""
     path = table_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

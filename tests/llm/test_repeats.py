@@ -20,9 +20,9 @@ def brute(texts, length):
     return out
 
 
-def run(spark, texts, length, gram):
+def run(spark, texts, length, gram, block=4):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, hash int")
-    rows, found = repeated(docs, length, gram)
+    rows, found = repeated(docs, length, gram, block)
     got = {r.doc_id: (r.n_bytes, list(r.starts), list(r.ends), r.kept_sha256) for r in rows.join(found, "hash").collect()}
     return [got[i] for i in range(len(texts))]
 
