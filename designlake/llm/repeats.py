@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,15 +106,30 @@ def blocks(text: bytes, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, length:
     return first, last, a, core, _name(s, first, last, a, length)
 
 
-def _merged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, hash of the text), and the distinct texts (key, hash, copies, bytes)."""
+def merged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, hash of the text), and the distinct texts (key, hash, copies, n_bytes, bytes: compressed)."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.md5(text).alias("hash"), text.alias("bytes"))
     # the texts go through the shuffle once; a partial aggregation would sort them on both sides of it
     texts = rows.groupBy("hash").agg(F.count("*").alias("copies"), F.any_value("bytes").alias("bytes"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor().compress
+        for p in parts:
+            p["n_bytes"] = [len(x) for x in p["bytes"]]
+            p["bytes"] = [squeeze(x) for x in p["bytes"]]
+            yield p
+
+    # later joins move the texts again, so they stay compressed
+    texts = texts.mapInPandas(run, "hash string, copies long, bytes binary, n_bytes long")
     return rows.select("doc_id", "hash"), cut(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
 
 
+def unpacked(column: pd.Series) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(x) for x in column]
+
+
 ROWS = "key long, lo int, hi int, at int, core long, name long"
 
 
@@ -124,7 +140,7 @@ def _frame(key, lo, hi, at, core, name) -> pd.DataFrame:
 def _zone_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            t, key = p["bytes"].tolist(), p["key"].to_numpy()
+            t, key = unpacked(p["bytes"]), p["key"].to_numpy()
             for a, b in batches(t):
                 text, *zone = zones(t[a:b], length, gram)
                 yield _frame(key[a:b][text], *zone)
@@ -137,7 +153,7 @@ def _finer_rows(texts: DataFrame, length: int, block: int) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for key, text, lo, hi, at in zip(p["key"], p["bytes"], p["lo"], p["hi"], p["at"]):
+            for key, text, lo, hi, at in zip(p["key"], unpacked(p["bytes"]), p["lo"], p["hi"], p["at"]):
                 yield _frame(key, *blocks(text, *(np.asarray(x, np.int64) for x in (lo, hi, at)), length, block))
 
     return texts.select("key", "bytes", *[F.col(f"asked.{c}").alias(c) for c in ("lo", "hi", "at")]).mapInPandas(run, ROWS)
@@ -163,8 +179,8 @@ def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, hash), and per hash of a text: n_bytes, starts and ends of the removed runs, kept_sha256."""
-    rows, texts = _merged(docs)
-    z = cut(_zone_rows(texts.where(F.length("bytes") >= length), length, gram), "zones")
+    rows, texts = merged(docs)
+    z = cut(_zone_rows(texts.where(F.col("n_bytes") >= length), length, gram), "zones")
     found, ask = _judged(z)
     z = cut(_finer_rows(texts.join(ask, "key"), length, block), "blocks")
     more, ask = _judged(z)
@@ -176,7 +192,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
-            for b, n, lo, hi in zip(p["bytes"], p["copies"], p["lo"], p["hi"]):
+            for b, n, lo, hi in zip(unpacked(p["bytes"]), p["copies"], p["lo"], p["hi"]):
                 if n > 1 and len(b) >= length:
                     a, e = np.array([0]), np.array([len(b)])
                 elif lo is None:
