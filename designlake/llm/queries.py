@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, language, mixing, pii, quality, repeats, sharding, simhash, tokens
+from . import chaining, decontam, language, mixing, pii, quality, repeats, sharding, simhash, tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pii.op1_pii_sanitisation, tokens.op2_token_output, language.op3_language_id, sharding.op4_vector_sharding, decontam.op5_benchmark_decontamination, mixing.op6_source_mixing, quality.op7_quality_rules, simhash.op8_simhash_near_dedup, repeats.op10_repeated_substrings)}
+    return {f.__name__: f for f in (pii.op1_pii_sanitisation, tokens.op2_token_output, language.op3_language_id, sharding.op4_vector_sharding, decontam.op5_benchmark_decontamination, mixing.op6_source_mixing, quality.op7_quality_rules, simhash.op8_simhash_near_dedup, chaining.op9_substring_dedup, repeats.op10_repeated_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
