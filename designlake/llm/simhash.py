@@ -182,7 +182,7 @@ def _forest_edges(shard: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: in
 
 
 def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Distinct fp to (u, v): links of at most radius bits that connect all fingerprints that such links connect."""
+    """Distinct fp to (u, v): pairs that connect just what chains of links of at most radius bits connect."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
