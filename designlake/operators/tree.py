@@ -44,3 +44,10 @@ def signatures(n: DataFrame) -> DataFrame:
     p = with_parent(n)
     kids = p.where("parent is not null").groupBy("page_id", F.col("parent").alias("i")).agg(F.count("*").alias("n_children"), F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("kids"))
     return n.join(kids, ["page_id", "i"], "left").select("page_id", "i", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.concat("tag", F.lit("["), F.coalesce("kids", F.lit("")), F.lit("]")).alias("signature"))
+
+
+def nth_of_type(n: DataFrame) -> DataFrame:
+    """page_id, i and step: the node's part of a selector path, its tag and its place among its parent's like tags."""
+    same = Window.partitionBy("page_id", "parent", "tag").orderBy("i")
+    nth = F.row_number().over(same)
+    return with_parent(n).select("page_id", "i", F.concat("tag", F.lit(":nth-of-type("), nth, F.lit(")")).alias("step"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, url
+from ..functions import challenge, color, url
 from ..operators import jobs, tally, tree
 
 
@@ -85,7 +85,30 @@ def job_ttl_sweep(spark, sf_dir):
     return jobs.expired(job_latest_state(spark, sf_dir), "at", 30)
 
 
-QUERIES = [tag_tally, url_normalize, spacing_grid, weighted_mode, radius_tokens, breakpoint_asof, color_oklab, tree_descendants, tree_children, node_signature, meta_extract, text_lines, job_latest_state, job_ttl_sweep]
+def nth_of_type(spark, sf_dir):
+    return tree.nth_of_type(tree.nodes(_t(spark, sf_dir, "pages")))
+
+
+def challenge_verdict(spark, sf_dir):
+    text, n = challenge.visible_text(F.col("html")), F.regexp_count("html", F.lit("<[a-zA-Z]"))
+    p = _t(spark, sf_dir, "pages").select("page_id", "url", text.alias("text"), n.alias("n"))
+    p = p.withColumn("evidence", challenge.evidence(F.col("text"), F.col("n")))
+    blocked = F.col("evidence").isNotNull()
+    return p.select("page_id", blocked.alias("blocked"), "evidence", F.when(blocked, challenge.vendor(F.col("text"), F.col("url"))).alias("vendor"))
+
+
+def own_text(spark, sf_dir):
+    text = challenge.visible_text(F.col("html"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.substring(text, 1, 600).alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+def page_links(spark, sf_dir):
+    """Link targets of each page with their number and first place."""
+    a = _t(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("t", "href"))
+    return tally.tally(a, ["page_id"], "href", "t")
+
+
+QUERIES = [tag_tally, url_normalize, spacing_grid, weighted_mode, radius_tokens, breakpoint_asof, color_oklab, tree_descendants, tree_children, node_signature, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
 
 
 def queries() -> dict:
@@ -108,7 +131,21 @@ par AS (SELECT c.page_id, c.i, c.tag, max(p.i) AS parent FROM span c LEFT JOIN s
 
 LATEST = 'SELECT user_id, count(*) AS n_events, arg_max(event_type, row(ts, event_id)) AS state, max(ts) AS "at" FROM events GROUP BY user_id'
 
+_TEXT = rf"trim(regexp_replace(regexp_replace(html, '{challenge.UNSEEN}', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
+_PHRASE = " ".join(f"WHEN contains(lower(t), '{p}') THEN '{p}'" for p in challenge.PHRASES)
+_VENDOR = " ".join(f"WHEN regexp_matches(lower(t || ' ' || url), '{r}') THEN '{v}'" for r, v in challenge.VENDORS)
+
 SQL = {
+    "nth_of_type": f"WITH {_NODES} SELECT page_id, i, tag || ':nth-of-type(' || row_number() OVER (PARTITION BY page_id, parent, tag ORDER BY i) || ')' AS step FROM par",
+    "challenge_verdict": f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, {_TEXT} AS t, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n FROM pages),
+e AS (SELECT *, CASE WHEN n >= {challenge.ELEMENTS} THEN NULL {_PHRASE} END AS evidence FROM p)
+SELECT page_id, evidence IS NOT NULL AS blocked, evidence, CASE WHEN evidence IS NULL THEN NULL {_VENDOR} ELSE '{challenge.OTHER}' END AS vendor FROM e""",
+    "own_text": f"SELECT page_id, substr(t, 1, 600) AS text, length(t) AS n_chars FROM (SELECT page_id, {_TEXT} AS t FROM pages)",
+    "page_links": """
+WITH a AS (SELECT page_id, unnest(x) AS href, unnest(range(len(x))) AS t FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS x FROM pages)),
+g AS (SELECT page_id, href, count(*) AS n, min(t) AS first_at FROM a GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first_at) AS rank FROM g""",
     "tag_tally": r"""
 WITH t AS (SELECT page_id, unnest(x) AS tag, unnest(range(len(x))) AS t FROM (SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1) AS x FROM pages)),
 g AS (SELECT page_id, tag, count(*) AS n, min(t) AS first_at FROM t GROUP BY ALL)
