@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import cut
+from .store import cut, fresh, text_or_empty
 
 RADIUS = 4
 SHINGLE = 4
@@ -208,21 +208,37 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) ->
     return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInPandas(run, "u long, v long")
 
 
+def _placed(fps: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """Distinct fps with root, a fingerprint that names the component."""
+    root = components(links(fps.select("fp"), radius, shard_rows)).withColumnsRenamed({"u": "fp", "v": "root"})
+    return fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_copies(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
     own = cut(fingerprints(docs), "fingerprints")
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(fps.select("fp"), radius, shard_rows)).withColumnsRenamed({"u": "fp", "v": "root"})
-    placed = fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _placed(cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"), radius, shard_rows)
     of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(placed.select("fp", "root").join(of_root, "root").select("fp", "component_id"), "named")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its own columns."""
-    kept = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Exactly one row of each component, with its own columns: the one with the smallest doc_id (a null one only where
+    all are null), then by a hash of text and columns, so that null and repeated ids drop no other component's rows."""
+
+    @F.pandas_udf("long")
+    def fingerprint(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash(shingle_hashes(t)) for t in text], np.uint64).view(np.int64))
+
+    mark = fresh(docs, "row_mark")
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    marked = docs.withColumn(mark, F.concat(F.md5(text_or_empty().cast("binary")), F.md5(rest.cast("binary"))))
+    own = cut(marked.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(mark).alias("mark"), fingerprint("text").alias("fp")), "fingerprints")
+    placed = _placed(cut(own.select("fp").distinct(), "distinct"), RADIUS, SHARD_ROWS)
+    least = own.join(placed, "fp").groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "mark")).alias("k"))
+    kept = cut(least.select(F.col("k.mark").alias(mark)), "kept")
+    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
