@@ -1,11 +1,11 @@
-"""Operator 5, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Operator 5, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Benchmark items are taken in blocks of at most `BLOCK` (so what is shipped to tasks has a fixed bound, and a
-larger benchmark means more passes). A pass first counts, over all documents, in how many each n-gram of the
-block's items occurs. A seed is rare if that is at most `RARE` of the documents, or if it belongs to the rarer half
-of its item's seeds: an item that leaked into many documents keeps seeds. Where a document has a rare seed of an
-item, the item is aligned with the words around the seeds' diagonals; the score is the alignment's share of a
-perfect one.
+larger benchmark means more passes). Every n-gram of an item is a seed, however many documents it occurs in, so no copy is
+missed for where it was edited or how often its item leaked. Where a document has a seed of an item, the item is
+aligned with the words around the seeds' diagonals, unless these hold too few of its words to reach the score (a
+bound that no alignment can beat, so common seeds cost little and lose nothing); the score is the alignment's share
+of a perfect one.
 
 Words are runs of ASCII letters, digits and other non-ASCII characters of the lower-cased text, so case and
 punctuation do not hide a copy.
@@ -29,7 +29,6 @@ from .textvec import batches, ngram_hashes, words
 
 SEED = 3
 BLOCK = 20_000
-RARE = 0.001
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 FILTER_BITS = 20
@@ -50,33 +49,19 @@ class Items:
         self.seed, self.item, self.place = seed[order], item[order], place[order]
         self.keys = np.unique(self.seed)
         self.short = sorted({len(w) for w in self.words if 0 < len(w) < SEED})
-        self.rare = np.ones(len(self.seed), bool)
-        self.index()
-
-    def index(self) -> None:
-        """A bitmap that passes few others than the rare seeds."""
-        self.rare_keys = np.unique(self.seed[self.rare])
+        self.vocabulary = [np.unique(w) for w in self.words]
+        # passes few others than the seeds
         self.bitmap = np.zeros(1 << FILTER_BITS, bool)
-        self.bitmap[self.rare_keys >> np.uint64(64 - FILTER_BITS)] = True
-
-    def keep_rare(self, counts: np.ndarray, limit: float) -> None:
-        """counts: documents with each of keys."""
-        n = counts[np.searchsorted(self.keys, self.seed)]
-        order = np.lexsort((self.place, n, self.item))
-        size = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.empty(len(n), np.int64)
-        rank[order] = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
-        self.rare = (n <= limit) | (2 * rank < size[self.item])
-        self.index()
+        self.bitmap[self.keys >> np.uint64(64 - FILTER_BITS)] = True
 
     def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in w where a rare seed starts, and the seed's number in rare_keys."""
+        """Positions in w where a seed starts, and the seed's number in keys."""
         at, which = [], []
         for n in (*self.short, SEED):
             g = ngram_hashes(w, n)
             p = np.flatnonzero(self.bitmap[g >> np.uint64(64 - FILTER_BITS)])
-            k = np.minimum(np.searchsorted(self.rare_keys, g[p]), max(0, len(self.rare_keys) - 1))
-            ok = self.rare_keys[k] == g[p] if len(self.rare_keys) else np.zeros(len(p), bool)
+            k = np.minimum(np.searchsorted(self.keys, g[p]), max(0, len(self.keys) - 1))
+            ok = self.keys[k] == g[p] if len(self.keys) else np.zeros(len(p), bool)
             at.append(p[ok])
             which.append(k[ok])
         return np.concatenate(at), np.concatenate(which)
@@ -97,14 +82,22 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def may_reach(vocabulary: np.ndarray, text: np.ndarray, m: int, score: float) -> bool:
+    """Whether some part of text has enough words of an item of m words for an alignment of that share: score * m of them
+    must match, and as each other word of the part costs 1 of at most 2 * m, the part has at most (3 - 2 * score) * m words."""
+    k = np.minimum(np.searchsorted(vocabulary, text), len(vocabulary) - 1)
+    n = np.r_[0, np.cumsum(vocabulary[k] == text)]
+    span = min(len(text), int(np.ceil((3 - 2 * score) * m)))
+    return bool((n[span:] - n[: len(n) - span]).max() >= score * m)
+
+
 def matches(w: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items, score: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end) of the items that w contains; at, which: rare seeds found in w."""
-    lo = np.searchsorted(items.seed, items.rare_keys[which])
-    n = np.searchsorted(items.seed, items.rare_keys[which], side="right") - lo
+    """(item, score, first word, end) of the items that w contains; at, which: seeds found in w."""
+    lo = np.searchsorted(items.seed, items.keys[which])
+    n = np.searchsorted(items.seed, items.keys[which], side="right") - lo
     pos = np.repeat(at, n)
     k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    keep = items.rare[k]
-    item, start = items.item[k[keep]], (pos - items.place[k])[keep]
+    item, start = items.item[k], pos - items.place[k]
     order = np.lexsort((start, item))
     item, start, out = item[order], start[order], []
     i = 0
@@ -114,7 +107,7 @@ def matches(w: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items, scor
         while j < len(item) and item[j] == item[i] and start[j] - start[j - 1] <= m // 2:
             j += 1
         a, b = max(0, int(start[i]) - m // 2), min(len(w), int(start[j - 1]) + m + m // 2)
-        got, end = align(items.words[item[i]], w[a:b])
+        got, end = align(items.words[item[i]], w[a:b]) if may_reach(items.vocabulary[item[i]], w[a:b], m, score) else (-1, 0)
         if got >= score * MATCH * m:
             _, back = align(items.words[item[i]][::-1], w[a : a + end][::-1])
             new = (int(item[i]), got / (MATCH * m), a + end - back, a + end)
@@ -140,36 +133,6 @@ def _texts(s: pd.Series) -> list[bytes]:
     return [t.lower().encode() if t else b"" for t in s]
 
 
-def count_seeds(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many documents each of items.keys occurs, and the number of documents."""
-    n = len(items.keys)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows = np.zeros(n, np.int64), 0
-        for b in parts:
-            t = _texts(b["text"])
-            rows += len(t)
-            for lo, hi in batches(t):
-                w, first = words(t[lo:hi])
-                for size in (*items.short, SEED):
-                    g = ngram_hashes(w, size)
-                    p = np.flatnonzero(items.bitmap[g >> np.uint64(64 - FILTER_BITS)])
-                    k = np.searchsorted(items.keys, g[p]).clip(0, max(0, n - 1))
-                    doc = np.searchsorted(first, p, side="right")
-                    ok = (items.keys[k] == g[p]) & (first[np.minimum(doc, len(first) - 1)] >= p + size)
-                    total += np.bincount(np.unique(doc[ok] * n + k[ok]) % n, minlength=n)
-        yield pd.DataFrame({"seed": np.append(np.flatnonzero(total), -1), "n": np.append(total[total > 0], rows)})
-
-    got = docs.select("text").mapInPandas(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    counts, rows = np.zeros(n, np.int64), 0
-    for r in got:
-        if r["seed"] < 0:
-            rows = r["n"]
-        else:
-            counts[r["seed"]] = r["n"]
-    return counts, rows
-
-
 def matcher(items: Items, score: float = SCORE):
     """A pandas UDF from text to the array of its matches with the block's items."""
     ids = [None if x is None else str(x) for x in items.ids]
@@ -196,8 +159,6 @@ def found(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block: in
     name = fresh(docs, "matches")
     column = None
     for items in blocks(benchmark, block):
-        counts, rows = count_seeds(docs, items)
-        items.keep_rare(counts, RARE * rows)
         one = matcher(items, score)(F.col("text"))
         column = one if column is None else F.concat(column, one)
     if column is None:
