@@ -1,17 +1,21 @@
 """Operator 1, information-theoretic sanitisation of personal data.
 
 Base spans (email, ip, card, phone) are the protected entities. Terms near an entity are counted over the corpus:
-with n(t, e) distinct contexts of entity e that hold term t, n(t) documents that hold t anywhere and n(e) of N
-contexts that are e's, a term tells log2(P(e | t) / P(e)) of the log2(1 / P(e)) bits that name the entity, where
-P(e | t) = n(t, e) / max(n(t), n(t, e)). A term with at least `SUPPORT` contexts is generalised where that share
-reaches `GENERALISE`, and removed where it reaches `REMOVE`; both everywhere it occurs.
-
-Only entities' surroundings and the occurrences of candidate terms are shuffled, never texts. Candidates reach the
-scan of all texts as a bitmap of fixed size; an exact join follows it.
+with n(t, e) rows in which term t stands near entity e, n(t) rows that hold t anywhere and n(e) of N distinct contexts
+that are e's, a term tells log2(P(e | t) / P(e)) of the log2(1 / P(e)) bits that name the entity, where
+P(e | t) = n(t, e) / max(n(t), n(t, e)). Copies count alike in both, so they leave that chance as it is. A term is
+generalised where the share reaches `GENERALISE` and removed where it reaches `REMOVE`, everywhere it occurs, if the two
+also meet more often than chance explains: with k distinct contexts that hold t, and lambda = n(t) * n(e) * 2 * NEAR /
+(words of the corpus) expected, lambda ** k / k! must not exceed `RISK`. An entity that is seen once is thus told by words
+that hardly occur elsewhere, and a common word is told by no entity.
+
+Three scans: the base spans and what stands near them; the rows that hold each candidate term, added up within a task
+before anything is shuffled; and, once the thresholds have left few terms, where these occur. Terms reach a scan as a
+bitmap of at most 2 ** `MOST_BITS` bits; exact joins follow it, and the keys of these are dealt over `SALTS` tasks each.
 
 Defined cases: a null or empty text has no spans; a null doc_id is kept as such; repeated rows each get their
 spans; long runs of digits or letters are read in linear time; equal entities in copies of one passage count
-as one context; an empty table gives an empty result; only doc_id and text are read.
+as one context; an empty table gives an empty result; only doc_id and text are read, and other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +35,13 @@ from .store import cut, fresh
 from .textvec import batches, mix, ngram_hashes, placed_words
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
+RISK = 1e-4
 NEAR = 10
 LEAST_CHARS = 3
-BITMAP_BITS = 24
+#: Bits of a bitmap for each term in it, and the most bits of one (32 MB).
+ROOM, MOST_BITS = 6, 28
+SALTS = 16
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,25 +101,29 @@ def entity(kind: str, value: str) -> str:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Of each span: its entity, the hash of the nearest words and the hashes of the terms near it."""
+    """Of each span: hashes of its entity, of the nearest words, of the terms near it, and of those of them that stood
+    near the same entity in this text before."""
     raw = text.encode().translate(LOWER)
-    h, _, lo, hi, _ = placed_words([raw])
-    at = np.cumsum([0] + [len(c.encode()) for c in text]) if len(raw) != len(text) else np.arange(len(raw) + 1)
+    h, _, lo, hi, b = placed_words([raw])
+    at = np.append(np.flatnonzero((b[: len(raw)] & 0xC0) != 0x80), len(raw))  # first byte of each code point
     inside = np.zeros(len(h), bool)
-    ranges = [(np.searchsorted(hi, at[a], side="right"), np.searchsorted(lo, at[b])) for _, a, b in spans]
+    ranges = [(int(np.searchsorted(hi, at[x], side="right")), int(np.searchsorted(lo, at[y]))) for _, x, y in spans]
     for x, y in ranges:
         inside[x:y] = True
-    out = []
+    out, seen = [], {}
     for (kind, a, b), (x, y) in zip(spans, ranges):
-        near = [i for i in (*range(max(0, x - NEAR), x), *range(y, min(len(h), y + NEAR))) if not inside[i]]
-        terms = {int(v) for v in h[near][hi[near] - lo[near] >= LEAST_CHARS].view(np.int64)} if near else set()
-        mark = h[[i for i in (*range(max(0, x - 3), x), *range(y, min(len(h), y + 3)))]] if len(h) else h
+        around = np.r_[max(0, x - NEAR) : x, y : min(len(h), y + NEAR)]
+        near = around[~inside[around] & (hi[around] - lo[around] >= LEAST_CHARS)] if len(around) else around
+        mark = h[np.r_[max(0, x - 3) : x, y : min(len(h), y + 3)].astype(np.int64)]
         ctx = int(mix(ngram_hashes(mark, len(mark))).view(np.int64)[0]) if len(mark) else 0
-        out.append({"entity": entity(kind, text[a:b]), "context": ctx, "terms": sorted(terms)})
+        name = int(np.uint64(xxhash.xxh64_intdigest(entity(kind, text[a:b]))).view(np.int64))
+        terms, before = set(h[near].view(np.int64).tolist()), seen.setdefault(name, set())
+        out.append({"entity": name, "context": ctx, "terms": sorted(terms - before), "again": sorted(terms & before)})
+        before |= terms
     return out
 
 
-BASE = "h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,context:long,terms:array<long>>>"
+BASE = "h long, n_email long, n_ip long, n_card long, n_phone long, n_words long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,context:long,terms:array<long>,again:array<long>>>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -124,6 +135,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             out = p[["doc_id", "h"]].copy()
             for i, k in enumerate(KINDS[:4]):
                 out[f"n_{k}"] = [sum(x[0] == k for x in s) for s in spans]
+            out["n_words"] = [len(t.split()) if t else 0 for t in p["text"]]
             out["base_sha256"] = [digest(s) for s in spans]
             out["base"] = [[{"start": a, "kind": KINDS.index(k), "end": b} for k, a, b in s] for s in spans]
             out["near"] = [contexts(t, s) if s else [] for t, s in zip(p["text"], spans)]
@@ -133,51 +145,69 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(run, f"doc_id {kind}, {BASE}")
 
 
-def candidates(scan: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """term, n_te, n_e, n: the pairs of a term and an entity that share at least `support` distinct contexts."""
-    near = scan.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.terms")
-    one = near.select("entity", "context", F.explode("terms").alias("term")).distinct()
-    pairs = one.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    ctx = near.select("entity", "context").distinct()
-    per = ctx.groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = per.agg(F.coalesce(F.sum("n_e"), F.lit(0)).alias("n"))
-    return pairs.join(per, "entity").withColumn("n", F.lit(total.first()["n"]))
+def pairs(scan: DataFrame) -> DataFrame:
+    """entity, term, n_te (rows), contexts (distinct ones with both) and n_e (distinct contexts of the entity)."""
+    near = scan.select(F.explode("near").alias("x")).select("x.*")
+    new = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("row")))
+    old = F.transform("again", lambda t: F.struct(t.alias("term"), F.lit(0).alias("row")))
+    one = near.select("entity", "context", F.explode(F.concat(new, old)).alias("t")).groupBy("entity", "t.term", "context").agg(F.sum("t.row").alias("rows"))
+    both = one.groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.count("*").alias("contexts"))
+    per = near.groupBy("entity", "context").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("n_e"))
+    return both.join(per, "entity")
+
+
+def bitmap(terms: DataFrame, count: int) -> np.ndarray:
+    """The packed bits of the terms' hashes, at least 2 ** ROOM for each of count terms but 2 ** MOST_BITS at most."""
+    bits = min(MOST_BITS, max(16, count.bit_length() + ROOM))
+    out = np.zeros((256, (1 << bits) // 2048), np.uint8)
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        mine = np.zeros((1 << bits) // 256, bool)
+        mine[(p["term"].to_numpy().view(np.uint64) << np.uint64(8)) >> np.uint64(72 - bits)] = True
+        return pd.DataFrame({"slot": [p["slot"].iat[0]], "bits": [np.packbits(mine).tobytes()]})
+
+    slot = F.shiftrightunsigned("term", 56).cast("int")
+    for r in terms.select("term", slot.alias("slot")).groupBy("slot").applyInPandas(pack, "slot int, bits binary").toLocalIterator():
+        out[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _held(h: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - (8 * len(packed)).bit_length() + 1)
+    return (packed[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def bitmap(terms: DataFrame) -> np.ndarray:
-    """2 ** BITMAP_BITS bits: those of the terms' hashes are set. Its size does not depend on the corpus."""
+def row_counts(docs: DataFrame, packed: np.ndarray) -> DataFrame:
+    """term, n: in how many rows each word stands whose hash is in the bitmap; a few rows for a term, to be added up."""
+    held = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BITMAP_BITS, bool)
-        some = False
         for p in parts:
-            bits[p["term"].to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
-            some = some or len(p) > 0
-        if some:
-            packed = np.packbits(bits).reshape(256, -1)
-            yield pd.DataFrame({"slot": np.arange(256), "bits": [x.tobytes() for x in packed]})
-
-    def either(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slot": [p["slot"].iat[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in p["bits"]]).tobytes()]})
-
-    got = terms.select("term").mapInPandas(run, "slot int, bits binary").groupBy("slot").applyInPandas(either, "slot int, bits binary").collect()
-    out = np.zeros((256, (1 << BITMAP_BITS) // 2048), np.uint8)
-    for r in got:
-        out[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+            t = [x.encode().translate(LOWER) if x else b"" for x in p["text"]]
+            for lo, hi in batches(t):
+                h, first, a, b, _ = placed_words(t[lo:hi])
+                hit = np.flatnonzero(_held(h, held.value) & (b - a >= LEAST_CHARS))
+                doc, h = np.searchsorted(first, hit, side="right"), h[hit]
+                order = np.lexsort((doc, h))
+                doc, h = doc[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                term, n = np.unique(h[new], return_counts=True)
+                yield pd.DataFrame({"term": term.view(np.int64), "n": n})
+
+    return docs.select("text").mapInPandas(run, "term long, n long")
 
 
-def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def occurrences(docs: DataFrame, packed: np.ndarray) -> DataFrame:
     """doc_id, h, term, start, end of every word whose hash is in the bitmap."""
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    held = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.unpackbits(held.value).astype(bool)
         for p in parts:
             t = [x.encode().translate(LOWER) if x else b"" for x in p["text"]]
             for lo, hi in batches(t):
                 h, first, a, b, raw = placed_words(t[lo:hi])
-                hit = np.flatnonzero(known[h >> np.uint64(64 - BITMAP_BITS)] & (b - a >= LEAST_CHARS))
+                hit = np.flatnonzero(_held(h, held.value) & (b - a >= LEAST_CHARS))
                 if not len(hit):
                     continue
                 doc = np.searchsorted(first, hit, side="right") - 1
@@ -190,19 +220,34 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(run, f"doc_id {kind}, h long, term long, start int, end int")
 
 
+def _all_terms(t: DataFrame) -> tuple[DataFrame, int]:
+    t = t.select("term").distinct()
+    return t, t.count()
+
+
+def telling(scan: DataFrame, docs: DataFrame) -> DataFrame:
+    """term, told: the terms that tell an entity with a share of GENERALISE or more, beyond chance."""
+    both = cut(pairs(scan), "pairs")
+    counts = row_counts(docs, bitmap(*_all_terms(both))).groupBy("term").agg(F.sum("n").alias("n_t"))
+    sizes = scan.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0], both.groupBy("entity").agg(F.first("n_e").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words, contexts_ = F.lit(float(max(1, sizes[0]))), F.lit(float(sizes[1]))
+    told = 1 + F.log2(F.col("n_te") / F.greatest("n_t", "n_te")) / -F.log2(F.col("n_e") / F.greatest(contexts_, F.col("n_e") + 1))
+    expected = F.col("n_t") * F.col("n_e") * F.lit(2.0 * NEAR) / words
+    k = F.least(F.col("contexts"), F.lit(20)).cast("int")
+    beyond = (expected < 1) & (F.pow(expected, k) / F.factorial(k) <= RISK)
+    return both.join(counts, "term").where(beyond).groupBy("term").agg(F.max(told).alias("told")).where(F.col("told") >= GENERALISE)
+
+
 def found(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, h, counts, base_sha256, base, and spans: all of start, kind, end, action."""
     scan = cut(scanned(docs), "pii")
-    pairs = cut(candidates(scan), "pairs")
-    seen = cut(occurrences(docs, bitmap(pairs)).join(pairs.select("term").distinct(), "term", "left_semi"), "occurrences")
-    df = seen.groupBy("term", "h").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("n_t"))
-    p_et = F.col("n_te") / F.greatest("n_t", "n_te")
-    told = 1 + F.log2(p_et) / -F.log2(F.col("n_e") / F.greatest("n", F.col("n_e") + 1))
-    terms = pairs.join(df, "term").groupBy("term").agg(F.max(told).alias("told")).where(F.col("told") >= GENERALISE)
+    terms = cut(telling(scan, docs), "terms")
     action = F.when(F.col("told") >= REMOVE, "remove").otherwise("generalise")
-    added = seen.join(terms, "term").select("doc_id", "h", F.struct("start", F.lit(4).alias("kind"), "end", action.alias("action")).alias("s"))
-    added = added.groupBy("doc_id", "h").agg(F.collect_set("s").alias("added")).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
-    all_ = scan.drop("near").join(added, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left").drop("_d", "_h")
+    salted = terms.select("term", action.alias("action"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    seen = occurrences(docs, bitmap(*_all_terms(terms))).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    added = seen.join(salted, ["term", "salt"]).select("doc_id", "h", F.struct("start", F.lit(4).alias("kind"), "end", "action").alias("s"))
+    added = added.groupBy("doc_id", "h").agg(F.collect_set("s").alias("added")).withColumnsRenamed({"doc_id": "of_doc", "h": "of_h"})
+    all_ = scan.drop("near", "n_words").join(added, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_h")), "left").drop("of_doc", "of_h")
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit("remove").alias("action")))
     free = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
     return all_.withColumn("spans", F.sort_array(F.concat(base, F.coalesce(free, F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))))).drop("added")
@@ -210,7 +255,8 @@ def found(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with the spans in its texts replaced by their kind in brackets, or dropped where a term is removed."""
-    h, spans = fresh(docs, "_h"), found(docs).select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), F.col("spans").alias("_spans")).where(F.size("spans") > 0).distinct()
+    h, of_doc, of_h, marks = (fresh(docs, c) for c in ("text_hash", "of_doc", "of_hash", "marks"))
+    spans = found(docs).select(F.col("doc_id").alias(of_doc), F.col("h").alias(of_h), F.col("spans").alias(marks)).where(F.size(marks) > 0).distinct()
 
     @F.pandas_udf("string")
     def replace(text: pd.Series, marks: pd.Series) -> pd.Series:
@@ -229,8 +275,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     full = docs.withColumn(h, F.xxhash64("text"))
-    j = full.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col(h) == F.col("_x")), "left")
-    return j.select(*[replace(full["text"], F.col("_spans")).alias("text") if c == "text" else full[c] for c in docs.columns])
+    j = full.join(spans, F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(h) == F.col(of_h)), "left")
+    return j.select(*[replace(F.col("text"), F.col(marks)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
