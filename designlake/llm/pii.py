@@ -243,7 +243,7 @@ def found(docs: DataFrame) -> DataFrame:
     scan = cut(scanned(docs), "pii")
     terms = cut(telling(scan, docs), "terms")
     action = F.when(F.col("told") >= REMOVE, "remove").otherwise("generalise")
-    salted = terms.select("term", action.alias("action"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = terms.select("term", action.alias("action"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")  # the list of terms grows with the corpus
     seen = occurrences(docs, bitmap(*_all_terms(terms))).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
     added = seen.join(salted, ["term", "salt"]).select("doc_id", "h", F.struct("start", F.lit(4).alias("kind"), "end", "action").alias("s"))
     added = added.groupBy("doc_id", "h").agg(F.collect_set("s").alias("added")).withColumnsRenamed({"doc_id": "of_doc", "h": "of_h"})
