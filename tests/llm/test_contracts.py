@@ -130,6 +130,8 @@ def test_range_coder_round_trip_and_damage():
         block = rangecoder.encode(ids)
         assert rangecoder.decode(block).tolist() == ids.tolist()
     assert len(block) < len(ids)
+    with pytest.raises(ValueError):
+        rangecoder.encode(np.zeros(rangecoder.MAX_IDS + 1, np.int64))
     for at in (2, 6, 20, len(block) - 1):
         bad = bytearray(block)
         bad[at] ^= 1
@@ -137,6 +139,32 @@ def test_range_coder_round_trip_and_damage():
             rangecoder.decode(bytes(bad))
 
 
+def test_contexts_drive_the_coder():
+    """Where the next id hangs on the one or two before it, a block takes far less than the ids' own frequencies ask for."""
+    rng = np.random.default_rng(4)
+    after = rng.integers(0, 400, (400, 3))
+    ids = [1]
+    for r in rng.integers(0, 3, 60_000):
+        ids.append(int(after[ids[-1], r]))
+    order1 = len(rangecoder.encode(np.array(ids)))
+    assert order1 < 60_000 * 8.6 / 8 / 2.5  # log2 of 400 is 8.6, of 3 is 1.6
+    pair = rng.integers(0, 60, (60, 60))
+    ids = [1, 2]
+    for _ in range(60_000):
+        ids.append(int(pair[ids[-2], ids[-1]]) if rng.random() < 0.95 else int(rng.integers(0, 60)))
+    assert len(rangecoder.encode(np.array(ids))) < 60_000 * 5.9 / 8 / 3
+
+
+def test_document_longer_than_a_block(spark):
+    text = " ".join(f"word{i % 7919} x." for i in range(260_000))
+    rows = [(1, "a b"), (2, text), (2, "twice"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.digest(docs).collect()), key=str)
+    want = plain_tokens(rows)
+    assert max(n for _, _, n, _ in want) > rangecoder.MAX_IDS
+    assert got == sorted(((d, n, c) for d, _, n, c in want), key=str)
+
+
 @needs_tables
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
