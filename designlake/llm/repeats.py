@@ -32,8 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut
-from .textvec import batches, mix, prefix_sums, span_hashes
+from .store import cut, forget
+from .textvec import SECOND, batches, mix, prefix_sums, span_hashes
 
 LENGTH = 200
 GRAM = 32
@@ -94,16 +94,26 @@ def _cut_up(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return item, np.arange(len(item)) - (np.cumsum(n) - n)[item]
 
 
-def blocks(text: bytes, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, length: int, block: int) -> tuple[np.ndarray, ...]:
-    """Windows lo to hi of anchors at, cut by distance from the anchor: first, last, anchor, core, name."""
+def blocks(texts: list[bytes], of: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, length: int, block: int) -> tuple[np.ndarray, ...]:
+    """Windows lo to hi of anchors at in the texts numbered of, cut by distance from the anchor: text, first, last, anchor,
+    core, name. Of single windows (block 1) the core is a second hash of the same bytes."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    base = (np.cumsum(size) - size)[of]
+    lo, hi, at = lo + base, hi + base, at + base
     near, far = (at - hi) // block, (at - lo) // block
     item, k = _cut_up(far - near + 1)
     j = near[item] + k
     a = at[item]
     first, last = np.maximum(lo[item], a - (j + 1) * block + 1), np.minimum(hi[item], a - j * block)
-    s = prefix_sums(np.frombuffer(text, np.uint8))
-    core = mix(span_hashes(s, a - j * block, a - (j + 1) * block + 1 + length) + j.astype(np.uint64))
-    return first, last, a, core, _name(s, first, last, a, length)
+    s = prefix_sums(raw)
+    if block == 1:
+        core = span_hashes(prefix_sums(raw, SECOND), first, first + length)
+    else:
+        core = mix(span_hashes(s, a - j * block, a - (j + 1) * block + 1 + length) + j.astype(np.uint64))
+    name = _name(s, first, last, a, length)
+    base = base[item]
+    return of[item], first - base, last - base, a - base, core, name
 
 
 def merged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,20 +163,26 @@ def _finer_rows(texts: DataFrame, length: int, block: int) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for key, text, lo, hi, at in zip(p["key"], unpacked(p["bytes"]), p["lo"], p["hi"], p["at"]):
-                yield _frame(key, *blocks(text, *(np.asarray(x, np.int64) for x in (lo, hi, at)), length, block))
+            t, key = unpacked(p["bytes"]), p["key"].to_numpy()
+            lo, hi, at = (p[c].to_numpy() for c in ("lo", "hi", "at"))
+            n = np.array([len(x) for x in lo], np.int64)
+            for a, b in batches(t):
+                of = np.repeat(np.arange(b - a), n[a:b])
+                text, *rows = blocks(t[a:b], of, *(np.concatenate(x[a:b]).astype(np.int64) for x in (lo, hi, at)), length, block)
+                yield _frame(key[a:b][text], *rows)
 
     return texts.select("key", "bytes", *[F.col(f"asked.{c}").alias(c) for c in ("lo", "hi", "at")]).mapInPandas(run, ROWS)
 
 
 def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows to those whose name occurs twice (key, lo, hi), and those to refine: one of each name of a mixed core."""
+    """rows to those whose name occurs twice (key, lo, hi), and those to refine by text: one of each name of a mixed core."""
     names = cut(rows.groupBy("core", "name").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "at")).alias("first")), "names")
     mixed = names.groupBy("core").agg(F.count("*").alias("names")).where("names > 1").select("core")
     ask = names.join(mixed, "core", "left_semi").select("first.*")
-    ask = ask.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("asked"))
-    twice = rows.select("key", "lo", "hi", "core", "name").join(names.where("n > 1").select("core", "name"), ["core", "name"], "left_semi")
-    return twice.select("key", "lo", "hi"), ask
+    ask = cut(ask.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("asked")), "asked")
+    twice = cut(rows.select("key", "lo", "hi", "core", "name").join(names.where("n > 1").select("core", "name"), ["core", "name"], "left_semi").select("key", "lo", "hi"), "twice")
+    forget(names, rows)
+    return twice, ask
 
 
 def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +201,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
     z = cut(_finer_rows(texts.join(ask, "key"), length, block), "blocks")
     more, ask = _judged(z)
     z = cut(_finer_rows(texts.join(ask, "key"), length, 1), "windows")
-    name = z.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    found = found.unionByName(more).unionByName(z.join(name, "name", "left_semi").select("key", "lo", "hi"))
+    twice = z.groupBy("core", "name").agg(F.count("*").alias("n")).where("n > 1").select("core", "name")
+    found = found.unionByName(more).unionByName(z.join(twice, ["core", "name"], "left_semi").select("key", "lo", "hi"))
     found = found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

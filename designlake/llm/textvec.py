@@ -25,10 +25,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def prefix_sums(b: np.ndarray) -> np.ndarray:
-    """Sums s with s[j] - s[i] = sum of (byte + 1) * base ** position over i <= position < j."""
+#: Values of bytes: their numbers, and another choice for a second hash of the same bytes.
+FIRST, SECOND = np.arange(1, 257, dtype=np.uint64), np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+
+
+def prefix_sums(b: np.ndarray, value: np.ndarray = FIRST) -> np.ndarray:
+    """Sums s with s[j] - s[i] = sum of value[byte] * base ** position over i <= position < j."""
     s = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers(len(b))[: len(b)], out=s[1:])
+    np.cumsum(value[b] * powers(len(b))[: len(b)], out=s[1:])
     return s
 
 
