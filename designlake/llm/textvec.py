@@ -80,3 +80,13 @@ def ngram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * np.uint64(_BASE) + w[k : len(w) - n + 1 + k]
     return mix(out)
+
+
+def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    """As ngram_hashes, from prefix sums: for long runs."""
+    if len(w) < n:
+        return np.zeros(0, np.uint64)
+    s = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * powers(len(w))[: len(w)], out=s[1:])
+    at = np.arange(len(w) - n + 1)
+    return span_hashes(s, at, at + n)
