@@ -1,7 +1,7 @@
 """Operator 3, language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of 1 to 3 lower-cased characters. Document frequencies are counted over every
-learnable document (a label, and crc32 of doc_id mod 4 not 2), each partition adding up a fixed-size vector. The
+learnable document (a label, and crc32 of doc_id mod 4 not 2), by bucket. The
 weights are fitted on a bounded sample of those documents, `SAMPLE` by hash of doc_id, in one task: follow the
 regularised leader (proximal, per-coordinate rates) with an elastic net; then one temperature is fitted on sampled
 documents that the weights did not see. The model is a matrix of `BUCKETS` x languages whatever the corpus.
@@ -63,6 +63,18 @@ def slices(texts: list[str | None], most: int = 400_000) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def pieces(texts: list[str], most: int = 400_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts with long ones cut into pieces, each with the characters that its last n-grams reach into; the text
+    of each piece; and how many of its characters start n-grams."""
+    out, of, n = [], [], []
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t)), most):
+            out.append(t[a : a + most + ORDERS - 1])
+            of.append(i)
+            n.append(min(most, len(t) - a))
+    return out, np.array(of, np.int64), np.array(n, np.int64)
+
+
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -70,13 +82,15 @@ def held_out(doc_id):
 def document_frequencies(texts: list[str]) -> np.ndarray:
     total = np.zeros(BUCKETS, np.int64)
     seen = np.zeros(BUCKETS, bool)
-    for lo, hi in slices(texts):
-        g, first, last = grams(texts[lo:hi])
-        for a, b in zip(first.tolist(), last.tolist()):
+    parts, of, n = pieces([t.lower() for t in texts])
+    for lo, hi in slices(parts):
+        g, first, _ = grams(parts[lo:hi])
+        for i, a in enumerate(first.tolist(), lo):
             for x in g:
-                seen[x[a:b]] = True
-            total += seen
-            seen[:] = False
+                seen[x[a : a + n[i]]] = True
+            if i + 1 == len(of) or of[i + 1] != of[i]:
+                total += seen
+                seen[:] = False
     return total
 
 
@@ -129,13 +143,14 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray) -> dict:
 def scores(texts: list[str], model: dict) -> np.ndarray:
     """Probabilities (texts x languages)."""
     out = np.zeros((len(texts), len(model["names"])))
-    for lo, hi in slices(texts):
-        g, first, last = grams(texts[lo:hi])
+    parts, of, n = pieces([t.lower() for t in texts])
+    for lo, hi in slices(parts):
+        g, first, _ = grams(parts[lo:hi])
         for x in g:
             sums = np.zeros((len(x) + 1, out.shape[1]))
             np.cumsum(model["weights"][x], axis=0, dtype=np.float64, out=sums[1:])
-            out[lo:hi] += sums[last] - sums[first]
-        out[lo:hi] /= np.maximum(1, ORDERS * (last - first))[:, None]
+            np.add.at(out, of[lo:hi], sums[first + n[lo:hi]] - sums[first])
+    out /= np.maximum(1, ORDERS * np.bincount(of, n, len(texts)))[:, None]
     s = (out + model["bias"]) / model["temperature"]
     e = np.exp(s - s.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -146,24 +161,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            total += document_frequencies(b["text"].tolist())
-            rows += len(b)
-        yield pd.DataFrame({"df": [total.astype("<i8").tobytes()], "rows": [rows]})
-
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(x, "<i8") for x in parts["df"]), np.zeros(BUCKETS, np.int64))
-        return pd.DataFrame({"df": [total.tobytes()], "rows": [parts["rows"].sum()]})
-
-    # vectors of partitions are added up in 32 tasks first: the driver gets 32 vectors whatever their number
-    parts = known.select("text").mapInPandas(count, "df binary, rows long")
-    some = parts.withColumn("slot", F.pmod(F.xxhash64("df", F.spark_partition_id()), F.lit(32)).cast("int"))
-    sums = some.groupBy("slot").applyInPandas(add, "df binary, rows long").collect()
-    rows = sum(r["rows"] for r in sums)
+            df = document_frequencies(b["text"].tolist())
+            at = np.flatnonzero(df)
+            yield pd.DataFrame({"bucket": np.r_[-1, at], "n": np.r_[len(b), df[at]]})
+
+    # at most BUCKETS rows a batch, added up within a task and then by bucket; the model has as many rows
+    sums = known.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = sums.toPandas()
+    rows = int(got.loc[got["bucket"] < 0, "n"].sum())
     if not rows:
         return None
-    df = sum(np.frombuffer(r["df"], "<i8") for r in sums)
+    df = np.zeros(BUCKETS, np.int64)
+    seen = got[got["bucket"] >= 0]
+    df[seen["bucket"].to_numpy()] = seen["n"].to_numpy()
     idf = np.log((1 + rows) / (1 + df)) + 0.1
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +182,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
         if len(got):
             yield pd.DataFrame({"model": [pickle.dumps(fit(got["text"].tolist(), got["lang"].tolist(), idf))]})
 
-    picked = known.select("text", "lang", F.xxhash64("doc_id", F.lit("sample")).alias("at")).orderBy("at").limit(sample)
+    # a cut-off that leaves about twice the sample, by the number of rows; few are sorted, whatever the number
+    at = F.xxhash64("doc_id", F.lit("sample"))
+    most = min(1.0, 2 * (sample + 50) / rows)
+    few = known.where(at <= F.lit(int(-(1 << 63) + most * ((1 << 64) - 1)) if most < 1 else (1 << 63) - 1))
+    picked = few.select("lang", at.alias("at"), "text").orderBy("at").limit(sample)
     return pickle.loads(picked.coalesce(1).mapInPandas(learn, "model binary").first()["model"])
 
 

@@ -194,6 +194,51 @@ def test_shards_are_even_and_gapless(spark):
     assert max(load.values()) < 1.05 * sum(load.values()) / 40 + max(map(len, text.values())) / 40
 
 
+@needs_tables
+def test_groups_stay_whole(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        text = {r.doc_id: r.text for r in docs.collect()}
+        of, load, group = defaultdict(set), np.zeros((40, 3)), defaultdict(lambda: np.zeros(3))
+        for r in sharding.packed(docs).collect():
+            of[text[r.doc_id]].add(r.shard)
+            load[r.shard] += (r.size, r.tokens, 1)
+            group[text[r.doc_id]] += (r.size, r.tokens, 1)
+        # a group parts only where it exceeds a whole shard, into as few pieces as fit
+        share = 40 / load.sum(axis=0)
+        assert all(len(s) <= np.ceil(round((group[t] * share).max(), 9)) for t, s in of.items())
+        assert sum(len(s) == 1 for s in of.values()) > 0.95 * len(of)
+        if sf == "sf0.01":
+            assert (load.max(axis=0) < 1.1 * load.mean(axis=0) + [max(len((t or "").encode()) for t in text.values()) / 9, 600, 2]).all()
+
+
+def test_a_group_beyond_a_shard_is_split_and_others_even_out(spark):
+    rows = [(i, "same text " * 5, 1) for i in range(900)] + [(1000 + i, f"t{i} " * (1 + i % 9), 1) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    got = sharding.packed(docs, 10, 100).collect()
+    n = Counter(r.shard for r in got)
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert sum(n.values()) == 2700 and max(n.values()) < 1.2 * 270 and max(size.values()) < 1.2 * sum(size.values()) / 10
+    for s in n:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(n[s]))
+    assert sorted((r.doc_id, r.size) for r in got) == sorted((d, len(t) + 16) for d, t, _ in rows)
+
+
+def test_packing_is_a_plain_loop():
+    rng = np.random.default_rng(3)
+    v = rng.pareto(1.5, (200, 3)) + 0.1
+    room, want = [[1 / 7] * 3 for _ in range(7)], [0] * 200
+    w = v / v.sum(axis=0)
+    for i in sorted(range(200), key=lambda i: -max(w[i])):
+        fit = [j for j in range(7) if all(room[j][k] >= w[i][k] for k in range(3))]
+        j = max(fit, key=lambda j: (sum(room[j][k] * w[i][k] for k in range(3)), -j)) if fit else max(range(7), key=lambda j: (min(room[j][k] - w[i][k] for k in range(3)), -j))
+        want[i] = j
+        room[j] = [room[j][k] - w[i][k] for k in range(3)]
+    assert sharding.pack(v, 7).tolist() == want
+
+
 def plain_fingerprint(t):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
