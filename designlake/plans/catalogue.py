@@ -29,22 +29,10 @@ def url_normalize(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", url.normalized(F.col("url")).alias("url"))
 
 
-def spacing_grid(spark, sf_dir):
-    return tally.spacing_grid(_styles(spark, sf_dir), ["page_id"], "px")
-
-
 def weighted_mode(spark, sf_dir):
     return tally.weighted_mode(_styles(spark, sf_dir), ["page_id"], "px", "area", "ord")
 
 
-def radius_tokens(spark, sf_dir):
-    return tally.radius_tokens(_styles(spark, sf_dir), ["page_id"], "px", "ord")
-
-
-def breakpoint_asof(spark, sf_dir):
-    return tally.asof_forward(_styles(spark, sf_dir).select("ord", "px"), "px", [8, 16, 32, 48])
-
-
 def _channels():
     return [((F.col("p_partkey") * 37) % 256), ((F.col("p_partkey") * 59) % 256), ((F.col("p_size") * 5) % 256)]
 
@@ -108,7 +96,7 @@ def page_links(spark, sf_dir):
     return tally.tally(a, ["page_id"], "href", "t")
 
 
-QUERIES = [tag_tally, url_normalize, spacing_grid, weighted_mode, radius_tokens, breakpoint_asof, color_oklab, tree_descendants, tree_children, node_signature, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
+QUERIES = [tag_tally, url_normalize, weighted_mode, color_oklab, tree_descendants, tree_children, node_signature, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
 
 
 def queries() -> dict:
@@ -155,19 +143,9 @@ WITH u AS (SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^https?://')
 s AS (SELECT page_id, lower(regexp_extract(u, '^([^/?#]*//[^/?#]*)', 1)) AS o, regexp_extract(u, '^[^/?#]*//[^/?#]*(/[^?#]*)', 1) AS p,
   list_filter(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|fbclid[^=]*|gclid[^=]*|ref|ref_[^=]*)(=.*)?$')) AS q FROM u)
 SELECT page_id, o || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM s""",
-    "spacing_grid": f"""
-WITH s AS ({STYLES}), g AS (SELECT page_id, count(*) AS total, count(*) FILTER (px % 8 = 0) / count(*) AS a, count(*) FILTER (px % 6 = 0) / count(*) AS b,
-  count(*) FILTER (px % 4 = 0) / count(*) AS c, count(*) FILTER (px % 2 = 0) / count(*) AS d FROM s WHERE px > 0 AND px <= 256 GROUP BY page_id)
-SELECT page_id, total, CASE WHEN a >= 0.6 THEN 8 WHEN b >= 0.6 THEN 6 WHEN c >= 0.6 THEN 4 ELSE 2 END AS base,
-  round(CASE WHEN a >= 0.6 THEN a WHEN b >= 0.6 THEN b WHEN c >= 0.6 THEN c ELSE d END, 6) AS confidence FROM g""",
     "weighted_mode": f"""
 WITH s AS ({STYLES}), g AS (SELECT page_id, px, CAST(sum(area) AS BIGINT) AS weight, min(ord) AS o FROM s GROUP BY ALL)
 SELECT page_id, px, weight FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, o) = 1""",
-    "radius_tokens": f"""
-WITH s AS ({STYLES}), g AS (SELECT page_id, px, count(*) AS n, min(ord) AS o FROM s WHERE px > 0 GROUP BY ALL),
-k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, o) <= 6)
-SELECT page_id, px, n, ['sm', 'md', 'lg', 'xl', '2xl', '3xl'][row_number() OVER (PARTITION BY page_id ORDER BY px)] AS token FROM k""",
-    "breakpoint_asof": f"WITH s AS ({STYLES}), p AS (SELECT unnest([8, 16, 32, 48]) AS b) SELECT ord, px, CAST(coalesce((SELECT min(b) FROM p WHERE b > px), 8) AS INTEGER) AS next_point FROM s",
     "color_oklab": f"""
 WITH c AS (SELECT p_partkey, (p_partkey * 37) % 256 AS r, (p_partkey * 59) % 256 AS g, (p_size * 5) % 256 AS b FROM part),
 x AS (SELECT *, {_linear("r")} AS lr, {_linear("g")} AS lg, {_linear("b")} AS lb FROM c),
