@@ -1,15 +1,23 @@
-"""Page elements as a tree: nodes with depth, parent and subtree from the order of open and close tags.
+"""Page elements as a tree: nodes with parent, depth and subtree from the order of tags.
 
-All steps are windows within a page; a page is the unit of distribution, and descendants are counted from
-positions, so that no ancestor is joined with its descendants.
+Steps are windows within a page, which is the unit of distribution. Markup is read as follows, in one pass: comments,
+scripts and styles go first; tags in `SKIPPED` are no nodes, and with `html` no part of the tree; tags in `INLINE` hold
+their own text only; a `p` lasts until it is closed or another block starts or ends; every other tag (a block) lasts
+until it is closed, or to the end of the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CONTAINERS = ("nav", "ul", "li", "div", "article", "footer", "body")
+# Tags that are no nodes, tags without content, and tags inside a line of text.
+SKIPPED = ["script", "style", "noscript", "template", "link", "meta", "head", "title", "br", "wbr", "source", "track", "param", "base", "html"]
+VOID = ["img", "input", "hr", "area", "col", "embed"]
+INLINE = ["a", "b", "i", "em", "strong", "span", "small", "u", "code", "sub", "sup", "label"]
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+UNSEEN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<![^>]*>"
+HOPS = 8
 
 
 def tags(pages: DataFrame) -> DataFrame:
@@ -17,37 +25,115 @@ def tags(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("t", "tag"))
 
 
+def _collapsed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def nodes(pages: DataFrame) -> DataFrame:
-    """page_id, i, tag, depth, n_descendants of each container element; i counts them in document order."""
-    token = F.regexp_extract_all("html", F.lit(rf"(</?(?:{'|'.join(CONTAINERS)})(?: [^>]*)?>)"), 1)
-    t = pages.select("page_id", F.posexplode(token).alias("t", "token"))
-    opens = (~F.col("token").startswith("</")).cast("int")
-    t = t.select("page_id", "t", opens.alias("opens"), F.regexp_extract("token", r"^</?([a-z]+)", 1).alias("tag"))
-    so_far = Window.partitionBy("page_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("seen", F.sum("opens").over(so_far)).withColumn("level", F.sum(2 * F.col("opens") - 1).over(so_far) + 1 - F.col("opens"))
-    t = t.withColumn("total", F.sum("opens").over(Window.partitionBy("page_id")))
-    # the next tag at a node's own level is the one that closes it
-    close = F.lead("seen").over(Window.partitionBy("page_id", "level").orderBy("t"))
-    t = t.withColumn("until", F.coalesce(close, "total")).where("opens = 1")
-    return t.select("page_id", (F.col("seen") - 1).cast("long").alias("i"), "tag", F.col("level").cast("long").alias("depth"), (F.col("until") - F.col("seen")).cast("long").alias("n_descendants"))
-
-
-def with_parent(n: DataFrame) -> DataFrame:
-    """nodes with parent (null for a root): the last node before one, a level up, whose subtree has not ended."""
-    both = n.withColumn("s", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.col("i").alias("up")), F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("long").alias("up")))))
-    last = F.last("s.up", ignorenulls=True).over(Window.partitionBy("page_id", "s.level").orderBy("i"))
-    return both.withColumn("parent", last).where("s.up is null").drop("s")
+    """page_id, i, tag, parent (null for a root), depth, n_descendants, own_text, t and end of each element.
+
+    i counts a page's elements in document order; t and end are numbers of tags.
+    """
+    clean = pages.select("page_id", F.regexp_replace("html", UNSEEN, "").alias("html"))
+    # the text after a tag has the tag's number
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit("<[^>]*>"), 0).alias("token"), F.slice(F.split("html", "<[^>]*>"), 2, 1 << 30).alias("after"))
+    t = clean.select("page_id", F.posexplode(both).alias("t", "x")).select("page_id", F.col("t").cast("long").alias("t"), "x.token", F.coalesce("x.after", F.lit("")).alias("after"))
+    tag = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    t = t.withColumn("tag", tag).withColumn("close", F.col("token").startswith("</"))
+    line, leaf = F.col("tag").isin(*INLINE), F.col("tag").isin(*VOID)
+    t = t.withColumn("kind", F.when(F.col("tag").isin("", *SKIPPED), "none").when(leaf, "leaf").when(line, "inline").when(F.col("tag") == "p", "p").otherwise("block"))
+    t = t.withColumn("node", ((F.col("kind") != "none") & ~F.col("close")).cast("int"))
+    block = F.when(F.col("kind") == "block", F.when(F.col("close"), -1).otherwise(1)).otherwise(0)
+    page = Window.partitionBy("page_id").orderBy("t")
+    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("seen", F.sum("node").over(so_far)).withColumn("level", F.sum(block).over(so_far))
+    t = t.withColumn("i", F.when(F.col("node") == 1, F.col("seen") - 1)).withColumn("last_t", F.max("t").over(Window.partitionBy("page_id")) + 1)
+    # what ends a p, and the p that is open before and after a tag
+    mark = F.col("kind").isin("p", "block")
+    t = t.withColumn("p_end", F.min(F.when(mark, F.col("t"))).over(page.rowsBetween(1, Window.unboundedFollowing)))
+    here = F.when(mark, F.struct(F.when((F.col("kind") == "p") & ~F.col("close"), F.col("i")).alias("i")))
+    t = t.withColumn("p_now", F.last(here, ignorenulls=True).over(so_far)["i"]).withColumn("p_was", F.last(here, ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, -1))["i"])
+    # a block and its end tag share a level
+    is_block = F.col("kind") == "block"
+    own = F.col("level") + F.when(is_block & F.col("close"), 1).otherwise(0)
+    ends = F.lead("t").over(Window.partitionBy("page_id", is_block, own).orderBy("t"))
+    end = F.when(is_block, ends).when(F.col("kind") == "p", F.col("p_end")).otherwise(F.col("t") + 1)
+    t = t.withColumn("end", F.coalesce(end, "last_t"))
+    # the innermost open block: the last one opened at the level that a tag finds, or leaves
+    opened = F.when(is_block & ~F.col("close"), F.col("i"))
+    t = t.withColumn("up", F.col("level") - F.when(is_block & ~F.col("close"), 1).otherwise(0))
+    each = t.withColumn("s", F.explode(F.when(opened.isNotNull(), F.array(F.struct(F.col("level").alias("at"), opened.alias("of"), F.lit(0).alias("part")), F.struct(F.col("up").alias("at"), F.lit(None).cast("long").alias("of"), F.lit(1).alias("part")))).otherwise(F.array(F.struct(F.col("level").alias("at"), F.lit(None).cast("long").alias("of"), F.lit(1).alias("part"))))))
+    each = each.withColumn("block", F.last("s.of", ignorenulls=True).over(Window.partitionBy("page_id", "s.at").orderBy("t", "s.part"))).where("s.part = 1")
+    parent = F.when(F.col("kind").isin("inline", "leaf"), F.coalesce("p_was", "block")).otherwise(F.col("block"))
+    depth = F.col("up") + 1 + F.when(F.col("kind").isin("inline", "leaf") & F.col("p_was").isNotNull(), 1).otherwise(0)
+    # the element that the text after a tag belongs to
+    owner = F.when((F.col("kind") == "inline") & ~F.col("close"), F.col("i")).when((F.col("kind") == "block") & ~F.col("close"), F.col("i")).otherwise(F.coalesce("p_now", "block"))
+    each = each.withColumn("parent", parent).withColumn("depth", depth).withColumn("owner", owner)
+    text = each.where("owner is not null").groupBy("page_id", F.col("owner").alias("i")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "after"))), lambda x: x["after"]), "").alias("own"))
+    n = each.where("node = 1").select("page_id", "i", "tag", "parent", "depth", "t", "end", "token")
+    # the elements of a subtree are those whose tags stand in it
+    count = each.where("node = 1").select("page_id", F.col("t").alias("end"), F.lit(1).alias("one")).unionByName(n.select("page_id", "end", F.lit(0).alias("one")).distinct())
+    upto = F.sum("one").over(Window.partitionBy("page_id").orderBy("end", F.desc("one")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("one")
+    upto = count.select("page_id", "end", "one", upto.alias("upto")).groupBy("page_id", "end").agg(F.min("upto").alias("upto"))
+    n = n.join(upto, ["page_id", "end"]).join(text, ["page_id", "i"], "left")
+    return n.select("page_id", "i", "tag", "parent", F.col("depth").cast("long").alias("depth"), (F.col("upto") - F.col("i") - 1).alias("n_descendants"), F.substring(_collapsed(F.coalesce("own", F.lit(""))), 1, 400).alias("own_text"), "t", "end", "token")
 
 
 def signatures(n: DataFrame) -> DataFrame:
-    """Each node's tag with its sorted child tags."""
-    p = with_parent(n)
-    kids = p.where("parent is not null").groupBy("page_id", F.col("parent").alias("i")).agg(F.count("*").alias("n_children"), F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("kids"))
-    return n.join(kids, ["page_id", "i"], "left").select("page_id", "i", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.concat("tag", F.lit("["), F.coalesce("kids", F.lit("")), F.lit("]")).alias("signature"))
+    """page_id, i, n_children, signature: a node's tag, its sorted child tags, marks of media, headings and links in its
+    subtree, and the size of the subtree as a power of two."""
+    kids = n.where("parent is not null").groupBy("page_id", F.col("parent").alias("i")).agg(F.count("*").alias("n_children"), F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("kids"))
+    so_far = Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    marks = {"m": ["img", "svg", "picture"], "h": HEADINGS, "a": ["a", "button"]}
+    run = n.select("page_id", "i", "tag", "n_descendants", *[F.sum(F.col("tag").isin(*v).cast("int")).over(so_far).alias(k) for k, v in marks.items()])
+    # what a subtree holds: the running counts at its last element less those at its first
+    last = run.select("page_id", F.col("i").alias("last"), *[F.col(k).alias(f"{k}_end") for k in marks])
+    run = run.withColumn("last", F.col("i") + F.col("n_descendants")).join(last, ["page_id", "last"])
+    flags = [F.when(F.col(f"{k}_end") > F.col(k), f"+{k}").otherwise("") for k in marks]
+    size = F.floor(F.log2(F.col("n_descendants") + 1.0)).cast("long").cast("string")
+    return run.join(kids, ["page_id", "i"], "left").select("page_id", "i", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.concat("tag", F.lit("["), F.coalesce("kids", F.lit("")), F.lit("]"), *flags, F.lit("~"), size).alias("signature"))
 
 
-def nth_of_type(n: DataFrame) -> DataFrame:
+def steps(n: DataFrame) -> DataFrame:
     """page_id, i and step: the node's part of a selector path, its tag and its place among its parent's like tags."""
-    same = Window.partitionBy("page_id", "parent", "tag").orderBy("i")
-    nth = F.row_number().over(same)
-    return with_parent(n).select("page_id", "i", F.concat("tag", F.lit(":nth-of-type("), nth, F.lit(")")).alias("step"))
+    nth = F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("i"))
+    return n.select("page_id", "i", F.concat("tag", F.lit(":nth-of-type("), nth.cast("string"), F.lit(")")).alias("step"))
+
+
+def ancestors(n: DataFrame) -> DataFrame:
+    """page_id, i, ancestor, hop: every element above each, 1 for its parent; a merge join by page with an interval."""
+    low, up = n.select("page_id", "i", "depth"), n.select("page_id", F.col("i").alias("ancestor"), F.col("depth").alias("up"), "n_descendants").where("n_descendants > 0")
+    j = low.join(up, "page_id").where((F.col("ancestor") < F.col("i")) & (F.col("i") <= F.col("ancestor") + F.col("n_descendants")))
+    return j.select("page_id", "i", "ancestor", (F.col("depth") - F.col("up")).alias("hop"))
+
+
+def paths(n: DataFrame, most: int = HOPS) -> DataFrame:
+    """page_id, i, path: the steps of an element and of up to most - 1 above it, but for body."""
+    s = steps(n)
+    own = n.select("page_id", "i", F.col("i").alias("ancestor"), F.lit(0).cast("long").alias("hop"))
+    all_ = own.unionByName(ancestors(n)).where(F.col("hop") < most).join(s.withColumnRenamed("i", "ancestor"), ["page_id", "ancestor"]).where(~F.col("step").startswith("body:"))
+    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hop", "step")), asc=False), lambda x: x["step"]), " > ")
+    return all_.groupBy("page_id", "i").agg(path.alias("path"))
+
+
+def repeats(n: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """page_id, parent, signature, n, children: the largest group of children of one signature, the first seen of equal
+    ones, where it has `least` members and `share` of the children."""
+    s = n.where("parent is not null").select("page_id", "i", "parent").join(signatures(n), ["page_id", "i"])
+    g = s.groupBy("page_id", "parent", "signature").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    g = g.withColumn("children", F.sum("n").over(Window.partitionBy("page_id", "parent")))
+    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "parent").orderBy(F.desc("n"), "first")))
+    return g.where((F.col("rank") == 1) & (F.col("n") >= least) & (F.col("n") >= share * F.col("children"))).drop("rank", "first")
+
+
+def subtree(n: DataFrame, root: DataFrame) -> DataFrame:
+    """The subtree of one element of each page (root: page_id, i) as a tree of its own: page_id, i, parent, tag, depth;
+    the root is 0 and its parent -1."""
+    r = root.select("page_id", F.col("i").alias("root")).join(n.select("page_id", F.col("i").alias("root"), F.col("depth").alias("top"), "n_descendants"), ["page_id", "root"]).withColumnRenamed("n_descendants", "size")
+    s = n.join(r, "page_id").where((F.col("i") >= F.col("root")) & (F.col("i") <= F.col("root") + F.col("size")))
+    return s.select("page_id", (F.col("i") - F.col("root")).alias("i"), F.when(F.col("i") == F.col("root"), -1).otherwise(F.col("parent") - F.col("root")).cast("long").alias("parent"), "tag", (F.col("depth") - F.col("top")).alias("depth"))
+
+
+def boxes(n: DataFrame, width: int = 1440, line: int = 24) -> DataFrame:
+    """n with x, y, w, h: where a plain layout puts each element, one line for each, and 20 px in from its parent."""
+    return n.select("*", (F.col("depth") * 20).alias("x"), (F.col("i") * line).alias("y"), (F.lit(width) - F.col("depth") * 40).alias("w"), ((F.col("n_descendants") + 1) * line).alias("h"))

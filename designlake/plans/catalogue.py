@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import challenge, color, url
-from ..operators import jobs, tally, tree
+from ..operators import jobs, sections, tally, tree
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,16 +43,66 @@ def color_oklab(spark, sf_dir):
     return p.select("p_partkey", "hex", F.round("l", 4).alias("lightness"), F.round(F.hypot("a", "b"), 4).alias("chroma"))
 
 
-def tree_descendants(spark, sf_dir):
+def _nodes(spark, sf_dir):
     return tree.nodes(_t(spark, sf_dir, "pages"))
 
 
+def dom_nodes(spark, sf_dir):
+    """Every element with its parent, depth, subtree size and own text."""
+    return _nodes(spark, sf_dir).drop("t", "end", "token")
+
+
+def tree_descendants(spark, sf_dir):
+    return _nodes(spark, sf_dir).select("page_id", "i", "tag", "depth", "n_descendants")
+
+
 def tree_children(spark, sf_dir):
-    return tree.with_parent(tree.nodes(_t(spark, sf_dir, "pages"))).select("page_id", "i", "tag", "parent")
+    return _nodes(spark, sf_dir).select("page_id", "i", "tag", "parent")
 
 
 def node_signature(spark, sf_dir):
-    return tree.signatures(tree.nodes(_t(spark, sf_dir, "pages")))
+    return tree.signatures(_nodes(spark, sf_dir))
+
+
+def tree_ancestors(spark, sf_dir):
+    return tree.ancestors(_nodes(spark, sf_dir))
+
+
+def css_paths(spark, sf_dir):
+    return tree.paths(_nodes(spark, sf_dir))
+
+
+def repeat_groups(spark, sf_dir):
+    return tree.repeats(_nodes(spark, sf_dir))
+
+
+def subtree_slice(spark, sf_dir):
+    """The largest element of each page with three levels above it or more, as a tree of its own; the first of equal ones."""
+    n = _nodes(spark, sf_dir)
+    root = n.where("depth >= 2").groupBy("page_id").agg(F.max(F.struct("n_descendants", (-F.col("i")).alias("o")))["o"].alias("o")).select("page_id", (-F.col("o")).alias("i"))
+    return tree.subtree(n, root)
+
+
+def selector_lookup(spark, sf_dir):
+    """Of each page the element of a path (the second item of a list), else the largest of a class (`ad`), else -1."""
+    n = _nodes(spark, sf_dir)
+    exact = tree.paths(n).where("path like '%li:nth-of-type(2)'").groupBy("page_id").agg(F.min("i").alias("exact"))
+    of_class = n.where(F.col("token").rlike('class="([^"]* )?ad( [^"]*)?"')).groupBy("page_id").agg(F.max(F.struct("n_descendants", (-F.col("i")).alias("o")))["o"].alias("o"))
+    return _t(spark, sf_dir, "pages").select("page_id").join(exact, "page_id", "left").join(of_class, "page_id", "left").select("page_id", F.coalesce("exact", -F.col("o"), F.lit(-1)).alias("i"))
+
+
+def content_root(spark, sf_dir):
+    return sections.content_root(tree.boxes(_nodes(spark, sf_dir)))
+
+
+def section_candidates(spark, sf_dir):
+    return sections.candidates(tree.boxes(_nodes(spark, sf_dir)))
+
+
+def section_classify(spark, sf_dir):
+    n = tree.boxes(_nodes(spark, sf_dir))
+    f = sections.features(n, sections.candidates(n)).withColumn("kind", sections.kind())
+    return f.select("page_id", "i", "kind", F.concat(F.lit("section-"), (F.col("ord") + 1).cast("string"), F.lit("-"), "kind").alias("id"), "links", "repeat", F.length("text").alias("chars"))
 
 
 def meta_extract(spark, sf_dir):
@@ -74,7 +124,7 @@ def job_ttl_sweep(spark, sf_dir):
 
 
 def nth_of_type(spark, sf_dir):
-    return tree.nth_of_type(tree.nodes(_t(spark, sf_dir, "pages")))
+    return tree.steps(_nodes(spark, sf_dir))
 
 
 def challenge_verdict(spark, sf_dir):
@@ -96,7 +146,7 @@ def page_links(spark, sf_dir):
     return tally.tally(a, ["page_id"], "href", "t")
 
 
-QUERIES = [tag_tally, url_normalize, weighted_mode, color_oklab, tree_descendants, tree_children, node_signature, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
+QUERIES = [tag_tally, url_normalize, weighted_mode, color_oklab, tree_descendants, tree_children, node_signature, dom_nodes, tree_ancestors, css_paths, repeat_groups, subtree_slice, selector_lookup, content_root, section_candidates, section_classify, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
 
 
 def queries() -> dict:
@@ -107,15 +157,54 @@ def _linear(c: str) -> str:
     return f"CASE WHEN {c} / 255.0 <= 0.04045 THEN {c} / 255.0 / 12.92 ELSE pow((CAST({c} / 255.0 AS DOUBLE) + 0.055) / 1.055, 2.4) END"
 
 
+_Q = lambda names: ", ".join(f"'{n}'" for n in names)
+#: Elements by their spans: a parent is the innermost span around a tag, found by a join instead of running levels.
 _NODES = rf"""
-tok AS (SELECT page_id, unnest(x) AS token, unnest(range(len(x))) AS t FROM (
-  SELECT page_id, regexp_extract_all(html, '(</?(?:{"|".join(tree.CONTAINERS)})(?: [^>]*)?>)', 1) AS x FROM pages)),
-lev AS (SELECT *, token NOT LIKE '</%' AS o, sum(CASE WHEN token LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY t) AS d FROM tok),
-node AS (SELECT page_id, t, CAST(row_number() OVER (PARTITION BY page_id ORDER BY t) - 1 AS BIGINT) AS i, regexp_extract(token, '^<([a-z]+)', 1) AS tag, CAST(d AS BIGINT) AS depth FROM lev WHERE o),
-fin AS (SELECT n.page_id, n.i, coalesce(min(c.t), 1000000000) AS e FROM node n LEFT JOIN lev c ON c.page_id = n.page_id AND c.t > n.t AND c.d < n.depth GROUP BY ALL),
-span AS (SELECT n.*, f.e FROM node n JOIN fin f USING (page_id, i)),
-par AS (SELECT c.page_id, c.i, c.tag, max(p.i) AS parent FROM span c LEFT JOIN span p ON p.page_id = c.page_id AND p.t < c.t AND p.e > c.t GROUP BY ALL)
+cl AS (SELECT page_id, regexp_replace(html, '{tree.UNSEEN}', '', 'g') AS html FROM pages),
+tk AS (SELECT page_id, unnest(regexp_extract_all(html, '<[^>]*>')) AS token, unnest(string_split_regex(html, '<[^>]*>')[2:]) AS after, unnest(range(len(regexp_extract_all(html, '<[^>]*>')))) AS t FROM cl),
+tg AS (SELECT *, lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, token LIKE '</%' AS cl FROM tk),
+kd AS (SELECT *, CASE WHEN tag IN ('', {_Q(tree.SKIPPED)}) THEN 'none' WHEN tag IN ({_Q(tree.VOID)}) THEN 'leaf' WHEN tag IN ({_Q(tree.INLINE)}) THEN 'inline' WHEN tag = 'p' THEN 'p' ELSE 'block' END AS kind,
+  max(t) OVER (PARTITION BY page_id) + 1 AS last_t FROM tg),
+lv AS (SELECT *, CAST(sum(CASE WHEN kind <> 'block' THEN 0 WHEN cl THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY t) AS BIGINT) AS lev FROM kd),
+el AS (SELECT page_id, t, tag, kind, lev, last_t, token, row_number() OVER (PARTITION BY page_id ORDER BY t) - 1 AS i FROM lv WHERE NOT cl AND kind <> 'none'),
+be AS (SELECT e.page_id, e.i, min(c.t) AS e FROM el e JOIN lv c ON c.page_id = e.page_id AND c.t > e.t AND c.kind = 'block' AND c.cl AND c.lev < e.lev WHERE e.kind = 'block' GROUP BY ALL),
+pe AS (SELECT e.page_id, e.i, min(c.t) AS e FROM el e JOIN lv c ON c.page_id = e.page_id AND c.t > e.t AND c.kind IN ('p', 'block') WHERE e.kind = 'p' GROUP BY ALL),
+span AS (SELECT el.*, CASE WHEN kind = 'block' THEN coalesce(be.e, last_t) WHEN kind = 'p' THEN coalesce(pe.e, last_t) ELSE t + 1 END AS e FROM el LEFT JOIN be USING (page_id, i) LEFT JOIN pe USING (page_id, i)),
+par AS (SELECT c.page_id, c.i, c.tag, c.t, c.e, c.token, max(p.i) AS parent, count(p.i) + 1 AS depth FROM span c LEFT JOIN span p ON p.page_id = c.page_id AND p.t < c.t AND p.e > c.t AND (p.kind = 'block' OR p.kind = 'p' AND c.kind IN ('inline', 'leaf')) GROUP BY ALL),
+nd AS (SELECT a.page_id, a.i, a.tag, a.parent, a.depth, a.t, a.e, a.token, count(d.i) AS n_descendants FROM par a LEFT JOIN span d ON d.page_id = a.page_id AND d.t > a.t AND d.t < a.e GROUP BY ALL),
+ow AS (SELECT x.page_id, x.t, x.after, max(s.i) AS i FROM lv x JOIN span s ON s.page_id = x.page_id AND s.t <= x.t AND s.e > x.t AND (s.kind <> 'leaf') AND (s.kind <> 'inline' OR s.t = x.t) GROUP BY ALL),
+tx AS (SELECT page_id, i, substr(trim(regexp_replace(string_agg(after, '' ORDER BY t), '\s+', ' ', 'g')), 1, 400) AS own_text FROM ow GROUP BY ALL),
+full_ AS (SELECT nd.*, coalesce(own_text, '') AS own_text FROM nd LEFT JOIN tx USING (page_id, i))
 """
+_STEPS = "st AS (SELECT page_id, i, tag || ':nth-of-type(' || row_number() OVER (PARTITION BY page_id, parent, tag ORDER BY i) || ')' AS step FROM nd)"
+_ABOVE = "ab AS (SELECT n.page_id, n.i, a.i AS ancestor, n.depth - a.depth AS hop FROM nd n JOIN nd a ON a.page_id = n.page_id AND a.i < n.i AND n.i <= a.i + a.n_descendants)"
+_PATHS = f"""{_STEPS}, {_ABOVE}, hops AS (SELECT * FROM ab UNION ALL SELECT page_id, i, i, 0 FROM nd),
+pt AS (SELECT h.page_id, h.i, string_agg(step, ' > ' ORDER BY hop DESC) AS path FROM hops h JOIN st ON st.page_id = h.page_id AND st.i = h.ancestor WHERE hop < {tree.HOPS} AND step NOT LIKE 'body:%' GROUP BY ALL)"""
+_HAS = lambda k, tags: f"CASE WHEN count(d.i) FILTER (d.tag IN ({_Q(tags)})) > 0 THEN '+{k}' ELSE '' END"
+_SIGNED = f"""
+k AS (SELECT page_id, parent AS i, count(*) AS n, string_agg(tag, ',' ORDER BY tag) AS kids FROM nd WHERE parent IS NOT NULL GROUP BY ALL),
+f AS (SELECT n.page_id, n.i, {_HAS("m", ["img", "svg", "picture"])} || {_HAS("h", tree.HEADINGS)} || {_HAS("a", ["a", "button"])} AS flags FROM nd n LEFT JOIN nd d ON d.page_id = n.page_id AND d.i > n.i AND d.i <= n.i + n.n_descendants GROUP BY ALL),
+sg AS (SELECT nd.page_id, nd.i, nd.parent, coalesce(k.n, 0) AS n_children, tag || '[' || coalesce(kids, '') || ']' || flags || '~' || CAST(floor(log2(n_descendants + 1)) AS BIGINT) AS signature FROM nd JOIN f USING (page_id, i) LEFT JOIN k USING (page_id, i))"""
+_REPEATS = """
+gr AS (SELECT page_id, parent, signature, count(*) AS n, min(i) AS o FROM sg WHERE parent IS NOT NULL GROUP BY ALL),
+rp AS (SELECT page_id, parent, signature, n, CAST(sum(n) OVER (PARTITION BY page_id, parent) AS BIGINT) AS children FROM gr QUALIFY row_number() OVER (PARTITION BY page_id, parent ORDER BY n DESC, o) = 1),
+rep AS (SELECT * FROM rp WHERE n >= 3 AND n >= 0.6 * children)"""
+_BOX = "bx AS (SELECT *, i * 24 AS y, 1440 - depth * 40 AS w, (n_descendants + 1) * 24 AS h, (1440 - depth * 40) * (n_descendants + 1) * 24 AS area FROM full_)"
+_ROOT = f"""{_BOX},
+kk AS (SELECT page_id, parent, count(*) AS n, min(i) AS sole, arg_min(area, i) AS only_area, min(i) FILTER (tag = 'main') AS main FROM bx WHERE parent IS NOT NULL AND area > 0 GROUP BY ALL),
+mc AS (SELECT page_id, parent AS main, count(*) AS in_main FROM bx WHERE parent IS NOT NULL GROUP BY ALL),
+r0 AS (SELECT page_id, min(i) AS i, arg_min(area, i) AS area FROM bx WHERE parent IS NULL GROUP BY page_id)""" + "".join(
+    f""",
+r{s + 1} AS (SELECT v.page_id, v.i, bx.area FROM (SELECT r.page_id, CASE WHEN kk.n = 1 AND only_area > r.area * {sections.FILLS} THEN sole WHEN in_main >= 2 THEN kk.main ELSE r.i END AS i FROM r{s} r LEFT JOIN kk ON kk.page_id = r.page_id AND kk.parent = r.i LEFT JOIN mc ON mc.page_id = r.page_id AND mc.main = kk.main) v JOIN bx USING (page_id, i))"""
+    for s in range(6)
+)
+_FOUND = f"""{_ROOT},
+top AS (SELECT page_id, min(i) AS top FROM bx WHERE parent IS NULL GROUP BY page_id),
+cf AS (SELECT b.page_id, b.i, b.y FROM bx b JOIN r6 ON r6.page_id = b.page_id AND b.parent = r6.i WHERE b.h >= {sections.LEAST_HEIGHT} AND b.w >= {sections.VIEWPORT * sections.LEAST_WIDTH}
+  UNION SELECT b.page_id, b.i, b.y FROM bx b JOIN top ON top.page_id = b.page_id AND b.parent = top.top WHERE b.tag IN ('header', 'nav', 'footer') AND b.h >= {sections.CHROME_HEIGHT}),
+ca AS (SELECT * FROM cf UNION ALL SELECT r6.page_id, r6.i, bx.y FROM r6 JOIN bx USING (page_id, i) WHERE r6.page_id NOT IN (SELECT page_id FROM cf)),
+cand AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY y, i) - 1 AS ord, count(*) OVER (PARTITION BY page_id) AS total FROM ca)"""
+_IN = lambda *t: f"count(*) FILTER (d.i > s.i AND d.tag IN ({_Q(t)}))"
 
 LATEST = 'SELECT user_id, count(*) AS n_events, arg_max(event_type, row(ts, event_id)) AS state, max(ts) AS "at" FROM events GROUP BY user_id'
 
@@ -124,7 +213,31 @@ _PHRASE = " ".join(f"WHEN contains(lower(t), '{p}') THEN '{p}'" for p in challen
 _VENDOR = " ".join(f"WHEN regexp_matches(lower(t || ' ' || url), '{r}') THEN '{v}'" for r, v in challenge.VENDORS)
 
 SQL = {
-    "nth_of_type": f"WITH {_NODES} SELECT page_id, i, tag || ':nth-of-type(' || row_number() OVER (PARTITION BY page_id, parent, tag ORDER BY i) || ')' AS step FROM par",
+    "dom_nodes": f"WITH {_NODES} SELECT page_id, i, tag, parent, depth, n_descendants, own_text FROM full_",
+    "tree_descendants": f"WITH {_NODES} SELECT page_id, i, tag, depth, n_descendants FROM nd",
+    "tree_children": f"WITH {_NODES} SELECT page_id, i, tag, parent FROM nd",
+    "nth_of_type": f"WITH {_NODES}, {_STEPS} SELECT * FROM st",
+    "node_signature": f"WITH {_NODES}, {_SIGNED} SELECT page_id, i, n_children, signature FROM sg",
+    "tree_ancestors": f"WITH {_NODES}, {_ABOVE} SELECT * FROM ab",
+    "css_paths": f"WITH {_NODES}, {_PATHS} SELECT * FROM pt",
+    "repeat_groups": f"WITH {_NODES}, {_SIGNED}, {_REPEATS} SELECT * FROM rep",
+    "subtree_slice": f"""WITH {_NODES}, r AS (SELECT page_id, i AS root, depth AS top, n_descendants AS size FROM nd WHERE depth >= 2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n_descendants DESC, i) = 1)
+SELECT nd.page_id, i - root AS i, CASE WHEN i = root THEN -1 ELSE parent - root END AS parent, tag, depth - top AS depth FROM nd JOIN r ON r.page_id = nd.page_id AND i BETWEEN root AND root + size""",
+    "selector_lookup": f"""WITH {_NODES}, {_PATHS}, ex AS (SELECT page_id, min(i) AS i FROM pt WHERE path LIKE '%li:nth-of-type(2)' GROUP BY page_id),
+cs AS (SELECT page_id, i FROM nd WHERE regexp_matches(token, 'class="([^"]* )?ad( [^"]*)?"') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n_descendants DESC, i) = 1)
+SELECT p.page_id, coalesce(ex.i, cs.i, -1) AS i FROM pages p LEFT JOIN ex USING (page_id) LEFT JOIN cs USING (page_id)""",
+    "content_root": f"WITH {_NODES}, {_ROOT} SELECT page_id, i FROM r6",
+    "section_candidates": f"WITH {_NODES}, {_FOUND} SELECT * FROM cand",
+    "section_classify": f"""WITH {_NODES}, {_SIGNED}, {_REPEATS}, {_FOUND},
+s0 AS (SELECT c.*, b.tag, b.y, b.h, b.n_descendants FROM cand c JOIN bx b USING (page_id, i)),
+ft AS (SELECT s.page_id, s.i, s.ord, s.total, s.tag, s.y, s.h, {_IN("a")} AS links, {_IN("h1")} AS h1, {_IN("blockquote")} AS quotes, {_IN("details", "summary")} AS details, {_IN("form", "input")} AS forms, {_IN("button")} AS buttons, {_IN("img")} AS images,
+  string_agg(d.own_text, ' ' ORDER BY d.i) AS text FROM s0 s JOIN full_ d ON d.page_id = s.page_id AND d.i BETWEEN s.i AND s.i + s.n_descendants GROUP BY ALL),
+fr AS (SELECT ft.*, coalesce(rep.n, 0) AS repeat FROM ft LEFT JOIN rep ON rep.page_id = ft.page_id AND rep.parent = ft.i),
+kn AS (SELECT *, CASE WHEN tag = 'footer' THEN 'footer' WHEN tag = 'nav' OR tag = 'header' AND y < 200 AND h < 200 OR y < 160 AND h <= 120 AND links >= 3 THEN 'nav' WHEN ord >= total - 1 AND links >= 6 THEN 'footer' WHEN h1 > 0 THEN 'hero'
+  WHEN regexp_matches(text, '{sections.PRICE}') AND repeat BETWEEN 2 AND 5 THEN 'pricing' WHEN quotes > 0 OR regexp_matches(text, '{sections.QUOTE}') AND repeat <= 3 THEN 'testimonial' WHEN details > 0 THEN 'faq'
+  WHEN repeat BETWEEN 3 AND 5 AND regexp_matches(text, '{sections.STAT}') AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 240 THEN 'stats' WHEN repeat >= 3 AND images >= repeat THEN 'gallery' WHEN repeat >= 3 THEN 'feature-grid'
+  WHEN forms > 0 OR buttons >= 1 AND h < 520 AND links <= 4 THEN 'cta' ELSE 'content' END AS kind FROM fr)
+SELECT page_id, i, kind, 'section-' || (ord + 1) || '-' || kind AS id, links, repeat, length(text) AS chars FROM kn""",
     "challenge_verdict": f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, {_TEXT} AS t, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n FROM pages),
 e AS (SELECT *, CASE WHEN n >= {challenge.ELEMENTS} THEN NULL {_PHRASE} END AS evidence FROM p)
@@ -152,10 +265,6 @@ x AS (SELECT *, {_linear("r")} AS lr, {_linear("g")} AS lg, {_linear("b")} AS lb
 m AS (SELECT *, {", ".join(f"cbrt({r[0]} * lr + {r[1]} * lg + {r[2]} * lb) AS m{k}" for k, r in enumerate(color.TO_LMS))} FROM x),
 o AS (SELECT *, {", ".join(f"CAST({r[0]} AS DOUBLE) * m0 + CAST({r[1]} AS DOUBLE) * m1 + CAST({r[2]} AS DOUBLE) * m2 AS o{k}" for k, r in enumerate(color.TO_LAB))} FROM m)
 SELECT p_partkey, printf('#%02x%02x%02x', r, g, b) AS hex, round(o0, 4) AS lightness, round(sqrt(o1 * o1 + o2 * o2), 4) AS chroma FROM o""",
-    "tree_descendants": f"WITH {_NODES} SELECT a.page_id, a.i, a.tag, a.depth, count(d.i) AS n_descendants FROM span a LEFT JOIN span d ON d.page_id = a.page_id AND d.t > a.t AND d.t < a.e GROUP BY ALL",
-    "tree_children": f"WITH {_NODES} SELECT page_id, i, tag, parent FROM par",
-    "node_signature": f"""WITH {_NODES}, k AS (SELECT page_id, parent AS i, count(*) AS n, string_agg(tag, ',' ORDER BY tag) AS kids FROM par WHERE parent IS NOT NULL GROUP BY ALL)
-SELECT p.page_id, p.i, coalesce(k.n, 0) AS n_children, p.tag || '[' || coalesce(k.kids, '') || ']' AS signature FROM par p LEFT JOIN k USING (page_id, i)""",
     "meta_extract": r"""SELECT page_id, substr(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), 1, 200) AS title, nullif(trim(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1)), '') AS lang FROM pages""",
     "text_lines": "WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT doc_id, trim(line) AS line, min(pos) AS first_at, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(line)",
     "job_latest_state": LATEST,
