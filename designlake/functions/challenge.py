@@ -23,18 +23,19 @@ PHRASES = [
 ]
 VENDORS = [
     ("cloudflare|cf-ray|ray id", "Cloudflare"),
-    ("akamai|reference #[0-9]", "Akamai"),
+    (r"akamai|reference #\d", "Akamai"),
     ("perimeterx|px-captcha", "PerimeterX"),
     ("datadome", "DataDome"),
     ("imperva|incapsula", "Imperva"),
     ("hcaptcha", "hCaptcha"),
     ("recaptcha", "reCAPTCHA"),
 ]
+# The name where no protection is known, and the elements from which on a page is a real one that only
+# mentions a phrase.
 OTHER = "a bot-protection service"
-#: A page with at least as many elements is a real one that only mentions a phrase.
 ELEMENTS = 60
 
-UNSEEN = r"(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<[^>]*>"
+UNSEEN = r"(?is)<!--.*?-->|<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<[^>]*>"
 
 
 def visible_text(html: Column) -> Column:

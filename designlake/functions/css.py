@@ -44,8 +44,8 @@ def oklch(r: Column, g: Column, b: Column) -> list[Column]:
     """Lightness and chroma to 4 places, hue in degrees to 2; a grey has neither chroma nor hue."""
     l, x, y = color.oklab(r, g, b)
     grey = (r == g) & (g == b)
-    hue = F.degrees(F.atan2(y, x))
-    return [F.round(l, 4), F.when(grey, F.lit(0.0)).otherwise(F.round(F.hypot(x, y), 4)), F.when(grey, F.lit(0.0)).otherwise(F.round(F.when(hue < 0, hue + 360).otherwise(hue), 2))]
+    hue = F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
+    return [F.round(l, 4), F.when(grey, F.lit(0.0)).otherwise(F.round(F.hypot(x, y), 4)), F.when(grey, F.lit(0.0)).otherwise(F.round(hue, 2))]
 
 
 def distance(one: list[Column], other: list[Column]) -> Column:
@@ -55,8 +55,10 @@ def distance(one: list[Column], other: list[Column]) -> Column:
 
 
 def colour_name(l: Column, c: Column, h: Column) -> Column:
-    step = F.coalesce(*[F.when(l >= low, F.lit(n)) for low, n in STEPS], F.lit(950)).cast("string")
-    hue = F.coalesce(*[F.when(h < top, F.lit(n)) for top, n in HUES], F.lit("red"))
+    """Hue or neutral, and the step of lightness; each value stands once in the expression."""
+    first = lambda rows, fits: F.get(F.filter(F.array(*[F.struct(F.lit(float(at)).alias("at"), F.lit(str(n)).alias("n")) for at, n in rows]), fits), 0)["n"]
+    step = F.coalesce(first(STEPS, lambda s: l >= s["at"]), F.lit("950"))
+    hue = F.coalesce(first(HUES, lambda s: h < s["at"]), F.lit("red"))
     return F.concat(F.when(c < GREY, F.lit("neutral")).otherwise(hue), F.lit("-"), step)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import challenge, color, url
 from ..operators import jobs, sections, tally, tree
+from ..sources.scratch import written
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,23 +92,39 @@ def selector_lookup(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id").join(exact, "page_id", "left").join(of_class, "page_id", "left").select("page_id", F.coalesce("exact", -F.col("o"), F.lit(-1)).alias("i"))
 
 
+def _boxes(spark, sf_dir):
+    return written(tree.boxes(_nodes(spark, sf_dir)), "nodes")
+
+
 def content_root(spark, sf_dir):
-    return sections.content_root(tree.boxes(_nodes(spark, sf_dir)))
+    return sections.content_root(_boxes(spark, sf_dir))
 
 
 def section_candidates(spark, sf_dir):
-    return sections.candidates(tree.boxes(_nodes(spark, sf_dir)))
+    return sections.candidates(_boxes(spark, sf_dir))
 
 
 def section_classify(spark, sf_dir):
-    n = tree.boxes(_nodes(spark, sf_dir))
-    f = sections.features(n, sections.candidates(n)).withColumn("kind", sections.kind())
+    n = _boxes(spark, sf_dir)
+    f = sections.features(n, written(sections.candidates(n), "candidates")).withColumn("kind", sections.kind())
     return f.select("page_id", "i", "kind", F.concat(F.lit("section-"), (F.col("ord") + 1).cast("string"), F.lit("-"), "kind").alias("id"), "links", "repeat", F.length("text").alias("chars"))
 
 
+#: Parts of a page's head: pattern and most characters.
+META = {
+    "title": (r"(?is)<title[^>]*>(.*?)</title>", 200),
+    "lang": (r'(?i)<html[^>]* lang="([^"]*)"', 100),
+    "description": (r'(?i)<meta[^>]* name="description"[^>]* content="([^"]*)"', 400),
+    "theme_color": (r'(?i)<meta[^>]* name="theme-color"[^>]* content="([^"]*)"', 100),
+    "og_image": (r'(?i)<meta[^>]* property="og:image"[^>]* content="([^"]*)"', 2000),
+    "generator": (r'(?i)<meta[^>]* name="generator"[^>]* content="([^"]*)"', 200),
+    "favicon": (r'(?i)<link[^>]* rel="(?:shortcut )?icon"[^>]* href="([^"]*)"', 2000),
+}
+
+
 def meta_extract(spark, sf_dir):
-    one = lambda p: F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit(""))
-    return _t(spark, sf_dir, "pages").select("page_id", F.substring(one(r"<title>([^<]*)</title>"), 1, 200).alias("title"), one(r'<html[^>]* lang="([^"]*)"').alias("lang"))
+    one = lambda p, n: F.nullif(F.substring(F.trim(F.regexp_replace(F.regexp_extract("html", p, 1), r"\s+", " ")), 1, n), F.lit(""))
+    return _t(spark, sf_dir, "pages").select("page_id", *[one(p, n).alias(k) for k, (p, n) in META.items()])
 
 
 def text_lines(spark, sf_dir):
@@ -128,9 +145,9 @@ def nth_of_type(spark, sf_dir):
 
 
 def challenge_verdict(spark, sf_dir):
-    text, n = challenge.visible_text(F.col("html")), F.regexp_count("html", F.lit("<[a-zA-Z]"))
-    p = _t(spark, sf_dir, "pages").select("page_id", "url", text.alias("text"), n.alias("n"))
-    p = p.withColumn("evidence", challenge.evidence(F.col("text"), F.col("n")))
+    n = _nodes(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n"))
+    p = _t(spark, sf_dir, "pages").select("page_id", "url", challenge.visible_text(F.col("html")).alias("text")).join(n, "page_id", "left")
+    p = p.withColumn("evidence", challenge.evidence(F.col("text"), F.coalesce("n", F.lit(0))))
     blocked = F.col("evidence").isNotNull()
     return p.select("page_id", blocked.alias("blocked"), "evidence", F.when(blocked, challenge.vendor(F.col("text"), F.col("url"))).alias("vendor"))
 
@@ -239,7 +256,7 @@ kn AS (SELECT *, CASE WHEN tag = 'footer' THEN 'footer' WHEN tag = 'nav' OR tag
   WHEN forms > 0 OR buttons >= 1 AND h < 520 AND links <= 4 THEN 'cta' ELSE 'content' END AS kind FROM fr)
 SELECT page_id, i, kind, 'section-' || (ord + 1) || '-' || kind AS id, links, repeat, length(text) AS chars FROM kn""",
     "challenge_verdict": f"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, {_TEXT} AS t, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n FROM pages),
+WITH {_NODES}, p AS (SELECT pages.page_id, coalesce(url, '') AS url, {_TEXT} AS t, coalesce(n, 0) AS n FROM pages LEFT JOIN (SELECT page_id, count(*) AS n FROM el GROUP BY page_id) USING (page_id)),
 e AS (SELECT *, CASE WHEN n >= {challenge.ELEMENTS} THEN NULL {_PHRASE} END AS evidence FROM p)
 SELECT page_id, evidence IS NOT NULL AS blocked, evidence, CASE WHEN evidence IS NULL THEN NULL {_VENDOR} ELSE '{challenge.OTHER}' END AS vendor FROM e""",
     "own_text": f"SELECT page_id, substr(t, 1, 600) AS text, length(t) AS n_chars FROM (SELECT page_id, {_TEXT} AS t FROM pages)",
@@ -253,9 +270,12 @@ g AS (SELECT page_id, tag, count(*) AS n, min(t) AS first_at FROM t GROUP BY ALL
 SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first_at) AS rank FROM g""",
     "url_normalize": r"""
 WITH u AS (SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN trim(url) ELSE 'https://' || trim(url) END AS u FROM pages),
-s AS (SELECT page_id, lower(regexp_extract(u, '^([^/?#]*//[^/?#]*)', 1)) AS o, regexp_extract(u, '^[^/?#]*//[^/?#]*(/[^?#]*)', 1) AS p,
-  list_filter(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|fbclid[^=]*|gclid[^=]*|ref|ref_[^=]*)(=.*)?$')) AS q FROM u)
-SELECT page_id, o || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM s""",
+s AS (SELECT page_id, lower(regexp_extract(u, '^([a-zA-Z]+)://', 1)) AS scheme, regexp_extract(u, '^[^/?#]*//([^/?#]*@)', 1) AS login, lower(regexp_extract(u, '^[^/?#]*//(?:[^/?#]*@)?([^/?#]*)', 1)) AS host,
+  replace(regexp_extract(u, '^[^/?#]*//[^/?#]*(/[^?#]*)', 1), ' ', '%20') AS p, regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS q FROM u),
+k AS (SELECT *, list_filter(string_split(substr(q, 2), '&'), lambda x: regexp_matches(x, '(?i)^(utm_[^=]*|fbclid[^=]*|gclid[^=]*|ref|ref_[^=]*)(=.*)?$')) AS gone,
+  list_filter(string_split(substr(q, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|fbclid[^=]*|gclid[^=]*|ref|ref_[^=]*)(=.*)?$')) AS kept FROM s)
+SELECT page_id, scheme || '://' || login || regexp_replace(host, CASE scheme WHEN 'https' THEN ':(443)?$' ELSE ':(80)?$' END, '') || CASE WHEN p = '' THEN '/' ELSE p END
+  || CASE WHEN len(gone) = 0 THEN replace(q, ' ', '%20') WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_transform(kept, lambda x: replace(CASE WHEN contains(x, '=') THEN x ELSE x || '=' END, ' ', '+')), '&') END AS url FROM k""",
     "weighted_mode": f"""
 WITH s AS ({STYLES}), g AS (SELECT page_id, px, CAST(sum(area) AS BIGINT) AS weight, min(ord) AS o FROM s GROUP BY ALL)
 SELECT page_id, px, weight FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, o) = 1""",
@@ -265,7 +285,7 @@ x AS (SELECT *, {_linear("r")} AS lr, {_linear("g")} AS lg, {_linear("b")} AS lb
 m AS (SELECT *, {", ".join(f"cbrt({r[0]} * lr + {r[1]} * lg + {r[2]} * lb) AS m{k}" for k, r in enumerate(color.TO_LMS))} FROM x),
 o AS (SELECT *, {", ".join(f"CAST({r[0]} AS DOUBLE) * m0 + CAST({r[1]} AS DOUBLE) * m1 + CAST({r[2]} AS DOUBLE) * m2 AS o{k}" for k, r in enumerate(color.TO_LAB))} FROM m)
 SELECT p_partkey, printf('#%02x%02x%02x', r, g, b) AS hex, round(o0, 4) AS lightness, round(sqrt(o1 * o1 + o2 * o2), 4) AS chroma FROM o""",
-    "meta_extract": r"""SELECT page_id, substr(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), 1, 200) AS title, nullif(trim(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1)), '') AS lang FROM pages""",
+    "meta_extract": "SELECT page_id, " + ", ".join(rf"nullif(substr(trim(regexp_replace(regexp_extract(html, '{p}', 1), '\s+', ' ', 'g')), 1, {n}), '') AS {k}" for k, (p, n) in META.items()) + " FROM pages",
     "text_lines": "WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT doc_id, trim(line) AS line, min(pos) AS first_at, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(line)",
     "job_latest_state": LATEST,
     "job_ttl_sweep": f'WITH j AS ({LATEST}) SELECT * FROM j WHERE j."at" < (SELECT max(k."at") FROM j AS k) - INTERVAL 30 MINUTE',

@@ -1 +1 @@
-
+"""Where data comes from: written intermediate tables and untrusted imports."""

@@ -1 +1 @@
-
+"""The same states from streams of events."""

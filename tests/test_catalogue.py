@@ -3,7 +3,10 @@ import os
 import duckdb
 import pytest
 
-from designlake.plans import catalogue
+from designlake.plans import catalogue, design, site
+
+QUERIES = catalogue.queries() | design.queries() | site.queries()
+ORACLES = catalogue.SQL | design.SQL | site.SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,15 +16,15 @@ def flat(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", list(catalogue.queries()))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         if f.endswith(".parquet"):
             con.sql(f"create view {f[:-8]} as select * from '{SF}/{f}'")
-    df = catalogue.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    want = con.sql(catalogue.SQL[name])
+    want = con.sql(ORACLES[name])
     assert sorted(want.columns) == cols
     quoted = ", ".join(f'"{c}"' for c in cols)
     assert flat(df.select(*cols).collect()) == flat(want.project(quoted).fetchall())
