@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import css, text
-from ..operators import effects, palette, tally, typography
+from ..functions import color, css, text
+from ..operators import effects, palette, typography
+from ..sources.scratch import written
 from .catalogue import _linear
-from ..functions import color
 
 _K, _Q, _D, _X = "l_partkey", "CAST(l_quantity AS BIGINT)", "CAST(round(l_discount * 100) AS BIGINT)", "CAST(round(l_tax * 100) AS BIGINT)"
 _S = lambda x: f"CAST({x} AS STRING)"
@@ -111,7 +111,7 @@ def color_observations(spark, sf_dir):
 
 
 def color_clusters(spark, sf_dir):
-    return palette.palette(palette.observations(elements(spark, sf_dir, *_OBSERVED), BY), BY)
+    return palette.palette(written(palette.observations(elements(spark, sf_dir, *_OBSERVED), BY), "observations"), BY)
 
 
 def palette_roles(spark, sf_dir):
