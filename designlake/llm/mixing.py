@@ -100,17 +100,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP,
 
     Sizes are scheduled without the texts; one shuffle by row key brings the texts back.
     """
-    key, n = fresh(docs, "row_key"), fresh(docs, "row_no")
+    key, n, at, of, no, turns = (fresh(docs, c) for c in ("row_key", "row_no", "finish_time", "plan_key", "plan_no", "turns"))
     same = Window.partitionBy(key).orderBy(F.lit(0))
-    full = docs.withColumn(key, F.struct(F.col("doc_id"), F.col("source"), F.xxhash64(*docs.columns).alias("h"))).withColumn(n, F.row_number().over(same))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*docs.columns).alias("h"))
+    full = docs.withColumn(key, F.struct(F.col("doc_id"), F.col("source"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))).withColumn(n, F.row_number().over(same))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
     plan = scheduled(sized, weights, cap, seed).where("copies > 0")
     plan = plan.withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("served")))
     turn = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: (e * F.col("source_size") + F.col("served")) / F.col("target"))
-    plan = plan.select(F.struct("doc_id", "source", "h").alias("_k"), "_no", turn.alias("_turns"))
-    joined = full.join(plan, (full[key].eqNullSafe(plan["_k"])) & (full[n] == plan["_no"]))
-    at = fresh(docs, "finish_time")
-    out = joined.select(*[full[c] for c in docs.columns], F.explode("_turns").alias(at))
+    plan = plan.select(F.struct("doc_id", "source", "h").alias(of), F.col("_no").alias(no), turn.alias(turns))
+    joined = full.join(plan, F.col(key).eqNullSafe(F.col(of)) & (F.col(n) == F.col(no)))
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(turns).alias(at))
     return out.repartitionByRange(F.col(at)).sortWithinPartitions(at).drop(at)
 
 

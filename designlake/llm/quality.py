@@ -52,7 +52,6 @@ def _staged(df: DataFrame, text: Column) -> tuple[DataFrame, str]:
     """Add the measurements as one struct column; returns the frame and the column's name."""
     q = fresh(df, "quality")
     t = F.coalesce(text, F.lit(""))
-    low = F.array(*[F.lit(w) for w in STOP_WORDS])
     df = bound(df, q, F.struct(word_array(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("lines"), F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("sym")))
     w = F.col(q)["w"]
     n = F.size(w)

@@ -232,7 +232,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return pd.Series(np.array([simhash(shingle_hashes(t)) for t in text], np.uint64).view(np.int64))
 
     mark = fresh(docs, "row_mark")
-    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
     marked = docs.withColumn(mark, F.concat(F.md5(text_or_empty().cast("binary")), F.md5(rest.cast("binary"))))
     own = cut(marked.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(mark).alias("mark"), fingerprint("text").alias("fp")), "fingerprints")
     placed = _placed(cut(own.select("fp").distinct(), "distinct"), RADIUS, SHARD_ROWS)
