@@ -105,7 +105,10 @@ def section_candidates(spark, sf_dir):
 
 
 def section_classify(spark, sf_dir):
-    n = _boxes(spark, sf_dir)
+    return classified(_boxes(spark, sf_dir))
+
+
+def classified(n: DataFrame) -> DataFrame:
     f = sections.features(n, written(sections.candidates(n), "candidates")).withColumn("kind", sections.kind())
     return f.select("page_id", "i", "kind", F.concat(F.lit("section-"), (F.col("ord") + 1).cast("string"), F.lit("-"), "kind").alias("id"), "links", "repeat", F.length("text").alias("chars"))
 
