@@ -7,8 +7,8 @@ checksum and depends on no other.
 Records are rows (part, seq, n_tokens, record) of a Parquet folder: Spark's committer makes the write safe against
 lost executors, and (part, seq) is the order of the corpus.
 
-Tokens never cross the blanks that part words, so each distinct word is encoded once per worker and cached (at most
-`CACHE` words) rather than every text. Nor do they cross the border of a letter and a symbol behind it, so a word with
+Tokens never cross the blanks that part words, so each distinct word is encoded once per worker and cached (about
+`CACHE` words, 120 MB a worker; then it starts anew) rather than every text. Nor do they cross the border of a letter and a symbol behind it, so a word with
 symbols at its end is put together from its letters and these.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first; rows of equal doc_id stay
@@ -36,7 +36,7 @@ from .store import table_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1_000_000
-CACHE = 1_000_000
+CACHE = 500_000
 JOINED = 2000
 #: Letters of ASCII and Latin-1, then ASCII symbols but for the apostrophe: the tokenizer parts the two.
 STEM = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
