@@ -3,10 +3,10 @@ import os
 import duckdb
 import pytest
 
-from designlake.plans import catalogue, design, site
+from designlake.plans import catalogue, copydeck, design, sheets, site
 
-QUERIES = catalogue.queries() | design.queries() | site.queries()
-ORACLES = catalogue.SQL | design.SQL | site.SQL
+QUERIES = catalogue.queries() | copydeck.queries() | design.queries() | sheets.queries() | site.queries()
+ORACLES = catalogue.SQL | copydeck.SQL | design.SQL | sheets.SQL | site.SQL
 
 SF = "/root/testdata/sf0.001"
 
