@@ -2,99 +2,136 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import css
+from ..functions import css, notations
+from ..sources.scratch import written
 
 LCH = ("l", "c", "h")
+# Roles in their order, and the most colours of a palette.
+ROLES, MOST_TOKENS = ("background", "surface", "foreground", "muted", "primary", "accent", "border"), 24
 
 
 def interactive(tag: Column, role: Column, classes: Column) -> Column:
-    return tag.isin("button", "a") | F.coalesce(role.isin("button", "link"), F.lit(False)) | F.coalesce(classes.rlike(r"(?i)(?:^|[^0-9A-Za-z_])(?:btn|button|cta)(?:[^0-9A-Za-z_]|$)"), F.lit(False))
+    return tag.isin("button", "a") | F.coalesce(role.isin("button", "link"), F.lit(False)) | F.coalesce(classes.rlike(r"(?i)\b(btn|button|cta)\b"), F.lit(False))
 
 
-def observations(df: DataFrame, by: list[str]) -> DataFrame:
-    """by, ord, property, hex, l, c, h, area, on_interactive: each visible colour of each element with what it covers.
+def uses(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, ord, property, raw, area, on_interactive: each colour string of each element with what it covers.
 
     Text covers its glyphs (half the font size a character) but not more than its element, a background the element,
-    borders their length and width. df has ord, tag, area, width, height, text_len, font_size, color, background,
-    border_color and border_width.
+    borders their length and width by side, each stop of a gradient a part, a shadow's first colour a little, fill and
+    stroke of a drawing the element. df has ord, tag, role, cls, area, width, height, text_len, font_size, color,
+    background, border_color, border_width, border_bottom_color, border_bottom_width, image, shadow, is_svg, fill, stroke.
     """
-    size = F.coalesce(F.nullif(css.number(F.col("font_size")), F.lit(0.0)), F.lit(16.0))
+    number = lambda c: F.coalesce(css.number(F.col(c)), F.lit(0.0))
+    size = F.coalesce(F.nullif(number("font_size"), F.lit(0.0)), F.lit(16.0))
     glyphs = F.col("text_len") * size * 0.5
-    area, border = F.col("area").cast("double"), F.coalesce(css.number(F.col("border_width")), F.lit(0.0))
-    seen = [
-        ("color", F.when(F.col("text_len") > 0, F.col("color")), F.least(glyphs, F.when(area > 0, area).otherwise(glyphs)), True),
-        ("background-color", F.col("background"), area, True),
-        ("border-color", F.when(border > 0, F.col("border_color")), (F.col("width") + F.col("height")) * 2.0 * border, False),
-    ]
-    each = df.select(*by, "ord", interactive(F.col("tag"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("on"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("property"), v.alias("raw"), a.alias("area"), F.lit(k).alias("k")) for i, (p, v, a, k) in enumerate(seen)])).alias("x"))
-    each = each.withColumn("rgb", css.rgb(F.col("x.raw"))).where("rgb is not null and x.area > 0")
-    lch = css.oklch(*[F.col(f"rgb.{c}") for c in "rgb"])
-    hex_ = F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(F.col(f"rgb.{c}").cast("long")), 2, "0")) for c in "rgb"])
-    return each.select(*by, (F.col("ord") * 4 + F.col("x.i")).alias("ord"), "x.property", hex_.alias("hex"), *[v.alias(c) for v, c in zip(lch, LCH)], "x.area", (F.col("on") & F.col("x.k")).alias("on_interactive"))
+    area, top, bottom = F.col("area").cast("double"), number("border_width"), number("border_bottom_width")
+    one = lambda p, raw, size_, on: F.array(F.struct(F.lit(p).alias("property"), raw.alias("raw"), size_.alias("area"), F.lit(on).alias("on")))
+    found = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(notations.ANY), 0)
+    stops = F.transform(found("image"), lambda x: F.struct(F.lit("gradient-stop").alias("property"), x.alias("raw"), (area * 0.3).alias("area"), F.lit(False).alias("on")))
+    drawn = lambda c: F.when(F.col("is_svg"), F.col(c))
+    seen = F.concat(
+        one("color", F.when(F.col("text_len") > 0, F.col("color")), F.least(glyphs, F.when(area > 0, area).otherwise(glyphs)), True),
+        one("background-color", F.col("background"), area, True),
+        one("border-color", F.when(top > 0, F.col("border_color")), (F.col("width") + F.col("height")) * 2.0 * top, False),
+        one("border-color", F.when(bottom > 0, F.col("border_bottom_color")), F.col("width") * 2.0 * bottom, False),
+        stops,
+        one("box-shadow", F.get(found("shadow"), F.lit(0)), area * 0.05, False),
+        one("fill", drawn("fill"), area, True),
+        one("stroke", drawn("stroke"), area, True),
+    )
+    each = df.select(*by, "ord", interactive(F.col("tag"), F.col("role"), F.col("cls")).alias("on"), F.posexplode(seen).alias("i", "x"))
+    return each.where("x.raw <> '' and x.area > 0").select(*by, F.struct("ord", "i").alias("ord"), "x.property", "x.raw", "x.area", (F.col("on") & F.col("x.on")).alias("on_interactive"))
+
+
+def observations(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, property, raw, on_interactive, n, area, largest, first, hex, l, c, h: the visible colours of each group.
+
+    Equal strings of a group and property are added up before any is read, and each distinct string is read once:
+    n uses cover area, the largest of them `largest`, which `first` is the first place of; `seen` is the first place of all.
+    """
+    top = F.max(F.struct("area", F.struct((-F.col("ord.ord")).alias("ord"), (-F.col("ord.i")).alias("i")).alias("o")))
+    g = written(uses(df, by).groupBy(*by, "property", "raw", "on_interactive").agg(F.count("*").alias("n"), F.sum("area").alias("area"), top.alias("top"), F.min("ord").alias("seen")), "colours")
+    g = g.select(*by, "property", "raw", "on_interactive", "n", "area", F.col("top.area").alias("largest"), F.struct((-F.col("top.o.ord")).alias("ord"), (-F.col("top.o.i")).alias("i")).alias("first"), "seen")
+    return g.join(notations.parsed(g, "raw").select("raw", "hex", "alpha", *LCH), "raw")
 
 
 def clusters(seen: DataFrame, by: list[str]) -> DataFrame:
-    """by, hex, leader: each colour of a page with the first colour, from the largest area on, within MERGE of it.
+    """by, raw, leader, l0, c0, h0, born: each colour string of a group with the first colour, from the largest use on,
+    within MERGE of it (its hex, lightness, chroma and hue), and that colour's place among the leaders.
 
-    Equal colours always share a leader, so only distinct ones of a page are gathered.
+    Equal colours always share a leader, so only distinct strings of a group are gathered.
     """
-    t = seen.groupBy(*by, "hex", *LCH).agg(F.max(F.struct("area", (-F.col("ord")).alias("o"))).alias("top"))
-    t = t.select(*by, "hex", *LCH, F.col("top.area").alias("area"), F.col("top.o").alias("o"))
+    best = F.max(F.struct("largest", (-F.col("first.ord")).alias("o"), (-F.col("first.i")).alias("i")))
+    t = seen.groupBy(*by, "raw", "hex", *LCH).agg(best.alias("top")).select(*by, "raw", "hex", *LCH, "top.*")
 
     def lead(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["area", "o"], ascending=False, kind="stable", ignore_index=True)
+        p = p.sort_values(["largest", "o", "i"], ascending=False, kind="stable", ignore_index=True)
         rad = np.radians(p["h"])
         lab = np.stack([p["l"], p["c"] * np.cos(rad), p["c"] * np.sin(rad)], axis=1)
         leaders, of = [], np.empty(len(p), np.int64)
         for i, x in enumerate(lab):
             near = np.flatnonzero(np.sqrt(((lab[leaders] - x) ** 2).sum(axis=1)) < css.MERGE) if leaders else ()
-            if len(near):
-                of[i] = leaders[near[0]]
-            else:
+            if not len(near):
+                near = [len(leaders)]
                 leaders.append(i)
-                of[i] = i
-        out = p[[*by, "hex"]].copy()
-        out["leader"] = p["hex"].to_numpy()[of]
+            of[i] = near[0]
+        out = p[[*by, "raw"]].copy()
+        at = np.array(leaders)[of]
+        out["leader"], out["born"] = p["hex"].to_numpy()[at], of
+        for c in LCH:
+            out[f"{c}0"] = p[c].to_numpy()[at]
         return out
 
-    kinds = ", ".join(f"{c} {t.schema[c].dataType.simpleString()}" for c in by)
-    return t.groupBy(*by).applyInPandas(lead, f"{kinds}, hex string, leader string")
+    return t.groupBy(*by).applyInPandas(lead, f"{_kinds(t, by)}, raw string, leader string, born long, l0 double, c0 double, h0 double")
+
+
+def _kinds(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
 
 def palette(seen: DataFrame, by: list[str]) -> DataFrame:
-    """by, hex, l, c, h, name, area, n, background_area, text_area, border_area, interactive_area, rank of each cluster."""
-    of = seen.join(clusters(seen, by), [*by, "hex"])
+    """by, hex, l, c, h, name, area, n, background_area, text_area, border_area, interactive_area, properties, rank of each
+    cluster: by area, of equal ones the earlier leader."""
+    of = seen.join(clusters(seen, by), [*by, "raw"])
     part = lambda p: F.sum(F.when(F.col("property") == p, F.col("area")).otherwise(0.0))
-    t = of.groupBy(*by, "leader").agg(F.sum("area").alias("area"), F.count("*").alias("n"), part("background-color").alias("background_area"), part("color").alias("text_area"), part("border-color").alias("border_area"), F.sum(F.when(F.col("on_interactive"), F.col("area")).otherwise(0.0)).alias("interactive_area"))
-    own = seen.select(*by, F.col("hex").alias("leader"), *LCH).distinct()
-    t = t.join(own, [*by, "leader"]).withColumn("name", css.colour_name(*[F.col(c) for c in LCH]))
-    return t.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("area"), "leader"))).withColumnRenamed("leader", "hex")
+    t = of.groupBy(*by, "born", F.col("leader").alias("hex"), *[F.col(f"{c}0").alias(c) for c in LCH]).agg(F.sum("area").alias("area"), F.sum("n").alias("n"), part("background-color").alias("background_area"), part("color").alias("text_area"), part("border-color").alias("border_area"), F.sum(F.when(F.col("on_interactive"), F.col("area")).otherwise(0.0)).alias("interactive_area"), F.array_join(F.sort_array(F.collect_set("property")), ",").alias("properties"))
+    t = t.withColumn("name", css.colour_name(*[F.col(c) for c in LCH]))
+    return t.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("area"), "born"))).drop("born")
 
 
-def roles(colours: DataFrame, by: list[str]) -> DataFrame:
-    """by, role, hex: background, surface, foreground, muted, primary, accent and border of each page.
+def body_colours(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, body_l, body_c, body_h of the text colour of each group's first body element, where it is visible."""
+    b = df.where("tag = 'body'").groupBy(*by).agg(F.min(F.struct("ord", "color"))["color"].alias("raw"))
+    return b.join(notations.parsed(b, "raw"), "raw").select(*by, *[F.col(c).alias(f"body_{c}") for c in LCH])
 
-    Each role is the first colour in its order; later ones look at what earlier ones took. A page's colours are few
-    (clusters of one page), and one page is one group.
+
+def roles(colours: DataFrame, by: list[str], body: DataFrame | None = None) -> DataFrame:
+    """by, role, hex, is_dark: background, surface, foreground, muted, primary, accent and border of each group, and whether
+    its background is dark.
+
+    Each role is the first colour in its order; later ones look at what earlier ones took. The foreground is the cluster
+    of body's colour where there is one. A group's colours are few (clusters of one page), and one page is one group.
     """
+    if body is None:
+        body = colours.select(*by).limit(0).select(*by, *[F.lit(None).cast("double").alias(f"body_{c}") for c in LCH])
+    colours = colours.join(body, by, "left")
 
     def pick(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("rank", ignore_index=True)
-        rad = np.radians(p["h"])
-        lab = np.stack([p["l"], p["c"] * np.cos(rad), p["c"] * np.sin(rad)], axis=1)
+        flat = lambda l, c, h: np.stack([l, c * np.cos(np.radians(h)), c * np.sin(np.radians(h))], axis=-1)
+        lab = flat(p["l"].to_numpy(), p["c"].to_numpy(), p["h"].to_numpy())
         far = lambda i, j: float(np.sqrt(((lab[i] - lab[j]) ** 2).sum()))
         ranked = lambda c: [i for i in p.sort_values([c], ascending=False, kind="stable").index if p[c][i] > 0]
         grounds, texts, borders = ranked("background_area"), ranked("text_area"), ranked("border_area")
         out, taken = {}, set()
 
-        def assign(role: str, options: Iterator[int]) -> int | None:
+        def assign(role: str, options: list[int]) -> int | None:
             i = next(iter(options), None)
             if i is not None:
                 out[role] = i
@@ -104,7 +141,11 @@ def roles(colours: DataFrame, by: list[str]) -> DataFrame:
         ground = assign("background", grounds)
         apart = [i for i in grounds if i != ground and far(i, ground) > css.MERGE * 1.5]
         assign("surface", [i for i in apart if p["c"][i] < css.GREY] or apart)
-        front = assign("foreground", texts)
+        of_body = []
+        if not np.isnan(p["body_l"][0]):
+            at = flat(*(p[f"body_{c}"][0] for c in LCH))
+            of_body = np.flatnonzero(np.sqrt(((lab - at) ** 2).sum(axis=1)) < css.MERGE).tolist()
+        front = assign("foreground", of_body or texts)
         if ground is not None and front is not None:
             lo, hi = sorted((p["l"][ground], p["l"][front]))
             between = [i for i in texts if i != front and lo + 0.05 < p["l"][i] < hi - 0.05]
@@ -114,7 +155,26 @@ def roles(colours: DataFrame, by: list[str]) -> DataFrame:
         first = assign("primary", used if used and p["interactive_area"][used[0]] > 0 else sorted(bright, key=lambda i: -p["c"][i] * p["area"][i]))
         assign("accent", [i for i in bright if i not in taken and (first is None or far(i, first) > 0.12)])
         assign("border", [i for i in borders if i not in taken] or borders)
-        return pd.DataFrame([(*p.loc[0, by], r, p["hex"][i]) for r, i in out.items()], columns=[*by, "role", "hex"])
+        dark = ground is not None and bool(p["l"][ground] < 0.5)
+        return pd.DataFrame([(*p.loc[0, by], r, p["hex"][i], dark) for r, i in out.items()], columns=[*by, "role", "hex", "is_dark"])
+
+    return colours.groupBy(*by).applyInPandas(pick, f"{_kinds(colours, by)}, role string, hex string, is_dark boolean")
+
+
+def tokens(colours: DataFrame, given: DataFrame, by: list[str], most: int = MOST_TOKENS) -> DataFrame:
+    """by, rank, name, hex, area, n, roles, properties: the first clusters of each group. A name is the first role that the
+    colour has, else the colour's own; roles are in the order of ROLES, `neutral` for none."""
+    order = F.array(*[F.lit(r) for r in ROLES])
+    has = given.groupBy(*by, "hex").agg(F.collect_set("role").alias("has"))
+    t = colours.where(F.col("rank") <= most).join(has, [*by, "hex"], "left")
+    mine = F.filter(order, lambda r: F.array_contains("has", r))
+    return t.select(*by, "rank", F.coalesce(F.get(mine, F.lit(0)), "name").alias("name"), "hex", F.floor(F.col("area") + 0.5).alias("area"), "n", F.coalesce(F.nullif(F.array_join(mine, ","), F.lit("")), F.lit("neutral")).alias("roles"), "properties")
+
 
-    kinds = ", ".join(f"{c} {colours.schema[c].dataType.simpleString()}" for c in by)
-    return colours.groupBy(*by).applyInPandas(pick, f"{kinds}, role string, hex string")
+def dark_roles(light: DataFrame, dark: DataFrame, by: list[str]) -> DataFrame:
+    """by, role, light, dark: roles of a group's second capture beside the first's, of groups whose background changes;
+    a page that looks the same in both has no dark palette."""
+    ground = lambda d, n: d.where("role = 'background'").select(*by, F.col("hex").alias(n))
+    changed = ground(dark, "d").join(ground(light, "l"), by, "left").where(~F.col("d").eqNullSafe(F.col("l"))).select(*by)
+    d, l = dark.select(*by, "role", F.col("hex").alias("dark")), light.select(*by, "role", F.col("hex").alias("light"))
+    return d.join(l, [*by, "role"], "full").join(changed, by, "left_semi").select(*by, "role", "light", "dark")

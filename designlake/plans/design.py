@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, css, text
+from ..functions import color, css, notations, text
 from ..operators import effects, palette, typography
 from ..sources.scratch import written
 from .catalogue import _linear
@@ -22,7 +22,7 @@ ELEMENTS = {
     "area": f"CAST(round(l_extendedprice) AS BIGINT) * ({_K} % 3)",
     "width": f"300 + {_Q} * 30",
     "height": f"20 + {_D} * 40",
-    "tag": f"CASE WHEN {_K} % 19 = 0 THEN 'h2' WHEN {_K} % 23 = 0 THEN 'h1' WHEN {_K} % 7 = 0 THEN 'a' WHEN {_K} % 11 = 0 THEN 'button' ELSE 'p' END",
+    "tag": f"CASE WHEN {_K} % 97 = 1 THEN 'body' WHEN {_K} % 19 = 0 THEN 'h2' WHEN {_K} % 23 = 0 THEN 'h1' WHEN {_K} % 7 = 0 THEN 'a' WHEN {_K} % 11 = 0 THEN 'button' ELSE 'p' END",
     "text_len": f"{_K} % 130",
     "font_size": f"concat({_S(f'10 + {_Q} % 9 * 3')}, CASE WHEN {_K} % 3 = 0 THEN '.4px' ELSE 'px' END)",
     "font_weight": f"CASE WHEN {_K} % 5 = 0 THEN '700' WHEN {_K} % 5 = 1 THEN 'bold' ELSE '400' END",
@@ -30,7 +30,15 @@ ELEMENTS = {
     "family": f"CASE {_K} % 3 WHEN 0 THEN 'Inter, -apple-system, sans-serif' WHEN 1 THEN '\"Segoe UI\", system-ui' ELSE 'system-ui, sans-serif' END",
     "color": f"CASE WHEN {_K} % 13 = 0 THEN 'transparent' ELSE concat('rgb(', {_S(f'{_K} % 4 * 60')}, ', ', {_S(f'{_K} % 3 * 70 + {_X} % 2')}, ', ', {_S(f'{_K} % 5 * 50')}, ')') END",
     "background": f"CASE WHEN {_K} % 2 = 0 THEN concat('rgba(', {_S(f'255 - {_D} * 20')}, ', 250, ', {_S(f'255 - {_X} * 30')}, ', 0.', {_S(_D)}, ')') WHEN {_K} % 7 < 3 THEN '#fff' ELSE concat('#', '0f', {_S(f'10 + {_D}')}, 'a0') END",
-    "border_color": "'#e2e8f0'",
+    "border_color": f"CASE WHEN {_K} % 5 = 0 THEN 'hsl(0 0% 50% / 30%)' ELSE '#e2e8f0' END",
+    "border_bottom_color": f"CASE WHEN {_K} % 3 = 0 THEN 'rebeccapurple' ELSE 'currentcolor' END",
+    "border_bottom_width": f"CASE WHEN {_Q} % 4 = 0 THEN '2px' ELSE '0px' END",
+    "role": f"CASE WHEN {_K} % 41 = 0 THEN 'button' WHEN {_K} % 43 = 0 THEN 'link' WHEN {_K} % 3 = 0 THEN 'main' ELSE NULL END",
+    "cls": f"CASE WHEN {_K} % 37 = 0 THEN 'my-btn big' WHEN {_K} % 31 = 0 THEN 'ctas' WHEN {_K} % 29 = 0 THEN 'x CTA' ELSE 'card' END",
+    "image": f"CASE WHEN {_K} % 8 = 0 THEN concat('linear-gradient(90deg, oklch(60% 0.15 50) 0%, rgb(', {_S(f'{_Q} % 5 * 40')}, ', 20, 30) 50%, #1d4ed880)') WHEN {_K} % 8 = 1 THEN 'url(a.png)' ELSE 'none' END",
+    "is_svg": f"{_K} % 17 = 0",
+    "fill": f"CASE WHEN {_K} % 2 = 0 THEN 'none' ELSE 'hsl(240, 100%, 50%)' END",
+    "stroke": f"CASE WHEN {_Q} % 2 = 0 THEN 'lab(50% 40 59.5)' ELSE 'color(display-p3 1 0.5 0)' END",
     "border_width": f"CASE WHEN {_D} < 4 THEN '0px' ELSE concat({_S(f'{_D} % 3 + 1')}, 'px') END",
     "radius": f"CASE WHEN {_Q} = 50 THEN '50%' WHEN {_Q} = 49 THEN '9999px' WHEN {_Q} % 10 = 9 THEN '0px' WHEN {_Q} = 48 THEN '0px 0px 4px' ELSE concat({_S(f'{_Q} % 14 * 2')}, 'px') END",
     "shadow": f"CASE WHEN {_D} < 3 THEN 'none' ELSE concat('rgba(0, 0, 0, 0.', {_S(_D)}, ') 0px ', {_S(f'{_X} % 2')}, 'px ', {_S(f'{_D} * 2')}, 'px 0px') END",
@@ -102,28 +110,46 @@ def font_stacks(spark, sf_dir):
     return typography.stacks(_texts(spark, sf_dir), BY)
 
 
-_OBSERVED = ("tag", "area", "width", "height", "text_len", "font_size", "color", "background", "border_color", "border_width")
+_OBSERVED = ("tag", "role", "cls", "area", "width", "height", "text_len", "font_size", "color", "background", "border_color", "border_width", "border_bottom_color", "border_bottom_width", "image", "shadow", "is_svg", "fill", "stroke")
 
 
 def color_observations(spark, sf_dir):
     seen = palette.observations(elements(spark, sf_dir, *_OBSERVED), BY)
-    return seen.groupBy("page_id", "property", "hex", "on_interactive").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"))
+    return seen.groupBy("page_id", "property", "hex", "on_interactive").agg(F.sum("n").alias("n"), F.round(F.sum("area"), 2).alias("area"))
 
 
 def color_clusters(spark, sf_dir):
+    """Every cluster of a page's colours."""
     return palette.palette(written(palette.observations(elements(spark, sf_dir, *_OBSERVED), BY), "observations"), BY)
 
 
+def _roles(spark, sf_dir, clusters):
+    return palette.roles(clusters, BY, palette.body_colours(elements(spark, sf_dir, "tag", "color"), BY))
+
+
 def palette_roles(spark, sf_dir):
-    return palette.roles(color_clusters(spark, sf_dir), BY)
+    return _roles(spark, sf_dir, color_clusters(spark, sf_dir))
+
+
+def palette_tokens(spark, sf_dir):
+    clusters = written(color_clusters(spark, sf_dir), "clusters")
+    return palette.tokens(clusters, _roles(spark, sf_dir, clusters), BY)
+
+
+def dark_palette(spark, sf_dir):
+    """Roles of the second capture of pages whose background changes; on every third page elements turn dark."""
+    e = elements(spark, sf_dir, *_OBSERVED)
+    dark = e.withColumn("background", F.when(F.col("page_id") % 3 == 0, F.when(F.col("text_len") > 60, "#0b0d12").otherwise("oklch(25% 0.02 260)")).otherwise(F.col("background")))
+    of = lambda d: palette.roles(palette.palette(written(palette.observations(d, BY), "observations"), BY), BY, palette.body_colours(d, BY))
+    return palette.dark_roles(written(of(e), "light"), written(of(dark), "dark"), BY)
 
 
 def color_parse(spark, sf_dir):
     """Every background as its parts; null parts where it is not visible."""
-    d = elements(spark, sf_dir, "background").select("background").distinct().withColumn("c", css.rgb(F.col("background")))
-    lch = css.oklch(*[F.col(f"c.{x}") for x in "rgb"])
-    d = d.select("background", "c.r", "c.g", "c.b", "c.alpha", *[v.alias(k) for v, k in zip(lch, ("lightness", "chroma", "hue"))])
-    return d.withColumn("name", F.when(F.col("r").isNotNull(), css.colour_name(F.col("lightness"), F.col("chroma"), F.col("hue"))))
+    d = elements(spark, sf_dir, "background").select("background").distinct()
+    c = notations.parsed(d, "background").withColumnsRenamed({"l": "lightness", "c": "chroma", "h": "hue"})
+    c = c.select("background", "r", "g", "b", "alpha", "lightness", "chroma", "hue", css.colour_name(F.col("lightness"), F.col("chroma"), F.col("hue")).alias("name"))
+    return d.join(c, "background", "left")
 
 
 def color_distance(spark, sf_dir):
@@ -182,7 +208,7 @@ def extraction_stats(spark, sf_dir):
 
 # The top-level domains that are tried.
 TLDS = ["com", "io", "dev", "app", "co", "ai", "org", "net"]
-QUERIES = [radius_tokens, shadow_tokens, border_widths, motion_tokens, media_breakpoints, breakpoint_asof, container_width, spacing_grid, spacing_steps, type_groups, type_scale, font_stacks, color_observations, color_clusters, palette_roles, color_parse, color_distance, css_scalars, css_list_split, padding_shorthand, placeholder_text, escapes, site_candidates, http_failures, extraction_stats]
+QUERIES = [radius_tokens, shadow_tokens, border_widths, motion_tokens, media_breakpoints, breakpoint_asof, container_width, spacing_grid, spacing_steps, type_groups, type_scale, font_stacks, color_observations, color_clusters, palette_roles, palette_tokens, dark_palette, color_parse, color_distance, css_scalars, css_list_split, padding_shorthand, placeholder_text, escapes, site_candidates, http_failures, extraction_stats]
 
 
 def queries() -> dict:
@@ -227,6 +253,8 @@ _HEX6 = lambda c: f"CASE WHEN length({c}) = 4 THEN '#' || {c}[2] || {c}[2] || {c
 _PART = lambda c, i: f"CASE WHEN {c} LIKE '#%' THEN CAST('0x' || substr({_HEX6(c)}, {2 * i}, 2) AS INTEGER) ELSE TRY_CAST(nullif(regexp_extract({c}, '{_CALL}', {i}), '') AS INTEGER) END"
 _ALPHA = lambda c: f"CASE WHEN {c} LIKE '#%' THEN 1.0 WHEN regexp_matches({c}, '{_CALL}') THEN coalesce(TRY_CAST(nullif(regexp_extract({c}, '{_CALL}', 4), '') AS DOUBLE), 1.0) END"
 _E = f"WITH e AS ({ELEMENTS_SQL})"
+#: Colours of the derived elements in notations beyond rgb() and hex digits; a test holds the parser against them.
+_KNOWN = {"hsl(0 0% 50% / 30%)": "#808080", "rebeccapurple": "#663399", "oklch(60% 0.15 50)": "#c46016", "#1d4ed880": "#1d4ed8", "hsl(240, 100%, 50%)": "#0000ff", "lab(50% 40 59.5)": "#bf5700", "color(display-p3 1 0.5 0)": "#ff7600"}
 _WORDS = ", ".join(f"'{w}'" for w in text.WORDS)
 
 SQL = {
@@ -262,11 +290,16 @@ f AS (SELECT * EXCLUDE (name), coalesce(name, 'text-' || size || CASE WHEN row_n
 SELECT page_id, size, weight, name, n, body_size FROM f WHERE n > 1 OR size >= body_size""",
     "font_stacks": f"""{_E}, {_TEXTS}, s AS (SELECT page_id, family, CAST(sum(chars * size) AS BIGINT) AS area, array_to_string(list_transform(list_sort(list_distinct(list(weight))), lambda w: CAST(w AS VARCHAR)), ';') AS weights, min(ord) AS o FROM t GROUP BY page_id, family)
 SELECT page_id, family AS stack, {_FAMILY("family")} AS family, area, weights, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, o) AS rank FROM s QUALIFY rank <= 6""",
-    "color_observations": f"""{_E}, z AS (SELECT *, coalesce(nullif({_NUM("font_size")}, 0), 16) AS fs, coalesce({_NUM("border_width")}, 0) AS bw, tag IN ('a', 'button') AS act FROM e),
+    "color_observations": f"""{_E}, z AS (SELECT *, coalesce(nullif({_NUM("font_size")}, 0), 16) AS fs, coalesce({_NUM("border_width")}, 0) AS bw, coalesce({_NUM("border_bottom_width")}, 0) AS bb,
+  tag IN ('a', 'button') OR coalesce(role IN ('button', 'link'), FALSE) OR regexp_matches(cls, '(?i)\\b(btn|button|cta)\\b') AS act FROM e),
 o AS (SELECT page_id, 'color' AS property, color AS raw, least(text_len * fs * 0.5, CASE WHEN area > 0 THEN area ELSE text_len * fs * 0.5 END) AS area, act FROM z WHERE text_len > 0
-UNION ALL SELECT page_id, 'background-color', background, area, act FROM z UNION ALL SELECT page_id, 'border-color', border_color, (width + height) * 2.0 * bw, FALSE FROM z WHERE bw > 0),
-c AS (SELECT *, {_PART("raw", 1)} AS r, {_PART("raw", 2)} AS g, {_PART("raw", 3)} AS b, {_ALPHA("raw")} AS alpha FROM o)
-SELECT page_id, property, printf('#%02x%02x%02x', r, g, b) AS hex, act AS on_interactive, count(*) AS n, round(sum(CAST(area AS DOUBLE)), 2) AS area FROM c WHERE alpha >= {css.ALPHA} AND area > 0 GROUP BY ALL""",
+UNION ALL SELECT page_id, 'background-color', background, area, act FROM z UNION ALL SELECT page_id, 'border-color', border_color, (width + height) * 2.0 * bw, FALSE FROM z WHERE bw > 0
+UNION ALL SELECT page_id, 'border-color', border_bottom_color, width * 2.0 * bb, FALSE FROM z WHERE bb > 0 UNION ALL SELECT page_id, 'gradient-stop', unnest(regexp_extract_all(image, '{notations.ANY}')), area * 0.3, FALSE FROM z
+UNION ALL SELECT page_id, 'box-shadow', regexp_extract_all(shadow, '{notations.ANY}')[1], area * 0.05, FALSE FROM z UNION ALL SELECT page_id, 'fill', fill, area, act FROM z WHERE is_svg UNION ALL SELECT page_id, 'stroke', stroke, area, act FROM z WHERE is_svg),
+k AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{h}')" for n, h in _KNOWN.items())}) t(raw, known)),
+c AS (SELECT o.*, {_PART("raw", 1)} AS r, {_PART("raw", 2)} AS g, {_PART("raw", 3)} AS b, {_ALPHA("raw")} AS alpha FROM o WHERE raw NOT IN (SELECT raw FROM k)),
+u AS (SELECT page_id, property, printf('#%02x%02x%02x', r, g, b) AS hex, act, area FROM c WHERE alpha >= {css.ALPHA} UNION ALL SELECT page_id, property, known, act, area FROM o JOIN k USING (raw))
+SELECT page_id, property, hex, act AS on_interactive, count(*) AS n, round(sum(CAST(area AS DOUBLE)), 2) AS area FROM u WHERE area > 0 GROUP BY ALL""",
     "color_parse": f"""{_E}, p AS (SELECT DISTINCT background FROM e), q AS (SELECT background, {_ALPHA("background")} AS a, {", ".join(f"{_PART('background', i + 1)} AS {x}0" for i, x in enumerate("rgb"))} FROM p),
 c AS (SELECT background, {", ".join(f"CASE WHEN a >= {css.ALPHA} THEN {x}0 END AS {x}" for x in "rgb")}, CASE WHEN a >= {css.ALPHA} THEN a END AS alpha FROM q), {_LCH}
 SELECT background, r, g, b, alpha, CASE WHEN r IS NOT NULL THEN lightness END AS lightness, CASE WHEN r IS NOT NULL THEN chroma END AS chroma, CASE WHEN r IS NOT NULL THEN hue END AS hue, CASE WHEN r IS NOT NULL THEN {_NAME} END AS name FROM lch""",

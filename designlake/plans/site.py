@@ -67,7 +67,7 @@ def job_expiry(spark, sf_dir):
 
 def color_map(spark, sf_dir):
     tokens = written(design.color_clusters(spark, sf_dir), "palette")
-    return emit.colour_names(tokens, design.palette.roles(tokens, ["page_id"]), ["page_id"])
+    return emit.colour_names(tokens, design._roles(spark, sf_dir, tokens), ["page_id"])
 
 
 def tokens_css(spark, sf_dir):

@@ -1,33 +1,24 @@
-"""Rules of tokens on hand-made values, and the steps that SQL cannot express against plain versions."""
+"""Rules of tokens on hand-made values."""
 
-import math
-import os
-from collections import defaultdict
-
-import pytest
 from pyspark.sql import functions as F
 
 from designlake.functions import css, text
-from designlake.operators import effects, jobs, palette
-from designlake.plans import design
+from designlake.operators import effects, jobs
 from designlake.sources import imports
 
-SF = "/root/testdata/sf0.001"
-
 
 def one(spark, value, f, kind="string"):
     return [r[0] for r in spark.createDataFrame([(v,) for v in value], f"v {kind}").select(f(F.col("v"))).collect()]
 
 
 def test_colours(spark):
-    got = one(spark, ["rgb(79, 70, 229)", "rgba(79, 70, 229, 0.5)", "transparent", "rgba(0, 0, 0, 0)", "", "#abc", None], css.rgb)
-    assert [None if r is None else tuple(r) for r in got] == [(79, 70, 229, 1.0), (79, 70, 229, 0.5), None, None, None, (170, 187, 204, 1.0), None]
-    d = spark.createDataFrame([(i, v) for i, v in enumerate(["#64748b", "#0f172a", "#4f46e5", "#ffffff", "#000000"])], "i int, v string")
+    got = one(spark, ["rgb(12, 150, 90)", "rgba(200, 1, 33, 0.25)", "transparent", "rgba(9, 9, 9, 0)", "", "#abc", None], css.rgb)
+    assert [None if r is None else tuple(r) for r in got] == [(12, 150, 90, 1.0), (200, 1, 33, 0.25), None, None, None, (170, 187, 204, 1.0), None]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(["#6b7280", "#1c1917", "#7c3aed", "#fefefe", "#010101"])], "i int, v string")
     d = d.select("i", css.rgb(F.col("v")).alias("c")).cache()
     d = d.select("i", *[x.alias(n) for x, n in zip(css.oklch(*[F.col(f"c.{k}") for k in "rgb"]), "lch")]).cache()
     names = [r[0] for r in d.orderBy("i").select(css.colour_name(*[F.col(n) for n in "lch"])).collect()]
-    assert names[0].startswith("neutral-") and names[1].startswith("neutral-") and names[2].split("-")[0] in ("indigo", "violet", "blue")
-    assert names[3:] == ["neutral-50", "neutral-900"]
+    assert [n.split("-")[0] for n in names] == ["neutral", "neutral", "violet", "neutral", "neutral"] and names[3:] == ["neutral-50", "neutral-900"]
 
 
 def test_strings_of_styles(spark):
@@ -54,39 +45,13 @@ def test_radii_spacing_and_status(spark):
     rows = [("p", i, v) for i, v in enumerate(["6px"] * 3 + ["12px"] * 2 + ["20px"] * 2 + ["0px", "7px", "50%", "9999px", "9999px", "0px 0px 3px"])]
     got = {r.token: r.px for r in effects.radii(spark.createDataFrame(rows, "page string, o long, v string"), ["page"], "v", "o").collect()}
     assert got == {"sm": 6.0, "md": 12.0, "lg": 20.0, "full": 9999.0}
-    rows = [("a", f"{v}px") for v in (8, 16, 24, 32, 48, 64) for _ in range(4)] + [("b", f"{v}px") for v in (7, 13, 19, 23, 29, 31) for _ in range(4)] + [("c", "auto"), ("c", None), ("d", "300px 0px")]
+    rows = [("a", f"{v}px") for v in (16, 40, 56, 72, 80) for _ in range(3)] + [("b", f"{v}px") for v in (3, 5, 11, 17, 37, 41) for _ in range(5)] + [("c", "auto"), ("c", None), ("d", "300px 0px")]
     got = {r.page: (r.base, r.confidence) for r in effects.spacing(spark.createDataFrame(rows, "page string, v string"), ["page"], ["v"]).collect()}
     assert got["a"] == (8, 1.0) and got["b"][1] < 0.5 and got["c"] == (4, 0.0) == got["d"]
     out = one(spark, [200, 301, 403, 404, 500], lambda v: text.http_failure(v, F.lit("u")), "int")
     assert out[:2] == [None, None] and "browser" in out[2] and "browser" not in out[3] and "server error" in out[4]
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_clusters_and_roles_match_a_plain_loop(spark):
-    seen = palette.observations(design.elements(spark, SF, *design._OBSERVED), design.BY)
-    pages = defaultdict(list)
-    for r in seen.collect():
-        pages[r.page_id].append(r)
-    got, roles = defaultdict(dict), defaultdict(dict)
-    for r in design.color_clusters(spark, SF).collect():
-        got[r.page_id][r.hex] = (r.n, round(r.area, 3))
-    for r in design.palette_roles(spark, SF).collect():
-        roles[r.page_id][r.role] = r.hex
-    for p, obs in pages.items():
-        leaders = []
-        for o in sorted(obs, key=lambda o: (-o.area, o.ord)):
-            lab = (o.l, o.c * math.cos(math.radians(o.h)), o.c * math.sin(math.radians(o.h)))
-            hit = next((x for x in leaders if math.dist(x["lab"], lab) < css.MERGE), None)
-            if hit is None:
-                leaders.append(hit := {"lab": lab, "hex": o.hex, "n": 0, "area": 0.0, "back": 0.0})
-            hit["n"] += 1
-            hit["area"] += o.area
-            hit["back"] += o.area if o.property == "background-color" else 0
-        assert {x["hex"]: (x["n"], round(x["area"], 3)) for x in leaders} == got[p]
-        assert roles[p]["background"] == max(leaders, key=lambda x: x["back"])["hex"]
-        assert len(set(roles[p].values()) - {roles[p].get("border")}) >= len(roles[p]) - 2
-
-
 def test_requests_and_imports(spark):
     rows = [(1, 1, "create"), (1, 2, "claim"), (1, 3, "complete"), (1, 4, "decline"), (2, 1, "create"), (2, 2, "decline"), (3, 1, "claim"), (4, 1, "claim"), (4, 2, "create"), (5, 1, "create")]
     got = {r.k: (r.status, r.refused) for r in jobs.requests(spark.createDataFrame(rows, "k int, s int, action string").withColumn("at", F.timestamp_seconds("s")), "k", "at", "s", "action").collect()}
