@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from . import tree
+from ..functions import css, text
+from ..sources.scratch import written
+from . import sections, tree
 
 # How brand images are named; icon libraries by class and by what else their drawings share.
 BRAND = r"(?i)logo|brand|wordmark|favicon|icon-\d|app-icon"
 GRID = "0 0 24 24"
 LIBRARIES = [("lucide", "(?i)lucide"), ("feather", "(?i)feather"), ("heroicons", "(?i)heroicon"), ("font-awesome", r"(?i)\bfa[-srlbd]?\b|fontawesome"), ("material", "(?i)material-icons|mui-")]
-MOST_IMAGES, SAMPLES, BODY_LINES, CTAS = 120, 4, 8, 6
+MOST_IMAGES, SAMPLES, BODY_LINES, CTAS, LINKS = 120, 4, 8, 6, 40
+# Backgrounds that fill nothing, and the names of components by a section's kind.
+UNFILLED = ("rgba(0, 0, 0, 0)", "transparent")
+NAMES = {"feature-grid": "FeatureCard", "pricing": "PricingTier", "testimonial": "TestimonialCard", "logo-cloud": "LogoMark", "stats": "StatItem", "faq": "FaqItem", "gallery": "GalleryItem"}
 VIEWPORTS = ["desktop", "tablet", "mobile"]
 
 
@@ -110,34 +114,66 @@ def asked_viewports(asked: Column) -> tuple[Column, Column]:
     return kept, F.array_except(kept, F.slice(kept, 1, 1))
 
 
-def section_copy(n: DataFrame, found: DataFrame) -> DataFrame:
-    """page_id, i, id, kind, heading, body, ctas, links of each section of `found` (page_id, i, id, kind).
+def button_like() -> Column:
+    """Buttons, and links that look like one; of elements with tag, role, cls, background and has_border."""
+    filled = ~F.col("background").isin(*UNFILLED)
+    link = (F.col("tag") == "a") & (filled | F.col("has_border") | F.col("cls").rlike(r"(?i)\b(btn|button|cta)\b"))
+    return (F.col("tag") == "button") | (F.col("role") == "button") | link
 
-    The heading is the first text of the highest of h1 to h4. Body lines are texts of over 24 characters that are neither
-    the heading nor stand in an item of the section's repeat; buttons are calls to action unless such an item has
-    their text. Navigation and footers have links, but no heading and no repeat.
+
+def section_copy(n: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
+    """page_id, i, id, kind, heading, level, eyebrow, subheading, body, ctas, variants, links of each section of `found`
+    (page_id, i, id, kind); items has the lines of its repeat.
+
+    The heading is the first text of the highest of h1 to h4, the eyebrow the first small or upper-case text above it. Body
+    lines are texts of over 24 characters that are neither, and not said in an item of the repeat; calls to action are
+    buttons and links like them, by all text in them (of nested tags parted by blanks), unless an item says it. Navigation
+    and footers have links, but no heading and no repeat.
     """
     chrome = F.col("kind").isin("nav", "footer")
-    e = n.select("page_id", F.col("i").alias("d"), F.col("tag").alias("d_tag"), "own_text")
-    s = found.join(n.select("page_id", "i", F.col("n_descendants").alias("size")), ["page_id", "i"])
-    inside = s.join(e, "page_id").where((F.col("d") > F.col("i")) & (F.col("d") <= F.col("i") + F.col("size")) & (F.col("own_text") != ""))
-    heading = F.min(F.when(F.col("d_tag").isin("h1", "h2", "h3", "h4") & ~chrome, F.struct("d_tag", "d", "own_text")))
-    top = inside.groupBy("page_id", "i").agg(heading.alias("h")).where("h is not null").select("page_id", "i", F.col("h.d").alias("h_at"), F.col("h.own_text").alias("heading"))
-    # the texts of the items of each section's repeat
-    r = tree.repeats(n).select("page_id", F.col("parent").alias("i"), "signature").join(found.where(~chrome).select("page_id", "i"), ["page_id", "i"])
-    item = n.where("parent is not null").select("page_id", F.col("parent").alias("i"), F.col("i").alias("item"), "n_descendants").join(tree.signatures(n).select("page_id", F.col("i").alias("item"), "signature"), ["page_id", "item"])
-    item = item.join(r, ["page_id", "i", "signature"])
-    said = item.join(e, "page_id").where((F.col("d") >= F.col("item")) & (F.col("d") <= F.col("item") + F.col("n_descendants")) & (F.col("own_text") != "")).select("page_id", "i", "own_text").distinct()
-    free = inside.join(said, ["page_id", "i", "own_text"], "left_anti").join(top, ["page_id", "i"], "left")
-    use = F.when(F.col("d_tag") == "button", "cta").when((F.length("own_text") > 24) & (F.coalesce(F.col("h_at"), F.lit(-1)) != F.col("d")), "body")
-    lines = free.withColumn("use", use).where("use is not null").select("page_id", "i", "d", "own_text", "use")
-    lines = lines.unionByName(inside.where((F.col("d_tag") == "a") & chrome).select("page_id", "i", "d", "own_text", F.lit("link").alias("use")))
-    place = F.row_number().over(Window.partitionBy("page_id", "i", "use").orderBy("d"))
-    lines = lines.withColumn("place", place).where((F.col("use") == "link") | ((F.col("use") == "body") & (F.col("place") <= BODY_LINES)) | ((F.col("use") == "cta") & (F.col("place") <= CTAS)))
-    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("use") == k, F.struct("place", "own_text")))), lambda x: x["own_text"]), "\n").alias(k)
-    g = lines.groupBy("page_id", "i").agg(joined("body"), joined("cta"), joined("link"))
+    columns = ["tag", "own_text", "role", "cls", "href", "background", "has_border", "y", "font_size", "text_transform"]
+    e = tree.within(n.select("page_id", "i", "depth", *columns), found.select("page_id", "i", "kind")).where("d > of").withColumnsRenamed({"of": "i", "of_kind": "kind"}).drop("depth")
+    # heading, eyebrow and the first prose below the heading of a section, beside each of its elements
+    section, says = Window.partitionBy("page_id", "i"), F.col("own_text") != ""
+    size = css.number(F.col("font_size"))
+    small = (F.col("text_transform") == "uppercase") | (F.coalesce(F.nullif(size, F.lit(0.0)), F.lit(16.0)) < 15)
+    e = e.withColumn("h", F.min(F.when(says & F.col("tag").isin("h1", "h2", "h3", "h4") & ~chrome, F.struct("tag", "d", "own_text", "y"))).over(section))
+    e = e.withColumn("b", F.min(F.when(says & (F.col("y") < F.col("h.y")) & (F.length("own_text") < 60) & small, F.struct("d", "own_text"))).over(section))
+    e = e.withColumn("prose", (F.length("own_text") > 24) & ~F.col("d").eqNullSafe(F.col("h.d")) & ~F.col("d").eqNullSafe(F.col("b.d")))
+    e = written(e.withColumn("under", F.min(F.when(F.col("prose") & (F.col("y") >= F.col("h.y")), F.struct("d", "own_text"))).over(section)), "sections-in")
+    top = e.groupBy("page_id", "i").agg(F.max("h.own_text").alias("heading"), F.max(F.substring("h.tag", 2, 1)).cast("int").alias("level"), F.max("b.own_text").alias("eyebrow"), F.max("under.own_text").alias("below"))
+    # all the text in a button or link, wherever its section begins
+    variant = F.when(~F.col("background").isin(*UNFILLED), "primary").when(F.col("has_border"), "secondary").otherwise("link")
+    acts = e.select("page_id", "i", "d", variant.alias("variant"), F.filter(F.array(F.when(button_like(), "cta"), F.when((F.col("tag") == "a") & chrome, "link")), lambda x: x.isNotNull()).alias("uses")).where(F.size("uses") > 0)
+    whole = tree.within(n.select("page_id", "i", "depth", "own_text"), acts.select("page_id", F.col("d").alias("i")).distinct()).where(says)
+    whole = whole.groupBy("page_id", F.col("of").alias("d")).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "own_text"))), lambda x: x["own_text"]), " "), 1, sections.TEXT_CHARS).alias("label"))
+    acts = acts.join(whole, ["page_id", "d"]).select("page_id", "i", "d", "label", F.explode("uses").alias("use"), "variant")
+    body = e.where("prose").select("page_id", "i", "d", F.col("own_text").alias("label"), F.lit("body").alias("use"), F.lit("").alias("variant"))
+    # sections with links have no items
+    said = items.join(found.where(~chrome).select("page_id", "i"), ["page_id", "i"], "left_semi").select("page_id", "i", F.explode(F.split("lines", "\n")).alias("label")).distinct()
+    lines = body.unionByName(acts).join(said, ["page_id", "i", "label"], "left_anti")
+    most = {"body": (BODY_LINES, 400), "cta": (CTAS, 80), "link": (LINKS, 40)}
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("page_id", "i", "use").orderBy("d")))
+    lines = lines.where(F.coalesce(*[F.when(F.col("use") == k, F.col("place") <= v) for k, (v, _) in most.items()]))
+    told = lambda k, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("use") == k, F.struct("place", c)))), lambda x: F.substring(x[c], 1, most[k][1])), "\n")
+    first = F.min(F.when((F.col("use") == "body") & (F.col("place") == 1), F.col("label")))
+    g = lines.groupBy("page_id", "i").agg(told("body", "label").alias("body"), told("cta", "label").alias("ctas"), told("cta", "variant").alias("variants"), told("link", "label").alias("links"), first.alias("first"))
     full = found.join(top, ["page_id", "i"], "left").join(g, ["page_id", "i"], "left")
-    return full.select("page_id", "i", "id", "kind", "heading", *[F.coalesce(k, F.lit("")).alias(a) for k, a in (("body", "body"), ("cta", "ctas"), ("link", "links"))])
+    sub = F.when(~F.col("below").eqNullSafe(F.col("first")) & F.col("below").isNotNull(), F.col("below")).otherwise(F.coalesce("first", F.lit("")))
+    return full.select("page_id", "i", "id", "kind", "heading", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("eyebrow", F.lit("")).alias("eyebrow"), sub.alias("subheading"), *[F.coalesce(k, F.lit("")).alias(k) for k in ("body", "ctas", "variants", "links")])
+
+
+def section_notes(n: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
+    """page_id, i, notes (one a line) of each section of found (page_id, i, kind): what a rebuild must not miss."""
+    s = found.join(n.select("page_id", "i", "position", "backdrop", "image"), ["page_id", "i"]).join(marks.select("page_id", "i", "repeat", "row"), ["page_id", "i"], "left")
+    name = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in NAMES.items()], F.lit("Item"))
+    notes = [
+        F.when(F.col("position").isin("sticky", "fixed"), F.concat(F.lit("Pinned to the viewport (position: "), "position", F.lit(")."))),
+        F.when((F.col("backdrop") != "") & (F.col("backdrop") != "none"), F.concat(F.lit("Backdrop filter: "), "backdrop", F.lit("."))),
+        F.when(F.col("image").contains("gradient"), F.concat(F.lit("Background gradient: "), F.substring("image", 1, 160), F.lit("."))),
+        F.when(F.col("repeat").isNotNull() & ~F.col("kind").isin("nav", "footer"), F.concat(F.col("repeat").cast("string"), F.lit(" repeating items in "), F.col("row").cast("string"), F.lit(" column(s) — emit one "), name, F.lit(" and map over the data."))),
+    ]
+    return s.select("page_id", "i", F.concat_ws("\n", *notes).alias("notes"))
 
 
 def component_names(found: DataFrame) -> DataFrame:

@@ -94,38 +94,66 @@ def signatures(n: DataFrame) -> DataFrame:
     return run.join(kids, ["page_id", "i"], "left").select("page_id", "i", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.concat("tag", F.lit("["), F.coalesce("kids", F.lit("")), F.lit("]"), *flags, F.lit("~"), size).alias("signature"))
 
 
+def _step() -> Column:
+    nth = F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("i"))
+    return F.concat("tag", F.lit(":nth-of-type("), nth.cast("string"), F.lit(")"))
+
+
 def steps(n: DataFrame) -> DataFrame:
     """page_id, i and step: the node's part of a selector path, its tag and its place among its parent's like tags."""
-    nth = F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("i"))
-    return n.select("page_id", "i", F.concat("tag", F.lit(":nth-of-type("), nth.cast("string"), F.lit(")")).alias("step"))
+    return n.select("page_id", "i", _step().alias("step"))
+
+
+def _levels(n: DataFrame, levels: Column, *carried: str) -> DataFrame:
+    """n once for each of its levels (of `levels`, its own depth at most) with at: what is open there, a struct of i, carried.
+
+    Elements come in document order, so the last one of a level is the one around (or is) an element of that level or
+    below. One window by page and level, linear in elements and levels asked for."""
+    e = n.withColumn("level", F.explode(F.filter(levels, lambda x: x <= F.col("depth"))))
+    own = F.when(F.col("level") == F.col("depth"), F.struct("i", *carried))
+    return e.withColumn("at", F.last(own, ignorenulls=True).over(Window.partitionBy("page_id", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def ancestors(n: DataFrame) -> DataFrame:
-    """page_id, i, ancestor, hop: every element above each, 1 for its parent; a merge join by page with an interval."""
-    low, up = n.select("page_id", "i", "depth"), n.select("page_id", F.col("i").alias("ancestor"), F.col("depth").alias("up"), "n_descendants").where("n_descendants > 0")
-    j = low.join(up, "page_id").where((F.col("ancestor") < F.col("i")) & (F.col("i") <= F.col("ancestor") + F.col("n_descendants")))
-    return j.select("page_id", "i", "ancestor", (F.col("depth") - F.col("up")).alias("hop"))
+    """page_id, i, ancestor, hop: every element above each, 1 for its parent."""
+    top = F.sequence(F.lit(1).cast("long"), F.col("depth"))
+    return _levels(n.select("page_id", "i", "depth"), top).where("level < depth").select("page_id", "i", F.col("at.i").alias("ancestor"), (F.col("depth") - F.col("level")).alias("hop"))
 
 
 def paths(n: DataFrame, most: int = HOPS) -> DataFrame:
     """page_id, i, path: the steps of an element and of up to most - 1 above it, but for body."""
-    s = steps(n)
-    own = n.select("page_id", "i", F.col("i").alias("ancestor"), F.lit(0).cast("long").alias("hop"))
-    all_ = own.unionByName(ancestors(n)).where(F.col("hop") < most).join(s.withColumnRenamed("i", "ancestor"), ["page_id", "ancestor"]).where(~F.col("step").startswith("body:"))
-    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hop", "step")), asc=False), lambda x: x["step"]), " > ")
-    return all_.groupBy("page_id", "i").agg(path.alias("path"))
-
-
-def repeats(n: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
-    """page_id, parent, signature, n, children: the largest group of children of one signature, the first seen of equal
-    ones, where it has `least` members and `share` of the children."""
-    s = n.where("parent is not null").select("page_id", "i", "parent").join(signatures(n), ["page_id", "i"])
-    g = s.groupBy("page_id", "parent", "signature").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    s = n.select("page_id", "i", "depth", _step().alias("step"))
+    near = F.sequence(F.greatest(F.lit(1).cast("long"), F.col("depth") - (most - 1)), F.col("depth"))
+    e = _levels(s, near, "step").where(~F.col("at.step").startswith("body:"))
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", F.col("at.step").alias("step")))), lambda x: x["step"]), " > ")
+    return e.groupBy("page_id", "i").agg(path.alias("path"))
+
+
+def within(n: DataFrame, marked: DataFrame) -> DataFrame:
+    """n's columns (i as d), of and of_ columns: each element in the subtree of a marked one, itself included; once for each
+    marked element around it. marked has page_id, i and columns that come back as of_. A page's marked elements stand at
+    few depths, each of which is looked at once; n has depth."""
+    more = {c: f"of_{c}" for c in marked.columns if c not in ("page_id", "i")}
+    m = n.join(marked.withColumnsRenamed(more).withColumn("marked", F.lit(True)), ["page_id", "i"], "left")
+    at = n.select("page_id", "i", "depth").join(marked.select("page_id", "i"), ["page_id", "i"]).groupBy("page_id").agg(F.collect_set("depth").alias("depths"))
+    e = _levels(m.drop("of").join(at, "page_id"), F.col("depths"), "marked", *more.values()).where("at.marked")
+    return e.select("page_id", F.col("at.i").alias("of"), F.col("i").alias("d"), *[c for c in n.columns if c not in ("page_id", "i")], *[f"at.{c}" for c in more.values()])
+
+
+def largest_groups(k: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
+    """page_id, parent, signature, n, children of k (page_id, i, parent, signature): the largest group of children of one
+    signature, the first seen of equal ones, where it has `least` members and `share` of the children."""
+    g = k.groupBy("page_id", "parent", "signature").agg(F.count("*").alias("n"), F.min("i").alias("first"))
     g = g.withColumn("children", F.sum("n").over(Window.partitionBy("page_id", "parent")))
     g = g.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "parent").orderBy(F.desc("n"), "first")))
     return g.where((F.col("rank") == 1) & (F.col("n") >= least) & (F.col("n") >= share * F.col("children"))).drop("rank", "first")
 
 
+def repeats(n: DataFrame) -> DataFrame:
+    """The largest group of like children of each element, by the signature; see largest_groups."""
+    return largest_groups(n.where("parent is not null").select("page_id", "i", "parent").join(signatures(n), ["page_id", "i"]))
+
+
 def subtree(n: DataFrame, root: DataFrame) -> DataFrame:
     """The subtree of one element of each page (root: page_id, i) as a tree of its own: page_id, i, parent, tag, depth;
     the root is 0 and its parent -1."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import challenge, color, url
-from ..operators import jobs, sections, tally, tree
+from ..operators import jobs, layout, sections, tally, tree
 from ..sources.scratch import written
 
 
@@ -92,8 +92,32 @@ def selector_lookup(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id").join(exact, "page_id", "left").join(of_class, "page_id", "left").select("page_id", F.coalesce("exact", -F.col("o"), F.lit(-1)).alias("i"))
 
 
+#: Styles of page elements, which the tables lack, from their place, by expressions that Spark and DuckDB both read.
+NODE_STYLES = {
+    "top": "(i - i % 6) * 24",
+    "display": "CASE (page_id * 7 + i) % 5 WHEN 0 THEN 'grid' WHEN 1 THEN 'inline-flex' ELSE 'block' END",
+    "template": "CASE (page_id + i) % 3 WHEN 0 THEN 'none' WHEN 1 THEN ' 100px  minmax(0,1fr) 1fr' ELSE '' END",
+    "max_width": "CASE WHEN (page_id + i) % 4 = 0 THEN concat(CAST(300 + i % 11 * 200 AS STRING), '.5px') ELSE 'none' END",
+    "gap": "CASE WHEN i % 3 = 0 THEN 'normal' ELSE concat(CAST(i % 7 * 4 AS STRING), '.5px 8px') END",
+    "padding_left": "CASE WHEN i % 2 = 0 THEN '0px' ELSE concat(CAST(i % 4 * 8 AS STRING), 'px') END",
+    "padding_top": "concat(CAST(i % 5 * 8 AS STRING), 'px')",
+    "padding_bottom": "concat(CAST(i % 6 * 10 AS STRING), '.4px')",
+    "font_size": "concat(CAST(12 + i * 5 % 9 * 2 AS STRING), 'px')",
+    "text_transform": "CASE WHEN i % 11 = 0 THEN 'uppercase' ELSE 'none' END",
+    "background": "CASE (page_id + i) % 6 WHEN 0 THEN 'rgb(1, 2, 3)' WHEN 1 THEN 'transparent' ELSE 'rgba(0, 0, 0, 0)' END",
+    "has_border": "(page_id + i) % 9 = 0",
+    "position": "CASE i % 13 WHEN 1 THEN 'sticky' WHEN 2 THEN 'fixed' ELSE 'static' END",
+    "backdrop": "CASE WHEN i % 5 = 1 THEN 'blur(8px)' ELSE 'none' END",
+    "image": "CASE WHEN i % 4 = 1 THEN 'linear-gradient(red, blue)' ELSE 'none' END",
+}
+#: Attributes of elements, empty where there is none.
+ATTRIBUTES = {"role": r'(?i)\srole="([^"]*)"', "cls": r'(?i)\sclass="([^"]*)"', "src": r'(?i)^<img\s(?:[^>]*\s)?src="([^"]*)"', "href": r'(?i)^<a\s(?:[^>]*\s)?href="([^"]*)"'}
+
+
 def _boxes(spark, sf_dir):
-    return written(tree.boxes(_nodes(spark, sf_dir)), "nodes")
+    """Elements with boxes, styles and attributes."""
+    n = tree.boxes(_nodes(spark, sf_dir))
+    return written(n.select("*", *[F.expr(v).alias(k) for k, v in NODE_STYLES.items()], *[F.regexp_extract("token", p, 1).alias(k) for k, p in ATTRIBUTES.items()]).drop("token"), "nodes")
 
 
 def content_root(spark, sf_dir):
@@ -104,15 +128,35 @@ def section_candidates(spark, sf_dir):
     return sections.candidates(_boxes(spark, sf_dir))
 
 
+def _found(n):
+    return written(sections.candidates(n), "candidates")
+
+
+def _repeated(n, found):
+    return written(layout.repeated(n, layout.containers(n, found)), "repeated")
+
+
 def section_classify(spark, sf_dir):
     return classified(_boxes(spark, sf_dir))
 
 
-def classified(n: DataFrame) -> DataFrame:
-    f = sections.features(n, written(sections.candidates(n), "candidates")).withColumn("kind", sections.kind())
+def classified(n: DataFrame, found: DataFrame | None = None, repeated: DataFrame | None = None) -> DataFrame:
+    found = _found(n) if found is None else found
+    marks = layout.repeat_marks(n, _repeated(n, found) if repeated is None else repeated)
+    f = sections.features(n, found, marks).withColumn("kind", sections.kind())
     return f.select("page_id", "i", "kind", F.concat(F.lit("section-"), (F.col("ord") + 1).cast("string"), F.lit("-"), "kind").alias("id"), "links", "repeat", F.length("text").alias("chars"))
 
 
+def section_layout(spark, sf_dir):
+    n = _boxes(spark, sf_dir)
+    return layout.layouts(n, _found(n))
+
+
+def repeat_items(spark, sf_dir):
+    n = _boxes(spark, sf_dir)
+    return layout.items(n, _repeated(n, _found(n)))
+
+
 #: Parts of a page's head: pattern and most characters.
 META = {
     "title": (r"(?is)<title[^>]*>(.*?)</title>", 200),
@@ -166,7 +210,7 @@ def page_links(spark, sf_dir):
     return tally.tally(a, ["page_id"], "href", "t")
 
 
-QUERIES = [tag_tally, url_normalize, weighted_mode, color_oklab, tree_descendants, tree_children, node_signature, dom_nodes, tree_ancestors, css_paths, repeat_groups, subtree_slice, selector_lookup, content_root, section_candidates, section_classify, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
+QUERIES = [tag_tally, url_normalize, weighted_mode, color_oklab, tree_descendants, tree_children, node_signature, dom_nodes, tree_ancestors, css_paths, repeat_groups, subtree_slice, selector_lookup, content_root, section_candidates, section_classify, section_layout, repeat_items, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
 
 
 def queries() -> dict:
@@ -209,7 +253,8 @@ _REPEATS = """
 gr AS (SELECT page_id, parent, signature, count(*) AS n, min(i) AS o FROM sg WHERE parent IS NOT NULL GROUP BY ALL),
 rp AS (SELECT page_id, parent, signature, n, CAST(sum(n) OVER (PARTITION BY page_id, parent) AS BIGINT) AS children FROM gr QUALIFY row_number() OVER (PARTITION BY page_id, parent ORDER BY n DESC, o) = 1),
 rep AS (SELECT * FROM rp WHERE n >= 3 AND n >= 0.6 * children)"""
-_BOX = "bx AS (SELECT *, i * 24 AS y, 1440 - depth * 40 AS w, (n_descendants + 1) * 24 AS h, (1440 - depth * 40) * (n_descendants + 1) * 24 AS area FROM full_)"
+_BOX = f"""bx AS (SELECT *, i * 24 AS y, 1440 - depth * 40 AS w, (n_descendants + 1) * 24 AS h, (1440 - depth * 40) * (n_descendants + 1) * 24 AS area,
+  {", ".join(f"{v} AS {k}" for k, v in NODE_STYLES.items())}, {", ".join(f"regexp_extract(token, '{p}', 1) AS {k}" for k, p in ATTRIBUTES.items())} FROM full_)"""
 _ROOT = f"""{_BOX},
 kk AS (SELECT page_id, parent, count(*) AS n, min(i) AS sole, arg_min(area, i) AS only_area, min(i) FILTER (tag = 'main') AS main FROM bx WHERE parent IS NOT NULL AND area > 0 GROUP BY ALL),
 mc AS (SELECT page_id, parent AS main, count(*) AS in_main FROM bx WHERE parent IS NOT NULL GROUP BY ALL),
@@ -222,8 +267,20 @@ _FOUND = f"""{_ROOT},
 top AS (SELECT page_id, min(i) AS top FROM bx WHERE parent IS NULL GROUP BY page_id),
 cf AS (SELECT b.page_id, b.i, b.y FROM bx b JOIN r6 ON r6.page_id = b.page_id AND b.parent = r6.i WHERE b.h >= {sections.LEAST_HEIGHT} AND b.w >= {sections.VIEWPORT * sections.LEAST_WIDTH}
   UNION SELECT b.page_id, b.i, b.y FROM bx b JOIN top ON top.page_id = b.page_id AND b.parent = top.top WHERE b.tag IN ('header', 'nav', 'footer') AND b.h >= {sections.CHROME_HEIGHT}),
-ca AS (SELECT * FROM cf UNION ALL SELECT r6.page_id, r6.i, bx.y FROM r6 JOIN bx USING (page_id, i) WHERE r6.page_id NOT IN (SELECT page_id FROM cf)),
-cand AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY y, i) - 1 AS ord, count(*) OVER (PARTITION BY page_id) AS total FROM ca)"""
+ca AS (SELECT *, FALSE AS whole FROM cf UNION ALL SELECT r6.page_id, r6.i, bx.y, TRUE FROM r6 JOIN bx USING (page_id, i) WHERE r6.page_id NOT IN (SELECT page_id FROM cf)),
+cand AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY y, i) - 1 AS ord, count(*) OVER (PARTITION BY page_id) AS total, whole FROM ca)"""
+_PX = lambda c: rf"CAST(floor(coalesce(TRY_CAST(nullif(regexp_extract({c}, '^\s*([+-]?(?:\d+\.?\d*|\.\d+))', 1), '') AS DOUBLE), 0) + 0.5) AS BIGINT)"
+_LAID = rf"""{_FOUND},
+ch AS (SELECT page_id, parent AS i, count(*) AS children, count(*) FILTER (area > 0) AS shown, count(*) FILTER (area > 0 AND abs(top - top0) < {layout.ROW}) AS in_row FROM (SELECT *, first_value(CASE WHEN area > 0 THEN top END IGNORE NULLS) OVER (PARTITION BY page_id, parent ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top0 FROM bx WHERE parent IS NOT NULL) GROUP BY page_id, parent),
+ins AS (SELECT s.page_id, s.i, d.i AS d, d.area, d.display, coalesce(ch.children, 0) AS children, b.area AS s_area, b.w AS s_w, d.w, TRY_CAST(nullif(regexp_extract(d.max_width, '^\s*([+-]?(?:\d+\.?\d*|\.\d+))', 1), '') AS DOUBLE) AS mw
+  FROM cand s JOIN bx b USING (page_id, i) JOIN bx d ON d.page_id = s.page_id AND d.i BETWEEN s.i AND s.i + b.n_descendants LEFT JOIN ch ON ch.page_id = d.page_id AND ch.i = d.i),
+cn AS (SELECT page_id, i, coalesce(arg_max(d, row(area, -d)) FILTER (d > i AND d <= i + {layout.FIRST_CONTAINER} AND area > s_area * {layout.SHARE} AND children >= 2 AND (contains(display, 'grid') OR contains(display, 'flex'))),
+  arg_max(d, row(area, -d)) FILTER (d > i AND d <= i + {layout.FIRST_CONTAINER} AND area > s_area * {layout.SHARE} AND children >= 3), i) AS container,
+  arg_max(d, row(area, -d)) FILTER (d <= i + {layout.FIRST_WRAPPER} AND mw BETWEEN {layout.NARROWEST} AND {layout.WIDEST} AND w >= least(s_w, mw) * {layout.SPANS}) AS wrapper FROM ins GROUP BY page_id, i)"""
+_REPEATED = f"""{_SIGNED}, {_REPEATS}, {_LAID},
+it AS (SELECT c.page_id, c.i, c.container, k.i AS item, r.n AS repeat, row_number() OVER (PARTITION BY c.page_id, c.i ORDER BY k.i) AS place FROM cn c JOIN rep r ON r.page_id = c.page_id AND r.parent = c.container JOIN sg k ON k.page_id = c.page_id AND k.parent = c.container AND k.signature = r.signature),
+ii AS (SELECT t.*, d.i AS d, d.tag, d.own_text, d.src, d.href, TRY_CAST(replace(d.font_size, 'px', '') AS DOUBLE) AS size FROM it t JOIN bx b ON b.page_id = t.page_id AND b.i = t.item JOIN bx d ON d.page_id = t.page_id AND d.i BETWEEN t.item AND t.item + b.n_descendants WHERE t.place <= {layout.MOST_ITEMS}),
+mk AS (SELECT page_id, i, any_value(repeat) AS repeat, count(DISTINCT item) FILTER (src <> '') >= any_value(repeat) - 1 AS pictures FROM ii GROUP BY page_id, i)"""
 _IN = lambda *t: f"count(*) FILTER (d.i > s.i AND d.tag IN ({_Q(t)}))"
 
 LATEST = 'SELECT user_id, count(*) AS n_events, arg_max(event_type, row(ts, event_id)) AS state, max(ts) AS "at" FROM events GROUP BY user_id'
@@ -248,16 +305,29 @@ cs AS (SELECT page_id, i FROM nd WHERE regexp_matches(token, 'class="([^"]* )?ad
 SELECT p.page_id, coalesce(ex.i, cs.i, -1) AS i FROM pages p LEFT JOIN ex USING (page_id) LEFT JOIN cs USING (page_id)""",
     "content_root": f"WITH {_NODES}, {_ROOT} SELECT page_id, i FROM r6",
     "section_candidates": f"WITH {_NODES}, {_FOUND} SELECT * FROM cand",
-    "section_classify": f"""WITH {_NODES}, {_SIGNED}, {_REPEATS}, {_FOUND},
-s0 AS (SELECT c.*, b.tag, b.y, b.h, b.n_descendants FROM cand c JOIN bx b USING (page_id, i)),
-ft AS (SELECT s.page_id, s.i, s.ord, s.total, s.tag, s.y, s.h, {_IN("a")} AS links, {_IN("h1")} AS h1, {_IN("blockquote")} AS quotes, {_IN("details", "summary")} AS details, {_IN("form", "input")} AS forms, {_IN("button")} AS buttons, {_IN("img")} AS images,
-  string_agg(d.own_text, ' ' ORDER BY d.i) AS text FROM s0 s JOIN full_ d ON d.page_id = s.page_id AND d.i BETWEEN s.i AND s.i + s.n_descendants GROUP BY ALL),
-fr AS (SELECT ft.*, coalesce(rep.n, 0) AS repeat FROM ft LEFT JOIN rep ON rep.page_id = ft.page_id AND rep.parent = ft.i),
-kn AS (SELECT *, CASE WHEN tag = 'footer' THEN 'footer' WHEN tag = 'nav' OR tag = 'header' AND y < 200 AND h < 200 OR y < 160 AND h <= 120 AND links >= 3 THEN 'nav' WHEN ord >= total - 1 AND links >= 6 THEN 'footer' WHEN h1 > 0 THEN 'hero'
-  WHEN regexp_matches(text, '{sections.PRICE}') AND repeat BETWEEN 2 AND 5 THEN 'pricing' WHEN quotes > 0 OR regexp_matches(text, '{sections.QUOTE}') AND repeat <= 3 THEN 'testimonial' WHEN details > 0 THEN 'faq'
+    "section_classify": f"""WITH {_NODES}, {_REPEATED},
+s0 AS (SELECT c.*, b.tag, b.role, b.y, b.h, b.n_descendants FROM cand c JOIN bx b USING (page_id, i)),
+ft AS (SELECT s.page_id, s.i, s.ord, s.total, s.whole, s.tag, s.role, s.y, s.h, {_IN("a")} AS links, count(*) FILTER (d.i > s.i AND d.tag = 'h1' AND d.own_text <> '') AS h1, {_IN("blockquote")} AS quotes, {_IN("details", "summary")} AS details, {_IN("form", "input")} AS forms,
+  count(*) FILTER (d.i > s.i AND (d.tag = 'button' OR d.tag = 'a' AND d.background <> '{sections.CLEAR}')) AS buttons, {_IN("img")} AS images, substr(string_agg(d.own_text, ' ' ORDER BY d.i), 1, {sections.TEXT_CHARS}) AS text FROM s0 s JOIN bx d ON d.page_id = s.page_id AND d.i BETWEEN s.i AND s.i + s.n_descendants GROUP BY ALL),
+fr AS (SELECT ft.*, coalesce(mk.repeat, 0) AS repeat, coalesce(mk.pictures, FALSE) AS pictures FROM ft LEFT JOIN mk USING (page_id, i)),
+kn AS (SELECT *, CASE WHEN whole THEN 'content' WHEN tag = 'footer' THEN 'footer' WHEN tag = 'nav' OR role = 'navigation' OR tag = 'header' AND y < 200 AND h < 200 OR y < 160 AND h <= 120 AND links >= 3 THEN 'nav' WHEN ord >= total - 1 AND links >= 6 THEN 'footer' WHEN h1 > 0 THEN 'hero'
+  WHEN regexp_matches(text, '{sections.PRICE}') AND repeat BETWEEN 2 AND 5 THEN 'pricing' WHEN quotes > 0 OR regexp_matches(text, '{sections.QUOTE}') AND repeat <= 3 THEN 'testimonial' WHEN details > 0 THEN 'faq' WHEN pictures AND repeat >= 3 THEN 'logo-cloud'
   WHEN repeat BETWEEN 3 AND 5 AND regexp_matches(text, '{sections.STAT}') AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 240 THEN 'stats' WHEN repeat >= 3 AND images >= repeat THEN 'gallery' WHEN repeat >= 3 THEN 'feature-grid'
   WHEN forms > 0 OR buttons >= 1 AND h < 520 AND links <= 4 THEN 'cta' ELSE 'content' END AS kind FROM fr)
 SELECT page_id, i, kind, 'section-' || (ord + 1) || '-' || kind AS id, links, repeat, length(text) AS chars FROM kn""",
+    "section_layout": rf"""WITH {_NODES}, {_LAID}
+SELECT c.page_id, c.i, c.container, k.display, {_PX("k.gap")} AS gap, CAST(CASE WHEN k.template <> 'none' AND trim(k.template) <> '' THEN len(string_split_regex(trim(k.template), '\s+')) WHEN contains(k.display, 'flex') AND coalesce(ch.shown, 0) > 0 THEN greatest(ch.in_row, 1) ELSE 1 END AS INTEGER) AS columns,
+CASE WHEN w.i IS NOT NULL THEN {_PX("w.max_width")} END AS max_width, {_PX("s.padding_top")} AS padding_top, {_PX("s.padding_bottom")} AS padding_bottom, CASE WHEN {_PX("s.padding_left")} <> 0 THEN {_PX("s.padding_left")} WHEN w.i IS NULL THEN 0 ELSE {_PX("w.padding_left")} END AS padding_x, s.h AS min_height
+FROM cn c JOIN bx s ON s.page_id = c.page_id AND s.i = c.i JOIN bx k ON k.page_id = c.page_id AND k.i = c.container LEFT JOIN ch ON ch.page_id = c.page_id AND ch.i = c.container LEFT JOIN bx w ON w.page_id = c.page_id AND w.i = c.wrapper""",
+    "repeat_items": f"""WITH {_NODES}, {_REPEATED},
+ln AS (SELECT page_id, i, item, own_text, min(d) AS d FROM ii WHERE own_text <> '' GROUP BY page_id, i, item, own_text),
+lr AS (SELECT *, row_number() OVER (PARTITION BY page_id, i, item ORDER BY d) AS nth FROM ln QUALIFY nth <= {layout.MOST_LINES}),
+ls AS (SELECT page_id, i, item, list(own_text ORDER BY nth) AS x FROM lr GROUP BY page_id, i, item),
+ig AS (SELECT page_id, i, item, any_value(place) AS place, arg_min(own_text, d) FILTER (d > item AND own_text <> '' AND tag IN ({_Q(tree.HEADINGS)})) AS headed, arg_min(own_text, row(-size, d)) FILTER (d > item AND own_text <> '') AS largest,
+  coalesce(arg_min(src, d) FILTER (src <> ''), '') AS image, coalesce(arg_min(href, d) FILTER (href <> ''), '') AS href, coalesce(bool_or(d > item AND tag = 'svg'), FALSE) AS has_icon FROM ii GROUP BY page_id, i, item),
+ih AS (SELECT ig.*, coalesce(x, []) AS x, coalesce(headed, largest, x[1], '') AS heading FROM ig LEFT JOIN ls USING (page_id, i, item)),
+io AS (SELECT *, list_filter(x, lambda l: l <> heading) AS others FROM ih)
+SELECT page_id, i, CAST(place AS INTEGER) AS place, item, heading, coalesce(list_filter(others, lambda l: length(l) > {layout.PROSE})[1], others[1], '') AS body, array_to_string(x, chr(10)) AS lines, image, href, has_icon FROM io""",
     "challenge_verdict": f"""
 WITH {_NODES}, p AS (SELECT pages.page_id, coalesce(url, '') AS url, {_TEXT} AS t, coalesce(n, 0) AS n FROM pages LEFT JOIN (SELECT page_id, count(*) AS n FROM el GROUP BY page_id) USING (page_id)),
 e AS (SELECT *, CASE WHEN n >= {challenge.ELEMENTS} THEN NULL {_PHRASE} END AS evidence FROM p)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assets
+from ..operators import assets, layout, sections
 from ..sources.scratch import written
 from . import catalogue
 
@@ -82,9 +82,22 @@ def viewport_sets(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(kept, ",").alias("viewports"), F.array_join(others, ",").alias("others"))
 
 
-def section_copy(spark, sf_dir):
+def _described(spark, sf_dir):
+    """Elements, the members of repeats, and sections with their kinds."""
     n = catalogue._boxes(spark, sf_dir)
-    return assets.section_copy(n, written(catalogue.classified(n).select("page_id", "i", "id", "kind"), "sections"))
+    found = catalogue._found(n)
+    repeated = catalogue._repeated(n, found)
+    return n, repeated, written(catalogue.classified(n, found, repeated).select("page_id", "i", "id", "kind"), "sections")
+
+
+def section_copy(spark, sf_dir):
+    n, repeated, found = _described(spark, sf_dir)
+    return assets.section_copy(n, found, layout.items(n, repeated))
+
+
+def section_notes(spark, sf_dir):
+    n, repeated, found = _described(spark, sf_dir)
+    return assets.section_notes(n, found, layout.repeat_marks(n, repeated))
 
 
 def component_names(spark, sf_dir):
@@ -95,7 +108,7 @@ def page_html(spark, sf_dir):
     return assets.page_html(section_copy(spark, sf_dir))
 
 
-QUERIES = [image_manifest, icon_library, google_fonts, asset_manifest, responsive_match, viewport_sets, section_copy, component_names, page_html]
+QUERIES = [image_manifest, icon_library, google_fonts, asset_manifest, responsive_match, viewport_sets, section_copy, section_notes, component_names, page_html]
 
 
 def queries() -> dict:
@@ -136,15 +149,26 @@ SELECT event_id, array_to_string(kept, ',') AS viewports, array_to_string(kept[2
     "component_names": f"""WITH c AS ({catalogue.SQL['section_classify']}), n AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY i) AS nth FROM c)
 SELECT page_id, i, list_aggregate(list_transform(string_split(kind, '-'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '') || CASE WHEN nth > 1 THEN CAST(nth AS VARCHAR) ELSE '' END AS component FROM n""",
     "section_copy": f"""WITH fd AS MATERIALIZED (SELECT page_id, i, id, kind, kind IN ('nav', 'footer') AS chrome FROM ({catalogue.SQL['section_classify']})),
-n AS MATERIALIZED ({catalogue.SQL['dom_nodes']}), sg AS MATERIALIZED ({catalogue.SQL['node_signature']}), rp AS MATERIALIZED ({catalogue.SQL['repeat_groups']}),
-ins AS (SELECT fd.*, d.i AS d, d.tag, d.own_text AS t FROM fd JOIN n AS s USING (page_id, i) JOIN n AS d ON d.page_id = fd.page_id AND d.i > fd.i AND d.i <= fd.i + s.n_descendants WHERE d.own_text <> ''),
-top AS (SELECT page_id, i, d AS h_at, t AS heading FROM ins WHERE NOT chrome AND tag IN ('h1', 'h2', 'h3', 'h4') QUALIFY row_number() OVER (PARTITION BY page_id, i ORDER BY tag, d) = 1),
-said AS (SELECT DISTINCT fd.page_id, fd.i, d.own_text AS t FROM fd JOIN rp ON rp.page_id = fd.page_id AND rp.parent = fd.i JOIN n AS it ON it.page_id = fd.page_id AND it.parent = fd.i JOIN sg ON sg.page_id = it.page_id AND sg.i = it.i AND sg.signature = rp.signature JOIN n AS d ON d.page_id = it.page_id AND d.i BETWEEN it.i AND it.i + it.n_descendants WHERE NOT chrome AND d.own_text <> ''),
-fr AS (SELECT ins.*, h_at FROM ins LEFT JOIN top USING (page_id, i) WHERE NOT EXISTS (SELECT 1 FROM said WHERE said.page_id = ins.page_id AND said.i = ins.i AND said.t = ins.t)),
-ln AS (SELECT page_id, i, d, t, CASE WHEN tag = 'button' THEN 'cta' ELSE 'body' END AS use FROM fr WHERE tag = 'button' OR (length(t) > 24 AND h_at IS DISTINCT FROM d) UNION ALL SELECT page_id, i, d, t, 'link' FROM ins WHERE chrome AND tag = 'a'),
-ct AS (SELECT * FROM ln QUALIFY row_number() OVER (PARTITION BY page_id, i, use ORDER BY d) <= CASE use WHEN 'body' THEN {assets.BODY_LINES} WHEN 'cta' THEN {assets.CTAS} ELSE 1000000000 END),
-g AS (SELECT page_id, i, string_agg(t, chr(10) ORDER BY d) FILTER (use = 'body') AS body, string_agg(t, chr(10) ORDER BY d) FILTER (use = 'cta') AS ctas, string_agg(t, chr(10) ORDER BY d) FILTER (use = 'link') AS links FROM ct GROUP BY page_id, i)
-SELECT page_id, i, id, kind, heading, coalesce(body, '') AS body, coalesce(ctas, '') AS ctas, coalesce(links, '') AS links FROM fd LEFT JOIN top USING (page_id, i) LEFT JOIN g USING (page_id, i)""",
+n AS MATERIALIZED (WITH {catalogue._NODES}, {catalogue._BOX} SELECT * FROM bx), im AS MATERIALIZED ({catalogue.SQL['repeat_items']}),
+ins AS (SELECT fd.*, d.i AS d, d.n_descendants AS size, d.tag, d.own_text AS t, d.role, d.cls, d.background, d.has_border, d.y, coalesce(nullif(TRY_CAST(replace(d.font_size, 'px', '') AS DOUBLE), 0), 16) AS fs, d.text_transform FROM fd JOIN n AS s USING (page_id, i) JOIN n AS d ON d.page_id = fd.page_id AND d.i > fd.i AND d.i <= fd.i + s.n_descendants),
+top AS (SELECT page_id, i, d AS h_at, y AS h_y, t AS heading, CAST(tag[2] AS INTEGER) AS level FROM ins WHERE t <> '' AND NOT chrome AND tag IN ('h1', 'h2', 'h3', 'h4') QUALIFY row_number() OVER (PARTITION BY page_id, i ORDER BY tag, d) = 1),
+br AS (SELECT page_id, i, d AS b_at, t AS eyebrow FROM ins JOIN top USING (page_id, i) WHERE t <> '' AND y < h_y AND length(t) < 60 AND (text_transform = 'uppercase' OR fs < 15) QUALIFY row_number() OVER (PARTITION BY page_id, i ORDER BY d) = 1),
+said AS (SELECT DISTINCT page_id, i, unnest(string_split(lines, chr(10))) AS t FROM im JOIN fd USING (page_id, i) WHERE NOT chrome),
+pr AS (SELECT ins.page_id, ins.i, d, t, y, h_y FROM ins LEFT JOIN top USING (page_id, i) LEFT JOIN br USING (page_id, i) WHERE length(t) > 24 AND d IS DISTINCT FROM h_at AND d IS DISTINCT FROM b_at),
+bl AS (SELECT page_id, i, arg_min(t, d) AS below FROM pr WHERE y >= h_y GROUP BY page_id, i),
+ac AS (SELECT *, tag = 'button' OR role = 'button' OR tag = 'a' AND (background NOT IN ('rgba(0, 0, 0, 0)', 'transparent') OR has_border OR regexp_matches(cls, '(?i)\\b(btn|button|cta)\\b')) AS act, CASE WHEN background NOT IN ('rgba(0, 0, 0, 0)', 'transparent') THEN 'primary' WHEN has_border THEN 'secondary' ELSE 'link' END AS variant FROM ins),
+wh AS (SELECT ac.page_id, ac.i, ac.d, ac.act, ac.tag, ac.chrome, ac.variant, substr(string_agg(x.own_text, ' ' ORDER BY x.i), 1, {sections.TEXT_CHARS}) AS t FROM ac JOIN n x ON x.page_id = ac.page_id AND x.i BETWEEN ac.d AND ac.d + ac.size WHERE x.own_text <> '' AND (act OR ac.tag = 'a' AND chrome) GROUP BY ALL),
+ln AS (SELECT page_id, i, d, t, 'body' AS use, '' AS variant FROM pr WHERE NOT EXISTS (SELECT 1 FROM said WHERE said.page_id = pr.page_id AND said.i = pr.i AND said.t = pr.t)
+  UNION ALL SELECT page_id, i, d, t, 'cta', variant FROM wh WHERE act AND NOT EXISTS (SELECT 1 FROM said WHERE said.page_id = wh.page_id AND said.i = wh.i AND said.t = wh.t) UNION ALL SELECT page_id, i, d, t, 'link', variant FROM wh WHERE tag = 'a' AND chrome),
+ct AS (SELECT *, row_number() OVER (PARTITION BY page_id, i, use ORDER BY d) AS place FROM ln QUALIFY place <= CASE use WHEN 'body' THEN {assets.BODY_LINES} WHEN 'cta' THEN {assets.CTAS} ELSE {assets.LINKS} END),
+g AS (SELECT page_id, i, string_agg(t, chr(10) ORDER BY d) FILTER (use = 'body') AS body, string_agg(t[:80], chr(10) ORDER BY d) FILTER (use = 'cta') AS ctas, string_agg(variant, chr(10) ORDER BY d) FILTER (use = 'cta') AS variants, string_agg(t[:40], chr(10) ORDER BY d) FILTER (use = 'link') AS links, min(t) FILTER (use = 'body' AND place = 1) AS first FROM ct GROUP BY page_id, i)
+SELECT page_id, i, id, kind, heading, coalesce(level, 0) AS level, coalesce(eyebrow, '') AS eyebrow, CASE WHEN below IS NOT NULL AND below IS DISTINCT FROM first THEN below ELSE coalesce(first, '') END AS subheading, coalesce(body, '') AS body, coalesce(ctas, '') AS ctas, coalesce(variants, '') AS variants, coalesce(links, '') AS links
+FROM fd LEFT JOIN top USING (page_id, i) LEFT JOIN br USING (page_id, i) LEFT JOIN bl USING (page_id, i) LEFT JOIN g USING (page_id, i)""",
+    "section_notes": f"""WITH {catalogue._NODES}, {catalogue._REPEATED}, fd AS MATERIALIZED (SELECT page_id, i, kind FROM ({catalogue.SQL['section_classify']})),
+rw AS (SELECT t.page_id, t.i, any_value(t.repeat) AS repeat, count(*) FILTER (abs(k.top - f.top) < {layout.ROW}) AS in_row FROM it t JOIN bx k ON k.page_id = t.page_id AND k.i = t.item JOIN it u ON u.page_id = t.page_id AND u.i = t.i AND u.place = 1 JOIN bx f ON f.page_id = u.page_id AND f.i = u.item GROUP BY t.page_id, t.i)
+SELECT fd.page_id, fd.i, concat_ws(chr(10), CASE WHEN position IN ('sticky', 'fixed') THEN 'Pinned to the viewport (position: ' || position || ').' END, CASE WHEN backdrop NOT IN ('', 'none') THEN 'Backdrop filter: ' || backdrop || '.' END,
+  CASE WHEN contains(image, 'gradient') THEN 'Background gradient: ' || image[:160] || '.' END, CASE WHEN repeat IS NOT NULL AND kind NOT IN ('nav', 'footer') THEN repeat || ' repeating items in ' || in_row || ' column(s) — emit one ' || CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in assets.NAMES.items())} ELSE 'Item' END || ' and map over the data.' END) AS notes
+FROM fd JOIN bx ON bx.page_id = fd.page_id AND bx.i = fd.i LEFT JOIN rw ON rw.page_id = fd.page_id AND rw.i = fd.i""",
 }
 SQL["asset_manifest"] = f"""WITH i AS (SELECT page_id, count(*) AS images, count(*) FILTER (is_brand) AS brand_images, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM {_SUB("image_manifest")} GROUP BY page_id),
 f AS (SELECT page_id, string_agg(family, ',' ORDER BY first, family) AS fonts FROM {_SUB("google_fonts")} GROUP BY page_id)
