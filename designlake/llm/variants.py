@@ -155,7 +155,10 @@ def links(words: DataFrame) -> DataFrame:
         word, n = p["word"].to_numpy(), p["n"].to_numpy()
         return pd.DataFrame({"word": word[a], "near": word[b], "n": n[b]})
 
-    return members(words).groupBy("m", "last", "bucket", "x", "y").applyInPandas(search, "word string, near string, n long")
+    shard = ["m", "last", "bucket", "x", "y"]
+    # few bytes, much work: as many tasks as there are shuffle partitions, which are not put together
+    dealt = members(words).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), *shard)
+    return dealt.groupBy(*shard).applyInPandas(search, "word string, near string, n long")
 
 
 def followed(forms: DataFrame) -> DataFrame:
