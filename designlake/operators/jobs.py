@@ -41,7 +41,7 @@ def expired(jobs: DataFrame, at: str, minutes: int) -> DataFrame:
 
 
 def requests(events: DataFrame, key: str, at: str, seq: str, action: str) -> DataFrame:
-    """key, status, updated_at, refused: each request after its actions in order (create, claim, complete, decline).
+    """key, status, created_at, updated_at, refused: each request after its actions in order (create, claim, complete, decline).
 
     A created request is pending; a claim makes it claimed, and either may be completed (done) or declined. After that
     nothing changes it; such actions are counted as refused, and so are those before its creation.
@@ -55,12 +55,11 @@ def requests(events: DataFrame, key: str, at: str, seq: str, action: str) -> Dat
     counts = live & ~ended & ((F.col(action) != "create") | (F.col("here") == F.col("made")))
     e = e.withColumn("counts", counts)
     last = F.max(F.when(F.col("counts"), F.struct(at, seq, action))).alias("last")
-    g = e.groupBy(key).agg(last, F.sum((~F.col("counts")).cast("int")).alias("refused"))
+    g = e.groupBy(key).agg(last, F.min("made")[at].alias("created_at"), F.sum((~F.col("counts")).cast("int")).alias("refused"))
     status = F.when(F.col(f"last.{action}") == "create", "pending").when(F.col(f"last.{action}") == "claim", "claimed").when(F.col(f"last.{action}") == "complete", "done").when(F.col(f"last.{action}") == "decline", "declined")
-    return g.select(key, status.alias("status"), F.col(f"last.{at}").alias("updated_at"), "refused")
+    return g.select(key, status.alias("status"), "created_at", F.col(f"last.{at}").alias("updated_at"), "refused")
 
 
-def waiting(states: DataFrame, key: str, now, minutes: int = REQUEST_MINUTES, most: int = MOST_PENDING) -> DataFrame:
-    """The pending requests that have not been idle for over `minutes` at time now, newest first, at most `most`."""
-    live = states.where((F.col("status") == "pending") & (F.col("updated_at") >= now - F.expr(f"interval {minutes} minutes")))
-    return live.orderBy(F.desc("updated_at"), key).limit(most)
+def waiting(states: DataFrame, now, minutes: int = REQUEST_MINUTES) -> DataFrame:
+    """The pending requests that have not been idle for over `minutes` at time now; readers sort them by created_at."""
+    return states.where((F.col("status") == "pending") & (F.col("updated_at") >= now - F.expr(f"interval {minutes} minutes")))

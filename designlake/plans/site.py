@@ -6,6 +6,7 @@ that Spark and DuckDB both read.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import robots
@@ -46,11 +47,12 @@ def request_states(spark, sf_dir):
 
 
 def pending_requests(spark, sf_dir):
-    """Requests that wait at the time of the newest change, after sixty days without one they are gone; 25 at most."""
-    s = _requests(spark, sf_dir)
-    now = s.agg(F.max("updated_at").alias("now"))
-    # one row: the newest time
-    return jobs.waiting(s.join(F.broadcast(now)), "request", F.col("now"), 60 * 24 * 60).drop("now", "refused")
+    """Requests that wait at the time of their user's newest change, newest first by place; idle ones are gone."""
+    s = _requests(spark, sf_dir).withColumn("queue", F.floor(F.col("request") / 100).cast("long"))
+    s = s.withColumn("now", F.max("updated_at").over(Window.partitionBy("queue")))
+    live = jobs.waiting(s, F.col("now"), 60 * 24 * jobs.REQUEST_MINUTES // 60)
+    place = F.row_number().over(Window.partitionBy("queue").orderBy(F.desc("created_at"), "request"))
+    return live.select("queue", "request", "created_at", "updated_at", place.alias("place"))
 
 
 def _steps(spark, sf_dir):
@@ -98,7 +100,7 @@ r1 AS (SELECT *, min(row("at", event_id)) FILTER (action = 'create') OVER (PARTI
 r2 AS (SELECT *, made IS NOT NULL AND row("at", event_id) >= made AS live FROM r1),
 r3 AS (SELECT *, count(*) FILTER (live AND action IN ('complete', 'decline')) OVER (PARTITION BY request ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM r2),
 r4 AS (SELECT *, coalesce(live AND ended = 0 AND (action <> 'create' OR row("at", event_id) = made), FALSE) AS counts FROM r3),
-rq AS (SELECT request, CASE arg_max(action, row("at", event_id)) FILTER (counts) WHEN 'create' THEN 'pending' WHEN 'claim' THEN 'claimed' WHEN 'complete' THEN 'done' WHEN 'decline' THEN 'declined' END AS status, max("at") FILTER (counts) AS updated_at, count(*) FILTER (NOT counts) AS refused FROM r4 GROUP BY request)"""
+rq AS (SELECT request, CASE arg_max(action, row("at", event_id)) FILTER (counts) WHEN 'create' THEN 'pending' WHEN 'claim' THEN 'claimed' WHEN 'complete' THEN 'done' WHEN 'decline' THEN 'declined' END AS status, min("at") FILTER (action = 'create') AS created_at, max("at") FILTER (counts) AS updated_at, count(*) FILTER (NOT counts) AS refused FROM r4 GROUP BY request)"""
 _KEPT = """s AS (SELECT user_id AS job, ts AS "at", event_id AS seq, CASE WHEN event_id % 9 = 0 THEN 'done' WHEN event_id % 31 = 0 THEN 'error' ELSE event_type END AS state FROM events),
 k AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.job = s.job AND o.state IN ('done', 'error') AND row(o."at", o.seq) < row(s."at", s.seq)))"""
 _SUB = lambda name: f"({design.SQL[name]})"
@@ -122,7 +124,8 @@ SELECT p.page_id, path, coalesce(allow, TRUE) AS allowed, pattern FROM p LEFT JO
 d AS (SELECT page_id, CASE WHEN raw IS NULL THEN 'empty' WHEN NOT ok THEN 'not JSON' WHEN coalesce(CASE WHEN ok THEN raw ->> '$.url' END, '') = '' THEN 'no address' WHEN coalesce(CASE WHEN ok THEN json_array_length(raw, '$.nodes') END, 0) <= 0 THEN 'no measurable content' END AS reason, CASE WHEN ok THEN raw END AS j FROM v)
 SELECT page_id, reason, CASE WHEN reason IS NULL THEN j ->> '$.url' END AS url, CAST(CASE WHEN reason IS NULL THEN json_array_length(j, '$.nodes') END AS INTEGER) AS n_nodes FROM d""",
     "request_states": f"WITH {_REQUESTS} SELECT * FROM rq",
-    "pending_requests": f"WITH {_REQUESTS} SELECT request, status, updated_at FROM rq WHERE status = 'pending' AND updated_at >= (SELECT max(updated_at) FROM rq) - INTERVAL 60 DAY ORDER BY updated_at DESC, request LIMIT {jobs.MOST_PENDING}",
+    "pending_requests": f"""WITH {_REQUESTS}, qu AS (SELECT *, request // 100 AS queue, max(updated_at) OVER (PARTITION BY request // 100) AS now FROM rq)
+SELECT queue, request, created_at, updated_at, CAST(row_number() OVER (PARTITION BY queue ORDER BY created_at DESC, request) AS INTEGER) AS place FROM qu WHERE status = 'pending' AND updated_at >= now - INTERVAL 24 HOUR""",
     "job_events_kept": f'WITH {_KEPT} SELECT * FROM k',
     "job_expiry": f"""WITH {_KEPT} SELECT job, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) AS since, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AS expired FROM k GROUP BY job""",
     "tokens_css": _FILE("css", "' || ':root {' || chr(10) || '", "' || chr(10) || '}", [(_SUB("type_scale"), _BYSIZE, "'  --font-size-' || name || ': ' || size || 'px;'"), (_SUB("spacing_steps"), "px", "'  --space-' || key || ': ' || px || 'px;'"), (_SUB("radius_tokens"), _BYTOKEN, "'  --radius-' || token || ': ' || radius || ';'"), (_SUB("shadow_tokens"), _BYTOKEN, "'  --shadow-' || token || ': ' || shadow || ';'")]),

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir and read back; a local session without that setting uses a temporary folder."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; a local session without that setting uses a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if top is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="designlake-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written under spark.checkpoint.dir and read back."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

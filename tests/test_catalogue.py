@@ -3,10 +3,10 @@ import os
 import duckdb
 import pytest
 
-from designlake.plans import catalogue, copydeck, design, sheets, site
+from designlake.plans import catalogue, copydeck, design, sheets, site, streams
 
-QUERIES = catalogue.queries() | copydeck.queries() | design.queries() | sheets.queries() | site.queries()
-ORACLES = catalogue.SQL | copydeck.SQL | design.SQL | sheets.SQL | site.SQL
+QUERIES = catalogue.queries() | copydeck.queries() | design.queries() | sheets.queries() | site.queries() | streams.queries()
+ORACLES = catalogue.SQL | copydeck.SQL | design.SQL | sheets.SQL | site.SQL | streams.SQL
 
 SF = "/root/testdata/sf0.001"
 
