@@ -8,10 +8,10 @@ events come in order; of one batch they are put in order here.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,8 +23,13 @@ JOB = "job long, since timestamp, status string, expired boolean"
 QUEUE = "queue long, request long, status string, created_at timestamp, updated_at timestamp, reason string"
 
 
-def millis(t: pd.Timestamp) -> int:
-    return int(t.value // 1_000_000)
+def millis(t: dt.datetime) -> int:
+    """As event time is counted; times without a zone are local ones, as rows have them."""
+    return int(t.timestamp() * 1000)
+
+
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda r: (r.at, r.seq))
 
 
 class _Keyed(StatefulProcessor):
@@ -37,19 +42,17 @@ class _Keyed(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", self.schema)
 
-    def wake(self, at: pd.Timestamp) -> None:
-        """One timer: a millisecond after `minutes` have passed since at."""
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(millis(at) + self.minutes * 60_000 + 1)
+    def wake(self, was: dt.datetime | None, at: dt.datetime) -> None:
+        """The timer of a key: a millisecond after `minutes` have passed since at, in place of the one for was."""
+        when = lambda t: millis(t) + self.minutes * 60_000 + 1
+        if was is None or when(was) != when(at):
+            if was is not None:
+                self.handle.deleteTimer(when(was))
+            self.handle.registerTimer(when(at))
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(rows)).sort_values(["at", "seq"])
-
 
 class Requests(_Keyed):
     schema = "status string, created timestamp, updated timestamp, refused long"
@@ -57,23 +60,23 @@ class Requests(_Keyed):
     def __init__(self, minutes: int):
         self.minutes = minutes
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, created, updated, refused = self.state.get() if self.state.exists() else (None, None, None, 0)
-        for action, at in self.ordered(rows)[["action", "at"]].itertuples(index=False):
-            final = status in ("done", "declined")
-            if (status is None) != (action == "create") or final:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        status, created, was, refused = self.state.get() or (None, None, None, 0)
+        updated = was
+        for r in in_order(rows):
+            if (status is None) != (r.action == "create") or status in ("done", "declined"):
                 refused += 1
-                continue
-            status, created, updated = STATUS[action], created or at.to_pydatetime(), at.to_pydatetime()
+            else:
+                status, created, updated = STATUS[r.action], created or r.at, r.at
         self.state.update((status, created, updated, refused))
         if updated is not None:
-            self.wake(pd.Timestamp(updated))
-        yield pd.DataFrame({"request": [key[0]], "status": [status], "created_at": [created], "updated_at": [updated], "refused": [refused], "expired": [False]}).astype({"created_at": "datetime64[us]", "updated_at": "datetime64[us]"})
+            self.wake(was, updated)
+        yield Row(request=key[0], status=status, created_at=created, updated_at=updated, refused=refused, expired=False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         status, created, updated, refused = self.state.get()
         self.state.clear()
-        yield pd.DataFrame({"request": [key[0]], "status": [status], "created_at": [created], "updated_at": [updated], "refused": [refused], "expired": [True]})
+        yield Row(request=key[0], status=status, created_at=created, updated_at=updated, refused=refused, expired=True)
 
 
 class Jobs(_Keyed):
@@ -82,22 +85,23 @@ class Jobs(_Keyed):
     def __init__(self, minutes: int, terminal: tuple[str, ...]):
         self.minutes, self.terminal = minutes, terminal
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        since, status = self.state.get() if self.state.exists() else (None, None)
-        for state, at in self.ordered(rows)[["state", "at"]].itertuples(index=False):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        was, status = self.state.get() or (None, None)
+        since = was
+        for r in in_order(rows):
             if status in self.terminal:
                 break
-            status = state if state in self.terminal else "running"
+            status = r.state if r.state in self.terminal else "running"
             if since is None or status in self.terminal:
-                since = at.to_pydatetime()
+                since = r.at
         self.state.update((since, status))
-        self.wake(pd.Timestamp(since))
-        yield pd.DataFrame({"job": [key[0]], "since": [since], "status": [status], "expired": [False]})
+        self.wake(was, since)
+        yield Row(job=key[0], since=since, status=status, expired=False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         since, status = self.state.get()
         self.state.clear()
-        yield pd.DataFrame({"job": [key[0]], "since": [since], "status": [status], "expired": [True]})
+        yield Row(job=key[0], since=since, status=status, expired=True)
 
 
 class Queue(StatefulProcessor):
@@ -107,39 +111,37 @@ class Queue(StatefulProcessor):
         self.minutes, self.most = minutes, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.kept = handle.getMapState("requests", "request long", "status string, created timestamp, updated timestamp")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = {k[0]: v for k, v in self.kept.iterator()}
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples(index=False):
-            at = r.at.to_pydatetime()
-            for k in [k for k, v in kept.items() if millis(pd.Timestamp(v[2])) + self.minutes * 60_000 < millis(r.at)]:
-                out.append((k, *kept.pop(k), "expired"))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = {k[0]: tuple(v) for k, v in self.kept.iterator()}
+        before = dict(kept)
+        told = lambda r, v, why=None: Row(queue=key[0], request=r, status=v[0], created_at=v[1], updated_at=v[2], reason=why)
+        for r in in_order(rows):
+            for k in [k for k, v in kept.items() if millis(v[2]) + self.minutes * 60_000 < millis(r.at)]:
+                yield told(k, kept.pop(k), "expired")
             known = kept.get(r.request)
             if r.action == "create" and known is None:
                 if sum(v[0] == "pending" for v in kept.values()) >= self.most:
-                    out.append((r.request, "refused", at, at, f"{self.most} captures are already waiting"))
+                    yield told(r.request, ("refused", r.at, r.at), f"{self.most} captures are already waiting")
                 else:
-                    kept[r.request] = ("pending", at, at)
-                    out.append((r.request, *kept[r.request], None))
+                    kept[r.request] = ("pending", r.at, r.at)
+                    yield told(r.request, kept[r.request])
             elif r.action != "create" and known is not None and known[0] in ("pending", "claimed"):
-                kept[r.request] = (STATUS[r.action], known[1], at)
-                out.append((r.request, *kept[r.request], None))
-        for k in [k[0] for k, _ in self.kept.iterator() if k[0] not in kept]:
+                kept[r.request] = (STATUS[r.action], known[1], r.at)
+                yield told(r.request, kept[r.request])
+        for k in before.keys() - kept.keys():
             self.kept.removeKey((k,))
         for k, v in kept.items():
-            self.kept.updateValue((k,), v)
-        if out:
-            yield pd.DataFrame([(key[0], *o) for o in out], columns=["queue", "request", "status", "created_at", "updated_at", "reason"])
+            if before.get(k) != v:
+                self.kept.updateValue((k,), v)
 
     def close(self) -> None:
         pass
 
 
 def _stateful(events: DataFrame, key: str, processor: StatefulProcessor, out: str) -> DataFrame:
-    return events.groupBy(key).transformWithStateInPandas(processor, out, "Update", "eventTime")
+    return events.groupBy(key).transformWithState(processor, out, "Update", "eventTime")
 
 
 def requests(events: DataFrame, minutes: int = REQUEST_MINUTES) -> DataFrame:
