@@ -82,7 +82,8 @@ def members(words: DataFrame) -> DataFrame:
     each = each.withColumn("part", F.when(F.col("last"), F.substr("word", half - F.col("m"), F.col("m") - half)).otherwise(F.substr("word", F.lit(1), half)))
     fit = F.greatest(F.lit(1), F.least(F.lit(WORDS), F.floor(F.lit(CHARS) / F.col("m")))).cast("int")
     sizes = each.groupBy("m", "last", "part").agg(F.count("*").alias("in_part"))
-    buckets = sizes.groupBy("m").agg(F.ceil(F.sum("in_part") / 2 / F.first(fit)).cast("int").alias("buckets"))
+    # as many rows as there are lengths of words: a file that Spark sees is small, so that words are not dealt by length
+    buckets = cut(sizes.groupBy("m").agg(F.ceil(F.sum("in_part") / 2 / F.first(fit)).cast("int").alias("buckets")), "buckets")
     big = sizes.where(F.col("in_part") > fit).select("m", "last", "part", F.ceil(F.col("in_part") / fit).cast("int").alias("blocks"))
     each = each.join(big, ["m", "last", "part"], "left").join(buckets, "m")
     own = F.pmod(F.xxhash64("word", F.lit(1)), F.col("blocks")).cast("int")
