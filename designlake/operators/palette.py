@@ -102,7 +102,7 @@ def palette(seen: DataFrame, by: list[str]) -> DataFrame:
     part = lambda p: F.sum(F.when(F.col("property") == p, F.col("area")).otherwise(0.0))
     t = of.groupBy(*by, "born", F.col("leader").alias("hex"), *[F.col(f"{c}0").alias(c) for c in LCH]).agg(F.sum("area").alias("area"), F.sum("n").alias("n"), part("background-color").alias("background_area"), part("color").alias("text_area"), part("border-color").alias("border_area"), F.sum(F.when(F.col("on_interactive"), F.col("area")).otherwise(0.0)).alias("interactive_area"), F.array_join(F.sort_array(F.collect_set("property")), ",").alias("properties"))
     t = t.withColumn("name", css.colour_name(*[F.col(c) for c in LCH]))
-    return t.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("area"), "born"))).drop("born")
+    return t.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("area", 6)), "born"))).drop("born")
 
 
 def body_colours(df: DataFrame, by: list[str]) -> DataFrame:
@@ -168,7 +168,7 @@ def tokens(colours: DataFrame, given: DataFrame, by: list[str], most: int = MOST
     has = given.groupBy(*by, "hex").agg(F.collect_set("role").alias("has"))
     t = colours.where(F.col("rank") <= most).join(has, [*by, "hex"], "left")
     mine = F.filter(order, lambda r: F.array_contains("has", r))
-    return t.select(*by, "rank", F.coalesce(F.get(mine, F.lit(0)), "name").alias("name"), "hex", F.floor(F.col("area") + 0.5).alias("area"), "n", F.coalesce(F.nullif(F.array_join(mine, ","), F.lit("")), F.lit("neutral")).alias("roles"), "properties")
+    return t.select(*by, "rank", F.coalesce(F.get(mine, F.lit(0)), "name").alias("name"), "hex", F.floor(F.round("area", 6) + 0.5).alias("area"), "n", F.coalesce(F.nullif(F.array_join(mine, ","), F.lit("")), F.lit("neutral")).alias("roles"), "properties")
 
 
 def dark_roles(light: DataFrame, dark: DataFrame, by: list[str]) -> DataFrame:

@@ -118,9 +118,14 @@ def color_observations(spark, sf_dir):
     return seen.groupBy("page_id", "property", "hex", "on_interactive").agg(F.sum("n").alias("n"), F.round(F.sum("area"), 2).alias("area"))
 
 
+def _clusters(spark, sf_dir):
+    return palette.palette(written(palette.observations(elements(spark, sf_dir, *_OBSERVED), BY), "observations"), BY)
+
+
 def color_clusters(spark, sf_dir):
     """Every cluster of a page's colours."""
-    return palette.palette(written(palette.observations(elements(spark, sf_dir, *_OBSERVED), BY), "observations"), BY)
+    areas = ("area", "background_area", "text_area", "border_area", "interactive_area")
+    return _clusters(spark, sf_dir).withColumns({a: F.round(a, 2) for a in areas})
 
 
 def _roles(spark, sf_dir, clusters):
@@ -128,11 +133,11 @@ def _roles(spark, sf_dir, clusters):
 
 
 def palette_roles(spark, sf_dir):
-    return _roles(spark, sf_dir, color_clusters(spark, sf_dir))
+    return _roles(spark, sf_dir, written(_clusters(spark, sf_dir), "clusters"))
 
 
 def palette_tokens(spark, sf_dir):
-    clusters = written(color_clusters(spark, sf_dir), "clusters")
+    clusters = written(_clusters(spark, sf_dir), "clusters")
     return palette.tokens(clusters, _roles(spark, sf_dir, clusters), BY)
 
 
@@ -255,6 +260,60 @@ _ALPHA = lambda c: f"CASE WHEN {c} LIKE '#%' THEN 1.0 WHEN regexp_matches({c}, '
 _E = f"WITH e AS ({ELEMENTS_SQL})"
 #: Colours of the derived elements in notations beyond rgb() and hex digits; a test holds the parser against them.
 _KNOWN = {"hsl(0 0% 50% / 30%)": "#808080", "rebeccapurple": "#663399", "oklch(60% 0.15 50)": "#c46016", "#1d4ed880": "#1d4ed8", "hsl(240, 100%, 50%)": "#0000ff", "lab(50% 40 59.5)": "#bf5700", "color(display-p3 1 0.5 0)": "#ff7600"}
+_LOOK = {"hsl(0 0% 50% / 30%)": (0.5982, 0, 0), "rebeccapurple": (0.4403, 0.1603, 303.37), "oklch(60% 0.15 50)": (0.6, 0.15, 50), "#1d4ed880": (0.4882, 0.2172, 264.38), "hsl(240, 100%, 50%)": (0.452, 0.3132, 264.05), "lab(50% 40 59.5)": (0.5777, 0.1543, 49.29), "color(display-p3 1 0.5 0)": (0.7425, 0.2198, 51.16), "oklch(25% 0.02 260)": (0.25, 0.02, 260)}
+_LAB_OF = lambda x: f"{x}.c * cos(radians({x}.h))", lambda x: f"{x}.c * sin(radians({x}.h))"
+_FAR = lambda x, y: f"sqrt(pow({x}.l - {y}.l, 2) + pow({x}.a - {y}.a, 2) + pow({x}.b - {y}.b, 2))"
+
+
+def _seen(source: str) -> str:
+    """Each visible use of a colour with its hex, lightness, chroma and hue."""
+    known = ", ".join(f"('{n}', '{(_KNOWN | {'oklch(25% 0.02 260)': '#1c222b'})[n]}', {l}, {c}, {h})" for n, (l, c, h) in _LOOK.items())
+    return f"""WITH e AS ({source}), z AS (SELECT *, coalesce(nullif({_NUM("font_size")}, 0), 16) AS fs, coalesce({_NUM("border_width")}, 0) AS bw, coalesce({_NUM("border_bottom_width")}, 0) AS bb,
+  tag IN ('a', 'button') OR coalesce(role IN ('button', 'link'), FALSE) OR regexp_matches(cls, '(?i)\\b(btn|button|cta)\\b') AS act FROM e),
+o AS (SELECT page_id, ord, 0 AS i, 'color' AS property, color AS raw, least(text_len * fs * 0.5, CASE WHEN area > 0 THEN area ELSE text_len * fs * 0.5 END) AS area, act FROM z WHERE text_len > 0
+UNION ALL SELECT page_id, ord, 1, 'background-color', background, area, act FROM z UNION ALL SELECT page_id, ord, 2, 'border-color', border_color, (width + height) * 2.0 * bw, FALSE FROM z WHERE bw > 0
+UNION ALL SELECT page_id, ord, 3, 'border-color', border_bottom_color, width * 2.0 * bb, FALSE FROM z WHERE bb > 0 UNION ALL SELECT page_id, ord, 4 + unnest(range(len(regexp_extract_all(image, '{notations.ANY}')))), 'gradient-stop', unnest(regexp_extract_all(image, '{notations.ANY}')), area * 0.3, FALSE FROM z
+UNION ALL SELECT page_id, ord, 10, 'box-shadow', regexp_extract_all(shadow, '{notations.ANY}')[1], area * 0.05, FALSE FROM z UNION ALL SELECT page_id, ord, 11, 'fill', fill, area, act FROM z WHERE is_svg UNION ALL SELECT page_id, ord, 12, 'stroke', stroke, area, act FROM z WHERE is_svg),
+k AS (SELECT * FROM (VALUES {known}) t(raw, hex, l, c, h)),
+d AS (SELECT DISTINCT raw FROM o WHERE raw <> '' AND raw NOT IN (SELECT raw FROM k)), pa AS (SELECT raw, {_PART("raw", 1)} AS r, {_PART("raw", 2)} AS g, {_PART("raw", 3)} AS b, {_ALPHA("raw")} AS alpha FROM d),
+c AS (SELECT * FROM pa WHERE alpha >= {css.ALPHA}), {_LCH},
+look AS (SELECT raw, printf('#%02x%02x%02x', r, g, b) AS hex, lightness AS l, chroma AS c, hue AS h FROM lch UNION ALL SELECT * FROM k),
+seen AS MATERIALIZED (SELECT page_id, ord, i, property, o.raw, hex, CAST(l AS DOUBLE) AS l, CAST(c AS DOUBLE) AS c, CAST(h AS DOUBLE) AS h, CAST(area AS DOUBLE) AS area, act AS on_interactive FROM o JOIN look USING (raw) WHERE area > 0)"""
+
+
+def _clustered(source: str) -> str:
+    """seen, and pal: the clusters of each page around leaders, taken up one by one from the largest use on."""
+    return f"""{_seen(source)},
+bst AS (SELECT page_id, raw, any_value(hex) AS hex, any_value(l) AS l, any_value(c) AS c, any_value(h) AS h, max(row(area, -ord, -i)) AS top FROM seen GROUP BY page_id, raw),
+col AS (SELECT *, {_LAB_OF[0]("bst")} AS a, {_LAB_OF[1]("bst")} AS b FROM bst),
+xs AS (SELECT page_id, list([{{'hex': hex, 'l': l, 'c': c, 'h': h, 'a': a, 'b': b}}] ORDER BY top DESC) AS x FROM col GROUP BY page_id),
+lds AS (SELECT page_id, list_reduce(x, lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: {_FAR("z", "y[1]")} < {css.MERGE})) > 0 THEN acc ELSE list_concat(acc, y) END) AS leaders FROM xs),
+mem AS (SELECT col.page_id, raw, list_position(list_transform(leaders, lambda z: {_FAR("z", "col")} < {css.MERGE}), TRUE) AS born, leaders[list_position(list_transform(leaders, lambda z: {_FAR("z", "col")} < {css.MERGE}), TRUE)] AS led FROM col JOIN lds USING (page_id)),
+clu AS (SELECT s.page_id, born, any_value(led) AS led, sum(area) AS area, count(*) AS n, {", ".join(f"coalesce(sum(area) FILTER (property = '{p}'), 0) AS {x}_area" for p, x in (("background-color", "background"), ("color", "text"), ("border-color", "border")))},
+  coalesce(sum(area) FILTER (on_interactive), 0) AS interactive_area, string_agg(DISTINCT property, ',' ORDER BY property) AS properties FROM seen s JOIN mem USING (page_id, raw) GROUP BY s.page_id, born),
+cln AS (SELECT *, led.hex AS hex, led.l AS lightness, led.c AS chroma, led.h AS hue FROM clu),
+pal AS MATERIALIZED (SELECT page_id, hex, lightness AS l, chroma AS c, hue AS h, led.a AS a, led.b AS b, {_NAME} AS name, area, n, background_area, text_area, border_area, interactive_area, properties, CAST(row_number() OVER (PARTITION BY page_id ORDER BY round(area, 6) DESC, born) AS INTEGER) AS rank FROM cln)"""
+
+
+def _given(source: str) -> str:
+    """given: page_id, role, hex, is_dark, role by role."""
+    pick = lambda name, where, order, joins="": f"{name} AS (SELECT p.* FROM pal p {joins} WHERE {where} QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY {order}, p.rank) = 1)"
+    free = lambda *names: " AND ".join(f"NOT EXISTS (SELECT 1 FROM {n} q WHERE q.page_id = p.page_id AND q.rank = p.rank)" for n in names)
+    return f"""{_clustered(source)},
+bdy AS (SELECT page_id, l, {_LAB_OF[0]("k2")} AS a, {_LAB_OF[1]("k2")} AS b FROM (SELECT page_id, color AS raw FROM e WHERE tag = 'body' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ord, color) = 1) JOIN look k2 USING (raw)),
+{pick("g1", "background_area > 0", "background_area DESC")},
+{pick("g2", f"p.background_area > 0 AND p.rank <> g1.rank AND {_FAR('p', 'g1')} > {css.MERGE} * 1.5", f"p.c >= {css.GREY}, p.background_area DESC", "JOIN g1 USING (page_id)")},
+{pick("gb", f"{_FAR('p', 'bdy')} < {css.MERGE}", "1", "JOIN bdy USING (page_id)")}, {pick("gt", "text_area > 0", "text_area DESC")},
+g3 AS (SELECT * FROM gb UNION ALL SELECT * FROM gt WHERE page_id NOT IN (SELECT page_id FROM gb)),
+{pick("g4", "p.text_area > 0 AND p.rank <> g3.rank AND p.l > least(g1.l, g3.l) + 0.05 AND p.l < greatest(g1.l, g3.l) - 0.05", f"p.c >= {css.GREY}, p.text_area DESC", "JOIN g1 USING (page_id) JOIN g3 USING (page_id)")},
+{pick("g5", f"p.c >= {css.GREY}", "p.interactive_area DESC, CASE WHEN p.interactive_area > 0 THEN 0 ELSE -p.c * p.area END")},
+{pick("g6", f"p.c >= {css.GREY} AND {free('g1', 'g2', 'g3', 'g4', 'g5')} AND (g5.rank IS NULL OR {_FAR('p', 'g5')} > 0.12)", "1", "LEFT JOIN g5 USING (page_id)")},
+{pick("g7", "p.border_area > 0", f"NOT ({free('g1', 'g2', 'g3', 'g4', 'g5', 'g6')}), p.border_area DESC")},
+given AS ({" UNION ALL ".join(f"SELECT g{k + 1}.page_id, '{r}' AS role, g{k + 1}.hex, coalesce(g1.l < 0.5, FALSE) AS is_dark FROM g{k + 1}" + (" LEFT JOIN g1 USING (page_id)" if k else "") for k, r in enumerate(palette.ROLES))})"""
+
+
+_DARKENED = f"SELECT * REPLACE (CASE WHEN page_id % 3 = 0 THEN CASE WHEN text_len > 60 THEN '#0b0d12' ELSE 'oklch(25% 0.02 260)' END ELSE background END AS background) FROM ({ELEMENTS_SQL})"
+_SEEN, _CLUSTERS, _ROLES, _DARK = _seen(ELEMENTS_SQL), _clustered(ELEMENTS_SQL), _given(ELEMENTS_SQL), f"{_given(_DARKENED)} SELECT * FROM given"
 _WORDS = ", ".join(f"'{w}'" for w in text.WORDS)
 
 SQL = {
@@ -290,16 +349,14 @@ f AS (SELECT * EXCLUDE (name), coalesce(name, 'text-' || size || CASE WHEN row_n
 SELECT page_id, size, weight, name, n, body_size FROM f WHERE n > 1 OR size >= body_size""",
     "font_stacks": f"""{_E}, {_TEXTS}, s AS (SELECT page_id, family, CAST(sum(chars * size) AS BIGINT) AS area, array_to_string(list_transform(list_sort(list_distinct(list(weight))), lambda w: CAST(w AS VARCHAR)), ';') AS weights, min(ord) AS o FROM t GROUP BY page_id, family)
 SELECT page_id, family AS stack, {_FAMILY("family")} AS family, area, weights, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, o) AS rank FROM s QUALIFY rank <= 6""",
-    "color_observations": f"""{_E}, z AS (SELECT *, coalesce(nullif({_NUM("font_size")}, 0), 16) AS fs, coalesce({_NUM("border_width")}, 0) AS bw, coalesce({_NUM("border_bottom_width")}, 0) AS bb,
-  tag IN ('a', 'button') OR coalesce(role IN ('button', 'link'), FALSE) OR regexp_matches(cls, '(?i)\\b(btn|button|cta)\\b') AS act FROM e),
-o AS (SELECT page_id, 'color' AS property, color AS raw, least(text_len * fs * 0.5, CASE WHEN area > 0 THEN area ELSE text_len * fs * 0.5 END) AS area, act FROM z WHERE text_len > 0
-UNION ALL SELECT page_id, 'background-color', background, area, act FROM z UNION ALL SELECT page_id, 'border-color', border_color, (width + height) * 2.0 * bw, FALSE FROM z WHERE bw > 0
-UNION ALL SELECT page_id, 'border-color', border_bottom_color, width * 2.0 * bb, FALSE FROM z WHERE bb > 0 UNION ALL SELECT page_id, 'gradient-stop', unnest(regexp_extract_all(image, '{notations.ANY}')), area * 0.3, FALSE FROM z
-UNION ALL SELECT page_id, 'box-shadow', regexp_extract_all(shadow, '{notations.ANY}')[1], area * 0.05, FALSE FROM z UNION ALL SELECT page_id, 'fill', fill, area, act FROM z WHERE is_svg UNION ALL SELECT page_id, 'stroke', stroke, area, act FROM z WHERE is_svg),
-k AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{h}')" for n, h in _KNOWN.items())}) t(raw, known)),
-c AS (SELECT o.*, {_PART("raw", 1)} AS r, {_PART("raw", 2)} AS g, {_PART("raw", 3)} AS b, {_ALPHA("raw")} AS alpha FROM o WHERE raw NOT IN (SELECT raw FROM k)),
-u AS (SELECT page_id, property, printf('#%02x%02x%02x', r, g, b) AS hex, act, area FROM c WHERE alpha >= {css.ALPHA} UNION ALL SELECT page_id, property, known, act, area FROM o JOIN k USING (raw))
-SELECT page_id, property, hex, act AS on_interactive, count(*) AS n, round(sum(CAST(area AS DOUBLE)), 2) AS area FROM u WHERE area > 0 GROUP BY ALL""",
+    "color_observations": f"{_SEEN} SELECT page_id, property, hex, on_interactive, count(*) AS n, round(sum(area), 2) AS area FROM seen GROUP BY ALL",
+    "color_clusters": f"{_CLUSTERS} SELECT page_id, hex, l, c, h, name, rank, n, properties, {', '.join(f'round({x}, 2) AS {x}' for x in ('area', 'background_area', 'text_area', 'border_area', 'interactive_area'))} FROM pal",
+    "palette_roles": f"{_ROLES} SELECT page_id, role, hex, is_dark FROM given",
+    "palette_tokens": f"""{_ROLES}, rl AS (SELECT page_id, hex, list(role ORDER BY list_position([{", ".join(f"'{r}'" for r in palette.ROLES)}], role)) AS has FROM given GROUP BY page_id, hex)
+SELECT page_id, rank, coalesce(has[1], name) AS name, hex, CAST(floor(round(area, 6) + 0.5) AS BIGINT) AS area, n, coalesce(array_to_string(has, ','), 'neutral') AS roles, properties FROM pal LEFT JOIN rl USING (page_id, hex) WHERE rank <= {palette.MOST_TOKENS}""",
+    "dark_palette": f"""{_ROLES}, lt AS MATERIALIZED (SELECT page_id, role, hex AS light FROM given), dk AS MATERIALIZED (SELECT page_id, role, hex AS dark FROM ({_DARK})),
+ch AS (SELECT d.page_id FROM dk d LEFT JOIN lt l ON l.page_id = d.page_id AND l.role = 'background' WHERE d.role = 'background' AND d.dark IS DISTINCT FROM l.light)
+SELECT page_id, role, light, dark FROM dk FULL JOIN lt USING (page_id, role) WHERE page_id IN (SELECT page_id FROM ch)""",
     "color_parse": f"""{_E}, p AS (SELECT DISTINCT background FROM e), q AS (SELECT background, {_ALPHA("background")} AS a, {", ".join(f"{_PART('background', i + 1)} AS {x}0" for i, x in enumerate("rgb"))} FROM p),
 c AS (SELECT background, {", ".join(f"CASE WHEN a >= {css.ALPHA} THEN {x}0 END AS {x}" for x in "rgb")}, CASE WHEN a >= {css.ALPHA} THEN a END AS alpha FROM q), {_LCH}
 SELECT background, r, g, b, alpha, CASE WHEN r IS NOT NULL THEN lightness END AS lightness, CASE WHEN r IS NOT NULL THEN chroma END AS chroma, CASE WHEN r IS NOT NULL THEN hue END AS hue, CASE WHEN r IS NOT NULL THEN {_NAME} END AS name FROM lch""",

@@ -68,7 +68,7 @@ def job_expiry(spark, sf_dir):
 
 
 def color_map(spark, sf_dir):
-    tokens = written(design.color_clusters(spark, sf_dir), "palette")
+    tokens = written(design._clusters(spark, sf_dir), "palette")
     return emit.colour_names(tokens, design._roles(spark, sf_dir, tokens), ["page_id"])
 
 
@@ -128,6 +128,8 @@ SELECT page_id, reason, CASE WHEN reason IS NULL THEN j ->> '$.url' END AS url,
 SELECT queue, request, created_at, updated_at, CAST(row_number() OVER (PARTITION BY queue ORDER BY created_at DESC, request) AS INTEGER) AS place FROM qu WHERE status = 'pending' AND updated_at >= now - INTERVAL 24 HOUR""",
     "job_events_kept": f'WITH {_KEPT} SELECT * FROM k',
     "job_expiry": f"""WITH {_KEPT} SELECT job, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) AS since, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AS expired FROM k GROUP BY job""",
+    "color_map": f"""{design._ROLES}, al AS (SELECT page_id, role AS name, hex, 0 AS source, 0 AS ord FROM given UNION ALL SELECT page_id, name, hex, 1, rank FROM pal)
+SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY source, ord, hex) = 1""",
     "tokens_css": _FILE("css", "' || ':root {' || chr(10) || '", "' || chr(10) || '}", [(_SUB("type_scale"), _BYSIZE, "'  --font-size-' || name || ': ' || size || 'px;'"), (_SUB("spacing_steps"), "px", "'  --space-' || key || ': ' || px || 'px;'"), (_SUB("radius_tokens"), _BYTOKEN, "'  --radius-' || token || ': ' || radius || ';'"), (_SUB("shadow_tokens"), _BYTOKEN, "'  --shadow-' || token || ': ' || shadow || ';'")]),
     "tailwind_theme": _FILE("theme", "' || '@theme {' || chr(10) || '", "' || chr(10) || '}", [(_SUB("type_scale"), _BYSIZE, "'  --text-' || regexp_replace(name, '^text-', '') || ': ' || size || 'px;'"), (_SUB("radius_tokens"), _BYTOKEN, "'  --radius-' || token || ': ' || radius || ';'")]),
     "design_tokens_json": f"""WITH r AS (SELECT page_id, string_agg('{{"name":"' || token || '","value":"' || radius || '"}}', ',' ORDER BY token, radius) AS x FROM {_SUB("radius_tokens")} GROUP BY page_id),
