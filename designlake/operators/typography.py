@@ -10,6 +10,9 @@ from ..functions import css
 # Characters that make prose, names below body size, and the characters kept of a sample.
 PROSE, BELOW, SAMPLE = 60, ("small", "caption", "micro"), 90
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# Faces that systems bring along, addresses of font files and of a font service, and the files kept.
+SYSTEM = ("-apple-system", "blinkmacsystemfont", "segoe ui", "roboto", "helvetica neue", "helvetica", "arial", "system-ui", "ui-sans-serif", "sans-serif", "noto sans")
+FONT_FILE, TYPEKIT, MOST_FILES = r"(?i)\.(woff2?|ttf|otf|eot)(\?|$)", "use.typekit.net", 6
 
 
 def text_styles(df: DataFrame, by: list[str]) -> DataFrame:
@@ -84,3 +87,26 @@ def stacks(styles: DataFrame, by: list[str], most: int = 6) -> DataFrame:
     t = styles.groupBy(*by, "family").agg(F.sum(F.col("chars") * F.col("size")).alias("area"), F.array_sort(F.collect_set("weight")).alias("weights"), F.min("ord").alias("o"))
     t = t.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("area"), "o"))).where(F.col("rank") <= most)
     return t.select(*by, F.col("family").alias("stack"), css.primary_family(F.col("family")).alias("family"), "area", F.array_join(F.transform("weights", lambda w: w.cast("string")), ";").alias("weights"), "rank")
+
+
+def families(styles: DataFrame, sizes: DataFrame, network: DataFrame, asked: DataFrame, by: list[str], most: int = 6) -> DataFrame:
+    """by, rank, stack, family, usage, source, weights, urls, area of the stacks that cover most.
+
+    sizes has by and size of headings; network by, ord, url; asked by, family of web fonts. A stack is used for mono by its
+    name, for display where headings cover over half of it, else for body. It comes from the first that fits: a web font of
+    that name, files with its name, the system, the font service, any files."""
+    t = styles.join(sizes.select(*by, "size", F.lit(1).alias("heads")).distinct(), [*by, "size"], "left")
+    size = F.col("chars") * F.col("size")
+    t = t.groupBy(*by, F.col("family").alias("stack")).agg(F.sum(size).alias("area"), F.sum(F.when(F.col("heads") == 1, size).otherwise(0)).alias("head_area"), F.array_sort(F.collect_set("weight")).alias("weights"), F.min("ord").alias("o"))
+    t = t.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("area"), "o"))).where(F.col("rank") <= most)
+    t = t.withColumn("family", css.primary_family(F.col("stack"))).withColumn("lower", F.lower("family"))
+    n = network.groupBy(*by).agg(F.array_sort(F.collect_set(F.when(F.col("url").rlike(FONT_FILE), F.struct("ord", "url")))).alias("files"), F.coalesce(F.bool_or(F.col("url").contains(TYPEKIT)), F.lit(False)).alias("service"))
+    w = asked.groupBy(*by).agg(F.collect_set(F.lower("family")).alias("asked"))
+    t = t.join(n, by, "left").join(w, by, "left")
+    files = F.coalesce(F.transform("files", lambda f: f["url"]), F.array().cast("array<string>"))
+    key = F.substring(F.regexp_replace("lower", r"\s+", ""), 1, 8)
+    t = t.withColumn("all_files", files).withColumn("key", key).withColumn("own_files", F.filter("all_files", lambda u: F.contains(F.lower(u), F.col("key"))))
+    source = F.when(F.coalesce(F.array_contains("asked", F.col("lower")), F.lit(False)), "google").when(F.size("own_files") > 0, "self-hosted").when(F.col("lower").isin(*SYSTEM), "system").when(F.coalesce("service", F.lit(False)), "adobe").when(F.size("all_files") > 0, "self-hosted").otherwise("unknown")
+    usage = F.when(F.col("stack").rlike("(?i)mono|code|courier"), "mono").when(F.col("head_area") > F.col("area") * 0.5, "display").otherwise("body")
+    urls = F.when(F.size("own_files") > 0, F.col("own_files")).when(source == "self-hosted", F.slice("all_files", 1, MOST_FILES)).otherwise(F.array().cast("array<string>"))
+    return t.select(*by, "rank", "stack", "family", usage.alias("usage"), source.alias("source"), F.array_join(F.transform("weights", lambda x: x.cast("string")), ";").alias("weights"), F.array_join(urls, "\n").alias("urls"), "area")

@@ -141,12 +141,12 @@ def palette_tokens(spark, sf_dir):
     return palette.tokens(clusters, _roles(spark, sf_dir, clusters), BY)
 
 
-def dark_palette(spark, sf_dir):
+def dark_palette(spark, sf_dir, light=None):
     """Roles of the second capture of pages whose background changes; on every third page elements turn dark."""
-    e = elements(spark, sf_dir, *_OBSERVED)
-    dark = e.withColumn("background", F.when(F.col("page_id") % 3 == 0, F.when(F.col("text_len") > 60, "#0b0d12").otherwise("oklch(25% 0.02 260)")).otherwise(F.col("background")))
-    of = lambda d: palette.roles(palette.palette(written(palette.observations(d, BY), "observations"), BY), BY, palette.body_colours(d, BY))
-    return palette.dark_roles(written(of(e), "light"), written(of(dark), "dark"), BY)
+    dark = elements(spark, sf_dir, *_OBSERVED).withColumn("background", F.when(F.col("page_id") % 3 == 0, F.when(F.col("text_len") > 60, "#0b0d12").otherwise("oklch(25% 0.02 260)")).otherwise(F.col("background")))
+    found = palette.palette(written(palette.observations(dark, BY), "observations"), BY)
+    light = written(palette_roles(spark, sf_dir), "light") if light is None else light
+    return palette.dark_roles(light, written(_roles(spark, sf_dir, found), "dark"), BY)
 
 
 def color_parse(spark, sf_dir):

@@ -10,10 +10,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import robots
-from ..operators import effects, emit, jobs
+from ..operators import assets, effects, emit, jobs, palette, typography
 from ..sources import imports
 from ..sources.scratch import written
-from . import design
+from . import design, sheets
 
 _PATH = "coalesce(nullif(regexp_extract(url, '^[^/?#]*//[^/?#]*(/[^?#]*)', 1), ''), '/')"
 _RULES = f"""concat('# rules', chr(10), 'User-agent: other', chr(10), 'Disallow: /', chr(10), CASE WHEN page_id % 3 = 0 THEN concat('User-agent: {robots.AGENT}bot', chr(10), 'user-agent : x', chr(10)) ELSE concat('User-Agent: *', chr(10)) END,
@@ -22,6 +22,11 @@ _RAW = """CASE WHEN page_id % 7 = 6 THEN NULL ELSE concat('{"url":"', CASE WHEN
 _ACTION = "CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'claim' WHEN 2 THEN 'create' WHEN 3 THEN 'complete' ELSE 'decline' END"
 
 
+FONT_ORD = "l_orderkey * 10 + l_linenumber"
+#: Requests for fonts: by a service that is asked by name, for files, and by another service.
+FONT_URL = "CASE l_partkey % 5 WHEN 0 THEN concat('https://fonts.googleapis.com/css2?family=', CASE WHEN l_suppkey % 3 = 0 THEN 'Inter:wght@400' ELSE 'Lora' END) WHEN 1 THEN CASE WHEN l_suppkey % 4 = 0 THEN concat('/f/SegoeUI-', CAST(l_partkey % 9 AS STRING), '.woff2?v') ELSE '/app.js' END WHEN 2 THEN CASE WHEN l_suppkey % 7 = 0 THEN 'https://use.typekit.net/a.css' ELSE '/x.css' END WHEN 3 THEN CASE WHEN l_suppkey % 5 = 0 THEN concat('/f/', CAST(l_partkey % 9 AS STRING), '.ttf') ELSE '/y.png' END ELSE '/z' END"
+
+
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,23 +77,47 @@ def color_map(spark, sf_dir):
     return emit.colour_names(tokens, design._roles(spark, sf_dir, tokens), ["page_id"])
 
 
+def font_families(spark, sf_dir):
+    """Stacks of each page with what they are used for and where they come from."""
+    texts = design._texts(spark, sf_dir)
+    heads = design.type_scale(spark, sf_dir).where(F.col("name").rlike("^(display|h[1-6])$")).select("page_id", "size")
+    lines = _t(spark, sf_dir, "lineitem")
+    network = lines.select(F.col("l_suppkey").alias("page_id"), F.expr(FONT_ORD).alias("ord"), F.expr(FONT_URL).alias("url"))
+    asked = assets.google_families(network, ["page_id"])
+    return typography.families(texts, heads, network, asked, ["page_id"])
+
+
+def _design(spark, sf_dir):
+    """The tables of each page's design that emitters write."""
+    of = lambda q, *a: written(q(spark, sf_dir), "design")
+    clusters = written(design._clusters(spark, sf_dir), "clusters")
+    roles = written(design._roles(spark, sf_dir, clusters), "roles")
+    colours = written(emit.colour_names(clusters, roles, ["page_id"]), "colours")
+    dark = written(design.dark_palette(spark, sf_dir, roles), "dark").where("dark is not null").select("page_id", F.col("role").alias("name"), F.col("dark").alias("hex"), F.lit(0).alias("source"), F.array_position(F.array(*[F.lit(r) for r in palette.ROLES]), F.col("role")).cast("int").alias("ord"))
+    scale = written(typography.scale(design._texts(spark, sf_dir), ["page_id"]), "scale")
+    return {
+        "colours": colours, "dark": dark, "families": of(font_families), "scale": scale, "spacing": of(design.spacing_steps), "grid": design.spacing_grid(spark, sf_dir), "radii": of(design.radius_tokens), "shadows": of(design.shadow_tokens), "borders": design.border_widths(spark, sf_dir),
+        "motion": of(design.motion_tokens), "keyframes": sheets.css_conditions(spark, sf_dir).where("kind = 'keyframes'"), "breakpoints": of(design.media_breakpoints), "container": of(design.container_width), "variables": sheets.root_variables(spark, sf_dir),
+    }
+
+
 def tokens_css(spark, sf_dir):
-    return emit.css_variables(design.type_scale(spark, sf_dir), design.spacing_steps(spark, sf_dir), design.radius_tokens(spark, sf_dir), design.shadow_tokens(spark, sf_dir), ["page_id"])
+    return emit.css_variables(_design(spark, sf_dir), ["page_id"])
 
 
 def tailwind_theme(spark, sf_dir):
-    return emit.tailwind_theme(design.type_scale(spark, sf_dir), design.radius_tokens(spark, sf_dir), ["page_id"])
+    return emit.tailwind_theme(_design(spark, sf_dir), ["page_id"])
 
 
 def design_tokens_json(spark, sf_dir):
-    return emit.tokens_json(design.radius_tokens(spark, sf_dir), design.shadow_tokens(spark, sf_dir), ["page_id"])
+    return emit.tokens_json(_design(spark, sf_dir), ["page_id"])
 
 
 def compact_brief(spark, sf_dir):
     return emit.brief(design.type_scale(spark, sf_dir), design.spacing_grid(spark, sf_dir), design.container_width(spark, sf_dir), ["page_id"])
 
 
-QUERIES = [robots_verdict, harvest_import, request_states, pending_requests, job_events_kept, job_expiry, color_map, tokens_css, tailwind_theme, design_tokens_json, compact_brief]
+QUERIES = [robots_verdict, harvest_import, request_states, pending_requests, job_events_kept, job_expiry, color_map, font_families, tokens_css, tailwind_theme, design_tokens_json, compact_brief]
 
 
 def queries() -> dict:
@@ -104,11 +133,29 @@ rq AS (SELECT request, CASE arg_max(action, row("at", event_id)) FILTER (counts)
 _KEPT = """s AS (SELECT user_id AS job, ts AS "at", event_id AS seq, CASE WHEN event_id % 9 = 0 THEN 'done' WHEN event_id % 31 = 0 THEN 'error' ELSE event_type END AS state FROM events),
 k AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.job = s.job AND o.state IN ('done', 'error') AND row(o."at", o.seq) < row(s."at", s.seq)))"""
 _SUB = lambda name: f"({design.SQL[name]})"
-_LINES = lambda parts: " UNION ALL ".join(f"SELECT page_id, {i} AS section, CAST({o} AS BIGINT) AS ord, {line} AS line FROM ({src})" for i, (src, o, line) in enumerate(parts))
+_LINES = lambda parts: " UNION ALL ".join(f"SELECT page_id, {i} AS section, CAST({o} AS BIGINT) AS ord, {line} AS line FROM {src if src.isidentifier() else f'({src})'}" for i, (src, o, line) in enumerate(parts))
 _BYSIZE = "row_number() OVER (PARTITION BY page_id ORDER BY size DESC, weight DESC)"
 _BYTOKEN = "row_number() OVER (PARTITION BY page_id ORDER BY token)"
 _FILE = lambda name, head, tail, parts: f"SELECT page_id, '{head}' || string_agg(line, chr(10) ORDER BY section, ord) || '{tail}' AS {name} FROM ({_LINES(parts)}) GROUP BY page_id"
 
+_BYCOLOUR = "row_number() OVER (PARTITION BY page_id ORDER BY source, ord, name)"
+_J = lambda c: f"CAST(to_json({c}) AS VARCHAR)"
+_OBJECT = lambda k, src, name, value, order: f"SELECT page_id, '{k}' AS k, '{{' || string_agg({_J(name)} || ':' || {_J(value)}, ',' ORDER BY {'source, ord, name' if order == _BYCOLOUR else order}) || '}}' AS json FROM {src} GROUP BY page_id"
+_ARRAY = lambda k, src, value, order: f"SELECT page_id, '{k}' AS k, '[' || string_agg({value}, ',' ORDER BY {order}) || ']' AS json FROM {src} GROUP BY page_id"
+_COLOURS = f"""{design._ROLES}, al AS (SELECT page_id, role AS name, hex, 0 AS source, CAST(list_position([{', '.join(repr(r) for r in palette.ROLES)}], role) - 1 AS INTEGER) AS ord FROM given UNION ALL SELECT page_id, name, hex, 1, rank FROM pal WHERE rank <= {palette.MOST_TOKENS})
+SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY source, ord, hex) = 1"""
+_FAMILIES = rf"""{design._E}, {design._TEXTS}, hd AS (SELECT DISTINCT page_id, size FROM {_SUB("type_scale")} WHERE regexp_matches(name, '^(display|h[1-6])$')),
+fn AS (SELECT DISTINCT l_suppkey AS page_id, {FONT_ORD} AS ord, {FONT_URL} AS url FROM lineitem),
+ff AS (SELECT page_id, coalesce(list(url ORDER BY ord, url) FILTER (regexp_matches(url, '{typography.FONT_FILE}')), []) AS files, bool_or(contains(url, '{typography.TYPEKIT}')) AS service FROM fn GROUP BY page_id),
+gq AS (SELECT page_id, list(DISTINCT lower(trim(replace(split_part(url_decode(replace(v, '+', ' ')), ':', 1), '+', ' ')))) AS asked FROM (SELECT page_id, unnest(regexp_extract_all(url, '[?&]family=([^&#]*)', 1)) AS v FROM fn WHERE contains(url, 'fonts.googleapis.com')) GROUP BY page_id),
+fs AS (SELECT t.page_id, t.family AS stack, CAST(sum(chars * t.size) AS BIGINT) AS area, coalesce(sum(chars * t.size) FILTER (hd.size IS NOT NULL), 0) AS heads, array_to_string(list_transform(list_sort(list_distinct(list(weight))), lambda w: CAST(w AS VARCHAR)), ';') AS weights, min(ord) AS o FROM t LEFT JOIN hd ON hd.page_id = t.page_id AND hd.size = t.size GROUP BY t.page_id, t.family),
+fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY area DESC, o) AS INTEGER) AS rank, {design._FAMILY("stack")} AS family FROM fs QUALIFY rank <= 6),
+fo AS (SELECT fr.*, files, coalesce(service, FALSE) AS service, coalesce(asked, []) AS asked, list_filter(files, lambda u: contains(lower(u), left(regexp_replace(lower(family), '\s+', '', 'g'), 8))) AS own FROM fr LEFT JOIN ff USING (page_id) LEFT JOIN gq USING (page_id)),
+fq AS (SELECT *, CASE WHEN list_contains(asked, lower(family)) THEN 'google' WHEN len(own) > 0 THEN 'self-hosted' WHEN lower(family) IN ({", ".join(f"'{x}'" for x in typography.SYSTEM)}) THEN 'system' WHEN service THEN 'adobe' WHEN len(files) > 0 THEN 'self-hosted' ELSE 'unknown' END AS source FROM fo),
+fam AS MATERIALIZED (SELECT page_id, rank, stack, family, CASE WHEN regexp_matches(stack, '(?i)mono|code|courier') THEN 'mono' WHEN heads > area * 0.5 THEN 'display' ELSE 'body' END AS usage, source, weights, array_to_string(CASE WHEN len(own) > 0 THEN own WHEN source = 'self-hosted' THEN files[:{typography.MOST_FILES}] ELSE [] END, chr(10)) AS urls, area FROM fq)"""
+_DESIGN = f"""{_FAMILIES}, cm AS MATERIALIZED ({_COLOURS}), dk AS MATERIALIZED (SELECT page_id, role AS name, dark AS hex, list_position([{', '.join(repr(r) for r in palette.ROLES)}], role) AS ord FROM {_SUB("dark_palette")} WHERE dark IS NOT NULL),
+sc AS MATERIALIZED (SELECT ts.*, tg.line_height, tg.family FROM {_SUB("type_scale")} ts JOIN {_SUB("type_groups")} tg USING (page_id, size, weight)), sp AS MATERIALIZED {_SUB("spacing_steps")}, rd AS MATERIALIZED {_SUB("radius_tokens")}, sw AS MATERIALIZED {_SUB("shadow_tokens")}, mo AS MATERIALIZED {_SUB("motion_tokens")}, bk AS MATERIALIZED {_SUB("media_breakpoints")}, ct AS MATERIALIZED {_SUB("container_width")}"""
+
 SQL = {
     "robots_verdict": rf"""WITH p AS (SELECT page_id, {_PATH} AS path, {_RULES} AS txt FROM pages),
 l0 AS (SELECT page_id, unnest(string_split_regex(txt, '\r?\n')) AS raw, unnest(range(len(string_split_regex(txt, '\r?\n')))) AS ln FROM p),
@@ -128,12 +175,29 @@ SELECT page_id, reason, CASE WHEN reason IS NULL THEN j ->> '$.url' END AS url,
 SELECT queue, request, created_at, updated_at, CAST(row_number() OVER (PARTITION BY queue ORDER BY created_at DESC, request) AS INTEGER) AS place FROM qu WHERE status = 'pending' AND updated_at >= now - INTERVAL 24 HOUR""",
     "job_events_kept": f'WITH {_KEPT} SELECT * FROM k',
     "job_expiry": f"""WITH {_KEPT} SELECT job, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) AS since, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AS expired FROM k GROUP BY job""",
-    "color_map": f"""{design._ROLES}, al AS (SELECT page_id, role AS name, hex, 0 AS source, 0 AS ord FROM given UNION ALL SELECT page_id, name, hex, 1, rank FROM pal)
-SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY source, ord, hex) = 1""",
-    "tokens_css": _FILE("css", "' || ':root {' || chr(10) || '", "' || chr(10) || '}", [(_SUB("type_scale"), _BYSIZE, "'  --font-size-' || name || ': ' || size || 'px;'"), (_SUB("spacing_steps"), "px", "'  --space-' || key || ': ' || px || 'px;'"), (_SUB("radius_tokens"), _BYTOKEN, "'  --radius-' || token || ': ' || radius || ';'"), (_SUB("shadow_tokens"), _BYTOKEN, "'  --shadow-' || token || ': ' || shadow || ';'")]),
-    "tailwind_theme": _FILE("theme", "' || '@theme {' || chr(10) || '", "' || chr(10) || '}", [(_SUB("type_scale"), _BYSIZE, "'  --text-' || regexp_replace(name, '^text-', '') || ': ' || size || 'px;'"), (_SUB("radius_tokens"), _BYTOKEN, "'  --radius-' || token || ': ' || radius || ';'")]),
-    "design_tokens_json": f"""WITH r AS (SELECT page_id, string_agg('{{"name":"' || token || '","value":"' || radius || '"}}', ',' ORDER BY token, radius) AS x FROM {_SUB("radius_tokens")} GROUP BY page_id),
-s AS (SELECT page_id, string_agg('{{"name":"' || token || '","value":"' || shadow || '"}}', ',' ORDER BY token, shadow) AS y FROM {_SUB("shadow_tokens")} GROUP BY page_id)
-SELECT page_id, '{{' || concat_ws(',', '"radius":[' || x || ']', '"shadow":[' || y || ']') || '}}' AS json FROM r FULL JOIN s USING (page_id)""",
+    "color_map": _COLOURS,
+    "font_families": f"{_FAMILIES} SELECT page_id, rank, stack, family, usage, source, weights, urls, area FROM fam",
+    "tokens_css": f"""{_DESIGN}, cl AS ({_LINES([
+        ("SELECT DISTINCT page_id FROM cm", "0", "'  /* Color */'"), ("cm", _BYCOLOUR, "'  --color-' || name || ': ' || hex || ';'"), ("SELECT DISTINCT page_id FROM fam", "0", "chr(10) || '  /* Typography */'"), ("fam", "rank", "'  --font-' || usage || ': ' || stack || ';'"),
+        ("sc", _BYSIZE, "'  --text-' || name || ': ' || size || 'px;' || chr(10) || '  --leading-' || name || ': ' || line_height || ';'"), ("SELECT DISTINCT page_id FROM sp", "0", "chr(10) || '  /* Spacing */'"), ("sp", "px", "'  --space-' || px || ': ' || px || 'px;'"),
+        ("SELECT DISTINCT page_id FROM rd", "0", "chr(10) || '  /* Radius */'"), ("rd", _BYTOKEN, "'  --radius-' || token || ': ' || radius || ';'"), ("SELECT DISTINCT page_id FROM sw", "0", "chr(10) || '  /* Elevation */'"), ("sw", _BYTOKEN, "'  --shadow-' || token || ': ' || shadow || ';'"),
+        ("SELECT * FROM ct WHERE max_width IS NOT NULL", "0", "chr(10) || '  /* Layout */' || chr(10) || '  --container-max: ' || max_width || 'px;'"), ("SELECT DISTINCT page_id FROM mo WHERE rank = 1", "0", "chr(10) || '  /* Motion */'"),
+        ("SELECT * FROM mo WHERE rank = 1 AND kind = 'duration'", "0", "'  --duration: ' || value || ';'"), ("SELECT * FROM mo WHERE rank = 1 AND kind = 'easing'", "0", "'  --easing: ' || value || ';'")])}),
+dl AS (SELECT page_id, string_agg('    --color-' || name || ': ' || hex || ';', chr(10) ORDER BY ord) AS x FROM dk GROUP BY page_id)
+SELECT page_id, ':root {{' || chr(10) || string_agg(line, chr(10) ORDER BY section, ord) || chr(10) || '}}' || chr(10) || coalesce(chr(10) || '@media (prefers-color-scheme: dark) {{' || chr(10) || '  :root {{' || chr(10) || any_value(x) || chr(10) || '  }}' || chr(10) || '}}' || chr(10), '') AS css FROM cl LEFT JOIN dl USING (page_id) GROUP BY page_id""",
+    "tailwind_theme": f"""{_DESIGN}, tl AS ({_LINES([
+        ("cm", _BYCOLOUR, "'  --color-' || name || ': ' || hex || ';'"), ("fam", "rank", "'  --font-' || usage || ': ' || stack || ';'"), ("sc", _BYSIZE, "'  --text-' || name || ': ' || size || 'px;' || chr(10) || '  --text-' || name || '--line-height: ' || line_height || ';' || chr(10) || '  --text-' || name || '--font-weight: ' || weight || ';'"),
+        ("sp", "px", "'  --spacing-' || px || ': ' || px || 'px;'"), ("rd", _BYTOKEN, "'  --radius-' || token || ': ' || radius || ';'"), ("sw", _BYTOKEN, "'  --shadow-' || token || ': ' || shadow || ';'"), ("bk", "width", "'  --breakpoint-bp' || width || ': ' || width || 'px;'")])})
+SELECT page_id, '@import "tailwindcss";' || chr(10) || chr(10) || '@theme {{' || chr(10) || string_agg(line, chr(10) ORDER BY section, ord) || chr(10) || '}}' || chr(10) AS theme FROM tl GROUP BY page_id""",
+    "design_tokens_json": f"""{_DESIGN}, gd AS MATERIALIZED {_SUB("spacing_grid")}, bw AS MATERIALIZED {_SUB("border_widths")}, kf AS MATERIALIZED (SELECT * FROM ({sheets.SQL["css_conditions"]}) WHERE kind = 'keyframes'), vr AS MATERIALIZED ({sheets.SQL["root_variables"]}),
+pt AS ({_OBJECT("colors", "cm", "name", "hex", _BYCOLOUR)} UNION ALL {_OBJECT("colorRoles", "(SELECT * FROM cm WHERE source = 0)", "name", "hex", "ord")} UNION ALL {_OBJECT("darkColors", "dk", "name", "hex", "ord")} UNION ALL {_OBJECT("radii", "rd", "token", "radius", "token")} UNION ALL {_OBJECT("shadows", "sw", "token", "shadow", "token")} UNION ALL {_OBJECT("sourceVariables", "vr", "name", "value", "name")}
+  UNION ALL {_ARRAY("families", "fam", f"'{{' || concat_ws(',', '\"name\":' || {_J('family')}, '\"stack\":' || {_J('stack')}, '\"usage\":' || {_J('usage')}, '\"source\":' || {_J('source')}, '\"weights\":[' || replace(weights, ';', ',') || ']') || '}}'", "rank")}
+  UNION ALL {_ARRAY("scale", "sc", f"'{{' || concat_ws(',', '\"name\":' || {_J('name')}, '\"fontSize\":\"' || size || 'px\"', '\"lineHeight\":' || line_height, '\"fontWeight\":' || weight, '\"family\":' || {_J('family')}) || '}}'", "size DESC, weight DESC")}
+  UNION ALL {_ARRAY("steps", "sp", "'\"' || px || 'px\"'", "px")} UNION ALL {_ARRAY("borderWidths", "bw", _J('border_width'), "n DESC, border_width")} UNION ALL {_ARRAY("durations", "(SELECT * FROM mo WHERE kind = 'duration')", _J('value'), "rank")} UNION ALL {_ARRAY("easings", "(SELECT * FROM mo WHERE kind = 'easing')", _J('value'), "rank")}
+  UNION ALL {_ARRAY("keyframes", "kf", _J('value'), "rank")} UNION ALL {_ARRAY("breakpoints", "bk", "'\"' || width || 'px\"'", "width")} UNION ALL SELECT page_id, 'grid', '\"baseUnit\":\"' || base || 'px\",\"confidence\":' || confidence FROM gd
+  UNION ALL SELECT page_id, 'container', '{{\"maxWidth\":' || coalesce('\"' || max_width || 'px\"', 'null') || ',\"paddingX\":' || coalesce(padding_x, 0) || '}}' FROM ct),
+pg AS (SELECT page_id, map_from_entries(list(row(k, json))) AS m FROM pt GROUP BY page_id)
+SELECT page_id, '{{' || concat_ws(',', '"colors":' || coalesce(m['colors'], '{{}}'), '"colorRoles":' || coalesce(m['colorRoles'], '{{}}'), '"darkColors":' || m['darkColors'], '"typography":{{"families":' || coalesce(m['families'], '[]') || ',"scale":' || coalesce(m['scale'], '[]') || '}}', '"spacing":{{' || m['grid'] || ',"values":' || coalesce(m['steps'], '[]') || '}}', '"radii":' || coalesce(m['radii'], '{{}}'), '"shadows":' || coalesce(m['shadows'], '{{}}'), '"borderWidths":' || coalesce(m['borderWidths'], '[]'),
+  '"motion":{{"durations":' || coalesce(m['durations'], '[]') || ',"easings":' || coalesce(m['easings'], '[]') || ',"keyframes":' || coalesce(m['keyframes'], '[]') || '}}', '"breakpoints":' || coalesce(m['breakpoints'], '[]'), '"container":' || coalesce(m['container'], '{{"maxWidth":null,"paddingX":0}}'), '"sourceVariables":' || coalesce(m['sourceVariables'], '{{}}')) || '}}' AS json FROM pg""",
     "compact_brief": _FILE("brief", "' || '# Type' || chr(10) || '", "", [(f"SELECT * FROM {_SUB('type_scale')} QUALIFY {_BYSIZE} <= 8", _BYSIZE, "'- ' || name || ': ' || size || 'px/' || weight"), (_SUB("spacing_grid"), "0", "'Grid: ' || base || 'px'"), (_SUB("container_width"), "0", "'Container: ' || coalesce(CAST(max_width AS VARCHAR), '—') || 'px'")]),
 }
