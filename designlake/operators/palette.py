@@ -29,35 +29,40 @@ def uses(df: DataFrame, by: list[str]) -> DataFrame:
     """
     number = lambda c: F.coalesce(css.number(F.col(c)), F.lit(0.0))
     size = F.coalesce(F.nullif(number("font_size"), F.lit(0.0)), F.lit(16.0))
-    glyphs = F.col("text_len") * size * 0.5
-    area, top, bottom = F.col("area").cast("double"), number("border_width"), number("border_bottom_width")
-    one = lambda p, raw, size_, on: F.array(F.struct(F.lit(p).alias("property"), raw.alias("raw"), size_.alias("area"), F.lit(on).alias("on")))
     found = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(notations.ANY), 0)
-    stops = F.transform(found("image"), lambda x: F.struct(F.lit("gradient-stop").alias("property"), x.alias("raw"), (area * 0.3).alias("area"), F.lit(False).alias("on")))
-    drawn = lambda c: F.when(F.col("is_svg"), F.col(c))
-    seen = F.concat(
-        one("color", F.when(F.col("text_len") > 0, F.col("color")), F.least(glyphs, F.when(area > 0, area).otherwise(glyphs)), True),
-        one("background-color", F.col("background"), area, True),
-        one("border-color", F.when(top > 0, F.col("border_color")), (F.col("width") + F.col("height")) * 2.0 * top, False),
-        one("border-color", F.when(bottom > 0, F.col("border_bottom_color")), F.col("width") * 2.0 * bottom, False),
-        stops,
-        one("box-shadow", F.get(found("shadow"), F.lit(0)), area * 0.05, False),
+    # what is read from strings stands in columns before it is used more than once
+    read = F.struct(size.alias("size"), number("border_width").alias("top"), number("border_bottom_width").alias("bottom"), found("image").alias("stops"), F.slice(found("shadow"), 1, 1).alias("shade"), interactive(F.col("tag"), F.col("role"), F.col("cls")).alias("on"))
+    rest = ["text_len", "width", "height", "color", "background", "border_color", "border_bottom_color", "is_svg", "fill", "stroke"]
+    d = df.select(*by, "ord", F.col("area").cast("double").alias("area"), *rest, F.explode(F.array(read)).alias("x")).select("*", "x.*").drop("x")
+    area, glyphs = F.col("area"), F.col("text_len") * F.col("size") * 0.5
+    one = lambda p, raws, size_, on: F.struct(F.lit(p).alias("property"), raws.alias("raws"), size_.cast("double").alias("area"), F.lit(on).alias("on"))
+    drawn = lambda c: F.array(F.when(F.col("is_svg"), F.col(c)))
+    seen = [
+        one("color", F.array(F.when(F.col("text_len") > 0, F.col("color"))), F.least(glyphs, F.when(area > 0, area).otherwise(glyphs)), True),
+        one("background-color", F.array("background"), area, True),
+        one("border-color", F.array(F.when(F.col("top") > 0, F.col("border_color"))), (F.col("width") + F.col("height")) * 2.0 * F.col("top"), False),
+        one("border-color", F.array(F.when(F.col("bottom") > 0, F.col("border_bottom_color"))), F.col("width") * 2.0 * F.col("bottom"), False),
+        one("gradient-stop", F.col("stops"), area * 0.3, False),
+        one("box-shadow", F.col("shade"), area * 0.05, False),
         one("fill", drawn("fill"), area, True),
         one("stroke", drawn("stroke"), area, True),
-    )
-    each = df.select(*by, "ord", interactive(F.col("tag"), F.col("role"), F.col("cls")).alias("on"), F.posexplode(seen).alias("i", "x"))
-    return each.where("x.raw <> '' and x.area > 0").select(*by, F.struct("ord", "i").alias("ord"), "x.property", "x.raw", "x.area", (F.col("on") & F.col("x.on")).alias("on_interactive"))
+    ]
+    each = d.select(*by, "ord", "on", F.posexplode(F.array(*seen)).alias("k", "x")).where("x.area > 0")
+    each = each.select(*by, "ord", "k", "x.property", F.round("x.area", 6).alias("area"), (F.col("on") & F.col("x.on")).alias("on_interactive"), F.posexplode("x.raws").alias("j", "raw"))
+    return each.where("raw <> ''").select(*by, (F.col("ord") * 8192 + F.col("k") * 1024 + F.least(F.col("j"), F.lit(1023))).alias("ord"), "property", "raw", "area", "on_interactive")
 
 
 def observations(df: DataFrame, by: list[str]) -> DataFrame:
-    """by, property, raw, on_interactive, n, area, largest, first, hex, l, c, h: the visible colours of each group.
+    """by, property, raw, on_interactive, n, area, largest, first, hex, alpha, l, c, h: the visible colours of each group.
 
     Equal strings of a group and property are added up before any is read, and each distinct string is read once:
-    n uses cover area, the largest of them `largest`, which `first` is the first place of; `seen` is the first place of all.
+    n uses cover area, the largest of them `largest`, which `first` is the first place of. Areas have six places, places
+    are below 10 ** 16; both make one number, whose greatest a hash aggregate can keep.
     """
-    top = F.max(F.struct("area", F.struct((-F.col("ord.ord")).alias("ord"), (-F.col("ord.i")).alias("i")).alias("o")))
-    g = written(uses(df, by).groupBy(*by, "property", "raw", "on_interactive").agg(F.count("*").alias("n"), F.sum("area").alias("area"), top.alias("top"), F.min("ord").alias("seen")), "colours")
-    g = g.select(*by, "property", "raw", "on_interactive", "n", "area", F.col("top.area").alias("largest"), F.struct((-F.col("top.o.ord")).alias("ord"), (-F.col("top.o.i")).alias("i")).alias("first"), "seen")
+    place, most = F.lit(10**16).cast("decimal(17,0)"), F.lit(10**16 - 1)
+    key = (F.col("area") * 1_000_000).cast("decimal(20,0)") * place + (most - F.col("ord")).cast("decimal(17,0)")
+    g = written(uses(df, by).groupBy(*by, "property", "raw", "on_interactive").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.max(key).alias("top")), "colours")
+    g = g.select(*by, "property", "raw", "on_interactive", "n", "area", (F.floor(F.col("top") / place).cast("double") / 1_000_000).alias("largest"), (most - (F.col("top") % place).cast("long")).alias("first"))
     return g.join(notations.parsed(g, "raw").select("raw", "hex", "alpha", *LCH), "raw")
 
 
@@ -67,11 +72,11 @@ def clusters(seen: DataFrame, by: list[str]) -> DataFrame:
 
     Equal colours always share a leader, so only distinct strings of a group are gathered.
     """
-    best = F.max(F.struct("largest", (-F.col("first.ord")).alias("o"), (-F.col("first.i")).alias("i")))
+    best = F.max(F.struct("largest", (-F.col("first")).alias("o")))
     t = seen.groupBy(*by, "raw", "hex", *LCH).agg(best.alias("top")).select(*by, "raw", "hex", *LCH, "top.*")
 
     def lead(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["largest", "o", "i"], ascending=False, kind="stable", ignore_index=True)
+        p = p.sort_values(["largest", "o"], ascending=False, kind="stable", ignore_index=True)
         rad = np.radians(p["h"])
         lab = np.stack([p["l"], p["c"] * np.cos(rad), p["c"] * np.sin(rad)], axis=1)
         leaders, of = [], np.empty(len(p), np.int64)

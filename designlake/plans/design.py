@@ -278,7 +278,7 @@ k AS (SELECT * FROM (VALUES {known}) t(raw, hex, l, c, h)),
 d AS (SELECT DISTINCT raw FROM o WHERE raw <> '' AND raw NOT IN (SELECT raw FROM k)), pa AS (SELECT raw, {_PART("raw", 1)} AS r, {_PART("raw", 2)} AS g, {_PART("raw", 3)} AS b, {_ALPHA("raw")} AS alpha FROM d),
 c AS (SELECT * FROM pa WHERE alpha >= {css.ALPHA}), {_LCH},
 look AS (SELECT raw, printf('#%02x%02x%02x', r, g, b) AS hex, lightness AS l, chroma AS c, hue AS h FROM lch UNION ALL SELECT * FROM k),
-seen AS MATERIALIZED (SELECT page_id, ord, i, property, o.raw, hex, CAST(l AS DOUBLE) AS l, CAST(c AS DOUBLE) AS c, CAST(h AS DOUBLE) AS h, CAST(area AS DOUBLE) AS area, act AS on_interactive FROM o JOIN look USING (raw) WHERE area > 0)"""
+seen AS MATERIALIZED (SELECT page_id, ord, i, property, o.raw, hex, CAST(l AS DOUBLE) AS l, CAST(c AS DOUBLE) AS c, CAST(h AS DOUBLE) AS h, round(CAST(area AS DOUBLE), 6) AS area, act AS on_interactive FROM o JOIN look USING (raw) WHERE area > 0)"""
 
 
 def _clustered(source: str) -> str:

@@ -155,7 +155,7 @@ def test_palettes_match_a_loop(spark):
         got[r.page_id][r.name] = r.hex
     for p in uses:
         want = dict(roles[p])
-        for h, *_ in clusters[p]:
+        for h, *_ in clusters[p][:24]:
             want.setdefault(names[h], h)
         assert got[p] == want
 
