@@ -206,14 +206,9 @@ def http_failures(spark, sf_dir):
     return e.select("event_id", status.alias("status"), text.http_failure(status, F.concat(F.lit("https://a.example/"), F.col("event_type"))).alias("message"))
 
 
-def extraction_stats(spark, sf_dir):
-    e = elements(spark, sf_dir, "tag", "text_len", "radius", "shadow", "color")
-    return e.groupBy("page_id").agg(F.count("*").alias("nodes"), F.count(F.when(F.col("text_len") > 0, 1)).alias("texts"), F.countDistinct("color").alias("colors"), F.count(F.when(F.col("shadow") != "none", 1)).alias("shadows"), F.countDistinct("radius").alias("radii"))
-
-
 # The top-level domains that are tried.
 TLDS = ["com", "io", "dev", "app", "co", "ai", "org", "net"]
-QUERIES = [radius_tokens, shadow_tokens, border_widths, motion_tokens, media_breakpoints, breakpoint_asof, container_width, spacing_grid, spacing_steps, type_groups, type_scale, font_stacks, color_observations, color_clusters, palette_roles, palette_tokens, dark_palette, color_parse, color_distance, css_scalars, css_list_split, padding_shorthand, placeholder_text, escapes, site_candidates, http_failures, extraction_stats]
+QUERIES = [radius_tokens, shadow_tokens, border_widths, motion_tokens, media_breakpoints, breakpoint_asof, container_width, spacing_grid, spacing_steps, type_groups, type_scale, font_stacks, color_observations, color_clusters, palette_roles, palette_tokens, dark_palette, color_parse, color_distance, css_scalars, css_list_split, padding_shorthand, placeholder_text, escapes, site_candidates, http_failures]
 
 
 def queries() -> dict:
@@ -380,5 +375,4 @@ SELECT p_partkey, is_url, CAST(unnest(range(len(hosts))) AS INTEGER) AS at, unne
     "http_failures": f"""WITH s AS (SELECT event_id, CAST(200 + event_id % 4 * 100 + user_id % 60 AS INTEGER) AS status, 'https://a.example/' || event_type AS url FROM events)
 SELECT event_id, status, CASE WHEN status >= 400 THEN url || ' ' || CASE {" ".join(f"WHEN status = {k} THEN '{v}'" for k, v in text.REASONS.items())} WHEN status >= 500 THEN 'returned a server error' ELSE 'refused the request' END || ' (HTTP ' || status || '). There is nothing to extract: any design system reported would describe the error page.'
 || CASE WHEN status IN (401, 403, 429) THEN ' The page may load normally in your own browser — use "Run it in your own browser" to measure it there.' ELSE '' END END AS message FROM s""",
-    "extraction_stats": f"{_E} SELECT page_id, count(*) AS nodes, count(*) FILTER (text_len > 0) AS texts, count(DISTINCT color) AS colors, count(*) FILTER (shadow <> 'none') AS shadows, count(DISTINCT radius) AS radii FROM e GROUP BY page_id",
 }

@@ -13,7 +13,7 @@ from ..functions import robots
 from ..operators import assets, effects, emit, jobs, palette, typography
 from ..sources import imports
 from ..sources.scratch import written
-from . import design, sheets
+from . import catalogue, design, sheets
 
 _PATH = "coalesce(nullif(regexp_extract(url, '^[^/?#]*//[^/?#]*(/[^?#]*)', 1), ''), '/')"
 _RULES = f"""concat('# rules', chr(10), 'User-agent: other', chr(10), 'Disallow: /', chr(10), CASE WHEN page_id % 3 = 0 THEN concat('User-agent: {robots.AGENT}bot', chr(10), 'user-agent : x', chr(10)) ELSE concat('User-Agent: *', chr(10)) END,
@@ -77,6 +77,17 @@ def color_map(spark, sf_dir):
     return emit.colour_names(tokens, design._roles(spark, sf_dir, tokens), ["page_id"])
 
 
+def extraction_stats(spark, sf_dir):
+    """Of each page its elements, colour tokens, sections, sections with a component that repeats, and unreadable sheets."""
+    n = catalogue._boxes(spark, sf_dir)
+    nodes = n.groupBy("page_id").agg(F.count("*").alias("nodes"))
+    parts = catalogue.classified(n).groupBy("page_id").agg(F.count("*").alias("sections"), F.count(F.when((F.col("repeat") > 0) & ~F.col("kind").isin("nav", "footer"), 1)).alias("components"))
+    colours = design._clusters(spark, sf_dir).where(F.col("rank") <= palette.MOST_TOKENS).groupBy("page_id").agg(F.count("*").alias("colors"))
+    unread = sheets.sheet_statistics(spark, sf_dir).select("page_id", "unreadable")
+    j = nodes.join(parts, "page_id", "left").join(colours, "page_id", "left").join(unread, "page_id", "left")
+    return j.select("page_id", "nodes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("colors", "sections", "components", "unreadable")])
+
+
 def font_families(spark, sf_dir):
     """Stacks of each page with what they are used for and where they come from."""
     texts = design._texts(spark, sf_dir)
@@ -117,7 +128,7 @@ def compact_brief(spark, sf_dir):
     return emit.brief(design.type_scale(spark, sf_dir), design.spacing_grid(spark, sf_dir), design.container_width(spark, sf_dir), ["page_id"])
 
 
-QUERIES = [robots_verdict, harvest_import, request_states, pending_requests, job_events_kept, job_expiry, color_map, font_families, tokens_css, tailwind_theme, design_tokens_json, compact_brief]
+QUERIES = [robots_verdict, harvest_import, request_states, pending_requests, job_events_kept, job_expiry, color_map, extraction_stats, font_families, tokens_css, tailwind_theme, design_tokens_json, compact_brief]
 
 
 def queries() -> dict:
@@ -176,6 +187,9 @@ SELECT queue, request, created_at, updated_at, CAST(row_number() OVER (PARTITION
     "job_events_kept": f'WITH {_KEPT} SELECT * FROM k',
     "job_expiry": f"""WITH {_KEPT} SELECT job, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) AS since, coalesce(max("at") FILTER (state IN ('done', 'error')), min("at")) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AS expired FROM k GROUP BY job""",
     "color_map": _COLOURS,
+    "extraction_stats": f"""WITH nd AS (SELECT page_id, count(*) AS nodes FROM ({catalogue.SQL["dom_nodes"]}) GROUP BY page_id), sc AS (SELECT page_id, count(*) AS sections, count(*) FILTER (repeat > 0 AND kind NOT IN ('nav', 'footer')) AS components FROM ({catalogue.SQL["section_classify"]}) GROUP BY page_id),
+cc AS (SELECT page_id, count(*) AS colors FROM {_SUB("color_clusters")} WHERE rank <= {palette.MOST_TOKENS} GROUP BY page_id)
+SELECT page_id, nodes, coalesce(colors, 0) AS colors, coalesce(sections, 0) AS sections, coalesce(components, 0) AS components, coalesce(unreadable, 0) AS unreadable FROM nd LEFT JOIN sc USING (page_id) LEFT JOIN cc USING (page_id) LEFT JOIN (SELECT page_id, unreadable FROM ({sheets.SQL["sheet_statistics"]})) USING (page_id)""",
     "font_families": f"{_FAMILIES} SELECT page_id, rank, stack, family, usage, source, weights, urls, area FROM fam",
     "tokens_css": f"""{_DESIGN}, cl AS ({_LINES([
         ("SELECT DISTINCT page_id FROM cm", "0", "'  /* Color */'"), ("cm", _BYCOLOUR, "'  --color-' || name || ': ' || hex || ';'"), ("SELECT DISTINCT page_id FROM fam", "0", "chr(10) || '  /* Typography */'"), ("fam", "rank", "'  --font-' || usage || ': ' || stack || ';'"),
