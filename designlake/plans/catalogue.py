@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import challenge, color, url
-from ..operators import jobs, layout, sections, tally, tree
+from ..operators import jobs, layout, sections, selectors, tally, tree, visible
 from ..sources.scratch import written
 
 
@@ -128,6 +128,51 @@ def section_candidates(spark, sf_dir):
     return sections.candidates(_boxes(spark, sf_dir))
 
 
+#: Ids of elements, and what hides them; by expressions that both engines read, as in NODE_STYLES.
+SEEN = {
+    "id": "CASE WHEN i % 7 = 2 THEN concat('part-', CAST(i AS STRING)) WHEN i % 11 = 3 THEN 'twice' WHEN i % 13 = 4 THEN '9th' WHEN tag = 'article' THEN 'story' ELSE '' END",
+    "visibility": "CASE WHEN (page_id * 3 + i) % 29 = 5 THEN 'hidden' ELSE 'visible' END",
+    "opacity": "CASE WHEN (page_id + i) % 31 = 7 THEN '0' WHEN i % 5 = 0 THEN '0.5' ELSE '1' END",
+    "flat": "(page_id + i * 5) % 17 = 0",
+}
+#: Selectors that each page is asked for.
+ASKED = ["article", "#story", " #twice", "#part-9 ", "#nothing", ".ad", ".none", "body > nav > ul > li:nth-of-type(2) > a", "body > footer", "div > p", ""]
+
+
+def _named(spark, sf_dir):
+    """Elements with ids, classes and what hides them; some are flat."""
+    b = tree.boxes(_nodes(spark, sf_dir))
+    n = b.select("*", F.expr(NODE_STYLES["display"]).alias("shown_as"), *[F.expr(v).alias(k) for k, v in SEEN.items()], F.regexp_extract("token", ATTRIBUTES["cls"], 1).alias("cls"))
+    return written(n.withColumn("display", F.when((F.col("page_id") + F.col("i")) % 37 == 11, "none").otherwise(F.col("shown_as"))).withColumn("h", F.when(F.col("flat"), 0).otherwise(F.col("h"))).drop("token", "shown_as", "flat"), "named")
+
+
+def stable_selectors(spark, sf_dir):
+    return selectors.stable(_named(spark, sf_dir))
+
+
+def _asked(spark, sf_dir):
+    n = _named(spark, sf_dir)
+    asked = n.select("page_id").distinct().withColumn("selector", F.explode(F.array(*[F.lit(a) for a in ASKED])))
+    keyed = n.join(selectors.stable(n), ["page_id", "i"]).withColumn("area", F.col("w") * F.col("h"))
+    return n, selectors.find(asked, keyed)
+
+
+def selector_table(spark, sf_dir):
+    """The element of each page for each of the selectors asked for, -1 for none."""
+    return _asked(spark, sf_dir)[1]
+
+
+def scoped_trees(spark, sf_dir):
+    """The subtrees of the elements that selector_table finds, as trees of their own."""
+    n, found = _asked(spark, sf_dir)
+    return selectors.scoped(n, found)
+
+
+def rendered_nodes(spark, sf_dir):
+    """The elements of a page that can be seen."""
+    return visible.rendered(_named(spark, sf_dir)).select("page_id", "i", "parent", "tag", "n_descendants", "was", "truncated")
+
+
 def _found(n):
     return written(sections.candidates(n), "candidates")
 
@@ -210,7 +255,7 @@ def page_links(spark, sf_dir):
     return tally.tally(a, ["page_id"], "href", "t")
 
 
-QUERIES = [tag_tally, url_normalize, weighted_mode, color_oklab, tree_descendants, tree_children, node_signature, dom_nodes, tree_ancestors, css_paths, repeat_groups, subtree_slice, selector_lookup, content_root, section_candidates, section_classify, section_layout, repeat_items, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
+QUERIES = [tag_tally, url_normalize, weighted_mode, color_oklab, tree_descendants, tree_children, node_signature, dom_nodes, tree_ancestors, css_paths, repeat_groups, subtree_slice, selector_lookup, stable_selectors, selector_table, scoped_trees, rendered_nodes, content_root, section_candidates, section_classify, section_layout, repeat_items, meta_extract, text_lines, job_latest_state, job_ttl_sweep, nth_of_type, challenge_verdict, own_text, page_links]
 
 
 def queries() -> dict:
@@ -281,6 +326,17 @@ _REPEATED = f"""{_SIGNED}, {_REPEATS}, {_LAID},
 it AS (SELECT c.page_id, c.i, c.container, k.i AS item, r.n AS repeat, row_number() OVER (PARTITION BY c.page_id, c.i ORDER BY k.i) AS place FROM cn c JOIN rep r ON r.page_id = c.page_id AND r.parent = c.container JOIN sg k ON k.page_id = c.page_id AND k.parent = c.container AND k.signature = r.signature),
 ii AS (SELECT t.*, d.i AS d, d.tag, d.own_text, d.src, d.href, TRY_CAST(replace(d.font_size, 'px', '') AS DOUBLE) AS size FROM it t JOIN bx b ON b.page_id = t.page_id AND b.i = t.item JOIN bx d ON d.page_id = t.page_id AND d.i BETWEEN t.item AND t.item + b.n_descendants WHERE t.place <= {layout.MOST_ITEMS}),
 mk AS (SELECT page_id, i, any_value(repeat) AS repeat, count(DISTINCT item) FILTER (src <> '') >= any_value(repeat) - 1 AS pictures FROM ii GROUP BY page_id, i)"""
+_NAMED = f"""nm AS MATERIALIZED (SELECT * REPLACE (CASE WHEN flat THEN 0 ELSE h END AS h), CASE WHEN (page_id + i) % 37 = 11 THEN 'none' ELSE '' END AS display FROM
+  (SELECT page_id, i, tag, parent, depth, n_descendants, 1440 - depth * 40 AS w, (n_descendants + 1) * 24 AS h, regexp_extract(token, '{ATTRIBUTES["cls"]}', 1) AS cls, {", ".join(f"{v} AS {k}" for k, v in SEEN.items())} FROM full_))"""
+#: Each element's own steps of a path are told from how many elements around it there are, by a join with all of them.
+_STABLE = f"""{_NAMED}, ls AS (SELECT page_id, i, parent, depth, n_descendants, CASE WHEN tag = 'body' OR count(*) OVER (PARTITION BY page_id, parent, tag) = 1 THEN tag ELSE tag || ':nth-of-type(' || row_number() OVER (PARTITION BY page_id, parent, tag ORDER BY i) || ')' END AS step FROM nm),
+ar AS (SELECT e.page_id, e.i, a.i AS a, a.step, e.depth - a.depth AS hop FROM ls e JOIN ls a ON a.page_id = e.page_id AND e.i BETWEEN a.i AND a.i + a.n_descendants),
+hb AS (SELECT *, min(CASE WHEN step = 'body' THEN hop END) OVER (PARTITION BY page_id, i) AS body FROM ar WHERE hop < {selectors.MOST_STEPS}),
+ph AS (SELECT page_id, i, string_agg(step, ' > ' ORDER BY hop DESC) AS path FROM hb WHERE hop <= coalesce(body, hop) GROUP BY page_id, i),
+sl AS MATERIALIZED (SELECT page_id, i, CASE WHEN regexp_matches(id, '{selectors.PLAIN_ID}') AND count(*) OVER (PARTITION BY page_id, id) = 1 THEN '#' || id ELSE path END AS selector FROM nm JOIN ph USING (page_id, i))"""
+_FIND = f"""{_STABLE}, wa AS (SELECT page_id, selector, trim(selector) AS key FROM (SELECT DISTINCT page_id FROM nm), (SELECT unnest([{_Q(ASKED)}]) AS selector)),
+fi AS (SELECT page_id, selector, CASE WHEN key = '' THEN -1 ELSE coalesce((SELECT min(i) FROM sl WHERE sl.page_id = wa.page_id AND sl.selector = key), CASE key[1] WHEN '#' THEN (SELECT min(i) FROM nm WHERE nm.page_id = wa.page_id AND id = key[2:])
+  WHEN '.' THEN (SELECT arg_max(i, row(w * h, -i)) FROM nm WHERE nm.page_id = wa.page_id AND list_contains(string_split_regex(cls, '\\s+'), key[2:])) END, -1) END AS i FROM wa)"""
 _IN = lambda *t: f"count(*) FILTER (d.i > s.i AND d.tag IN ({_Q(t)}))"
 
 LATEST = 'SELECT user_id, count(*) AS n_events, arg_max(event_type, row(ts, event_id)) AS state, max(ts) AS "at" FROM events GROUP BY user_id'
@@ -303,6 +359,17 @@ SELECT nd.page_id, i - root AS i, CASE WHEN i = root THEN -1 ELSE parent - root
     "selector_lookup": f"""WITH {_NODES}, {_PATHS}, ex AS (SELECT page_id, min(i) AS i FROM pt WHERE path LIKE '%li:nth-of-type(2)' GROUP BY page_id),
 cs AS (SELECT page_id, i FROM nd WHERE regexp_matches(token, 'class="([^"]* )?ad( [^"]*)?"') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n_descendants DESC, i) = 1)
 SELECT p.page_id, coalesce(ex.i, cs.i, -1) AS i FROM pages p LEFT JOIN ex USING (page_id) LEFT JOIN cs USING (page_id)""",
+    "stable_selectors": f"WITH {_NODES}, {_STABLE} SELECT * FROM sl",
+    "selector_table": f"WITH {_NODES}, {_FIND} SELECT * FROM fi",
+    "scoped_trees": f"""WITH {_NODES}, {_FIND}
+SELECT fi.page_id, selector, d.i - fi.i AS i, CASE WHEN d.i = fi.i THEN -1 ELSE d.parent - fi.i END AS parent, d.tag, d.depth - r.depth AS depth, d.i AS was FROM fi JOIN nm r ON r.page_id = fi.page_id AND r.i = fi.i JOIN nm d ON d.page_id = fi.page_id AND d.i BETWEEN r.i AND r.i + r.n_descendants""",
+    "rendered_nodes": f"""WITH {_NODES}, {_NAMED}, hd AS (SELECT *, display = 'none' OR visibility = 'hidden' OR TRY_CAST(opacity AS DOUBLE) = 0 AS hides FROM nm),
+mt AS (SELECT * FROM hd WHERE NOT EXISTS (SELECT 1 FROM hd a WHERE a.page_id = hd.page_id AND a.i < hd.i AND hd.i <= a.i + a.n_descendants AND (a.hides OR a.tag = '{visible.SEALED}'))),
+kp AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS nr FROM mt WHERE NOT hides AND NOT (w * h = 0 AND n_descendants = 0)),
+fu AS (SELECT page_id, i AS filled FROM kp WHERE nr = {visible.MOST_NODES - 1}),
+ct AS (SELECT * FROM kp WHERE nr < {visible.MOST_NODES})
+SELECT c.page_id, c.nr AS i, p.nr AS parent, c.tag, (SELECT count(*) FROM ct d WHERE d.page_id = c.page_id AND d.i > c.i AND d.i <= c.i + c.n_descendants) AS n_descendants, c.i AS was,
+  EXISTS (SELECT 1 FROM fu JOIN mt ON mt.page_id = fu.page_id AND mt.i > filled WHERE fu.page_id = c.page_id) AS truncated FROM ct c LEFT JOIN ct p ON p.page_id = c.page_id AND p.i = c.parent""",
     "content_root": f"WITH {_NODES}, {_ROOT} SELECT page_id, i FROM r6",
     "section_candidates": f"WITH {_NODES}, {_FOUND} SELECT * FROM cand",
     "section_classify": f"""WITH {_NODES}, {_REPEATED},
