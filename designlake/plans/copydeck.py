@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assets, layout, sections
+from ..operators import assets, briefs, layout, sections
 from ..sources.scratch import written
 from . import catalogue
 
@@ -108,7 +108,29 @@ def page_html(spark, sf_dir):
     return assets.page_html(section_copy(spark, sf_dir))
 
 
-QUERIES = [image_manifest, icon_library, google_fonts, asset_manifest, responsive_match, viewport_sets, section_copy, section_notes, component_names, page_html]
+def _specified(spark, sf_dir, mode="verbatim"):
+    n, repeated, found = _described(spark, sf_dir)
+    items = written(layout.items(n, repeated), "items")
+    laid = layout.layouts(n, found.select("page_id", "i"))
+    notes = assets.section_notes(n, found, layout.repeat_marks(n, repeated))
+    return written(briefs.described(assets.section_copy(n, found, items), laid, items, notes, mode), "specified")
+
+
+def _told(spark, sf_dir):
+    return catalogue.meta_extract(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id").select("page_id", "url", "title", "description", "lang", "theme_color")
+
+
+def spec_json(spark, sf_dir):
+    """Each page with its sections, their layout, copy, buttons, links, items and notes, as one JSON document."""
+    return briefs.spec(_told(spark, sf_dir), _specified(spark, sf_dir))
+
+
+def page_brief(spark, sf_dir):
+    """The structure of each page and how to build each section, as text."""
+    return briefs.brief(_told(spark, sf_dir), _specified(spark, sf_dir))
+
+
+QUERIES = [image_manifest, icon_library, google_fonts, asset_manifest, responsive_match, viewport_sets, section_copy, section_notes, component_names, page_html, spec_json, page_brief]
 
 
 def queries() -> dict:
@@ -175,3 +197,29 @@ f AS (SELECT page_id, string_agg(family, ',' ORDER BY first, family) AS fonts FR
 SELECT page_id, coalesce(images, 0) AS images, coalesce(brand_images, 0) AS brand_images, coalesce(roles, '') AS roles, coalesce(library, 'custom') AS library, coalesce(confidence, 0) AS confidence, coalesce(n, 0) AS icons, coalesce(fonts, '') AS fonts
 FROM i FULL JOIN {_SUB("icon_library")} AS ic USING (page_id) FULL JOIN f USING (page_id)"""
 SQL["page_html"] = f"""SELECT page_id, string_agg('<section id="' || id || '">' || coalesce('<h2>' || {_ESC("heading")} || '</h2>', '') || {_TAGGED("body", "p")} || {_TAGGED("ctas", "button")} || {_TAGGED("links", "a")} || '</section>', chr(10) ORDER BY i) AS html FROM {_SUB("section_copy")} GROUP BY page_id"""
+
+_LIST = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({c}, chr(10)) END"
+_SPECIFIED = f"""mt AS MATERIALIZED (SELECT m.page_id, url, title, description, lang, theme_color FROM ({catalogue.SQL["meta_extract"]}) m JOIN pages USING (page_id)),
+cp AS MATERIALIZED ({SQL["section_copy"]}), la AS MATERIALIZED ({catalogue.SQL["section_layout"]}), ri AS MATERIALIZED ({catalogue.SQL["repeat_items"]}), no AS MATERIALIZED ({SQL["section_notes"]}),
+il AS (SELECT page_id, i, list({{'heading': heading, 'body': body, 'image': image, 'href': href, 'icon': has_icon}} ORDER BY place) AS items FROM ri GROUP BY page_id, i),
+sd AS MATERIALIZED (SELECT cp.page_id, cp.i, id, kind, CAST(regexp_extract(id, '^section-(\\d+)-', 1) AS INTEGER) AS ord, {{'display': display, 'columns': columns, 'gap': gap, 'max_width': max_width, 'padding_top': padding_top, 'padding_bottom': padding_bottom, 'padding_x': padding_x, 'min_height': min_height}} AS layout,
+  coalesce(heading, '') AS heading, level, eyebrow, subheading, {_LIST("body")} AS body, list_transform(range(1, len({_LIST("ctas")}) + 1), lambda k: {{'label': ({_LIST("ctas")})[k], 'variant': string_split(variants, chr(10))[k]}}) AS ctas, {_LIST("links")} AS links, CASE WHEN kind IN ('nav', 'footer') OR items IS NULL THEN [] ELSE items END AS items, {_LIST("notes")} AS notes
+  FROM cp JOIN la USING (page_id, i) LEFT JOIN il USING (page_id, i) LEFT JOIN no USING (page_id, i))"""
+SQL["spec_json"] = f"""WITH {_SPECIFIED}, sj AS (SELECT page_id, count(*) AS n, count(*) FILTER (len(items) > 0) AS r, string_agg(CAST(to_json({{'id': id, 'kind': kind, 'order': ord, 'layout': layout, 'heading': heading, 'headingLevel': level, 'eyebrow': eyebrow, 'subheading': subheading, 'bodyText': body, 'ctas': ctas, 'navLinks': links, 'items': items, 'notes': notes}}) AS VARCHAR), ',' ORDER BY ord, i) AS v FROM sd GROUP BY page_id)
+SELECT page_id, '{{"page":' || CAST(to_json({{'url': url, 'title': title, 'description': description, 'lang': lang, 'theme_color': theme_color}}) AS VARCHAR) || ',"sections":[' || coalesce(v, '') || '],"stats":{{"sections":' || coalesce(n, 0) || ',"components":' || coalesce(r, 0) || '}}}}' AS json FROM mt LEFT JOIN sj USING (page_id)"""
+_LABEL = "list_aggregate(list_transform(string_split(kind, '-'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')"
+_CELL = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '—' ELSE replace({c}, '|', '\\|') END"
+_BULLET = lambda name, c: f"'- {name}: \"' || nullif({c}, '') || '\"'"
+_ROWS = lambda rows, line: f"array_to_string(list_transform({rows}, {line}), chr(10))"
+_NL = "chr(10) || chr(10)"
+SQL["page_brief"] = f"""WITH {_SPECIFIED},
+ot AS (SELECT *, list_filter(body, lambda x: x <> subheading) AS others FROM sd),
+tl AS (SELECT *, concat_ws(chr(10), {_BULLET("Eyebrow", "eyebrow")}, '- Heading (h' || CASE WHEN level > 0 THEN level ELSE 2 END || '): "' || nullif(heading, '') || '"', {_BULLET("Subheading", "subheading")}, CASE WHEN len(others) > 0 THEN {_ROWS("others", "lambda x: '- Body: " + chr(34) + "' || x || '" + chr(34) + "'")} END) AS told FROM ot),
+tx AS (SELECT page_id, i, ord, '| ' || ord || ' | ' || {_LABEL} || ' | ' || {_CELL("heading")} || ' | ' || layout.min_height || 'px |' AS line, concat_ws({_NL}, '### 3.' || ord || ' ' || {_LABEL} || ' — `' || id || '`',
+  concat_ws(chr(10), '**Layout**' || chr(10), '- Display: `' || layout.display || '`' || CASE WHEN layout.columns > 1 THEN ' · ' || layout.columns || ' columns' ELSE '' END, CASE WHEN layout.gap > 0 THEN '- Gap: `' || layout.gap || 'px`' END, '- Padding: `' || layout.padding_top || 'px` top, `' || layout.padding_bottom || 'px` bottom, `' || layout.padding_x || 'px` sides', CASE WHEN layout.max_width > 0 THEN '- Content max-width: `' || layout.max_width || 'px`' END),
+  CASE WHEN told <> '' THEN '**Content**' || {_NL} || told END, CASE WHEN len(ctas) > 0 THEN '**Buttons**' || {_NL} || '| Label | Variant |' || chr(10) || '| --- | --- |' || chr(10) || {_ROWS("ctas", "lambda c: '| ' || " + _CELL("c.label") + " || ' | ' || c.variant || ' |'")} END,
+  CASE WHEN len(links) > 0 THEN '**Links:** ' || array_to_string(links, ' · ') END, CASE WHEN len(items) > 0 THEN '**Repeating component — `<' || CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in assets.NAMES.items())} ELSE 'Item' END || ' />`**' || {_NL} || '| # | Heading | Body | Link | Media |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10)
+    || {_ROWS("range(1, len(items) + 1)", "lambda k: '| ' || k || ' | ' || " + _CELL("items[k].heading") + " || ' | ' || " + _CELL("items[k].body") + " || ' | ' || " + _CELL("items[k].href") + " || ' | ' || " + _CELL("CASE WHEN items[k].image <> '' THEN items[k].image WHEN items[k].icon THEN 'icon' ELSE '' END") + " || ' |'")} END,
+  CASE WHEN len(notes) > 0 THEN '**Notes**' || {_NL} || '- ' || array_to_string(notes, chr(10) || '- ') END) AS section FROM tl),
+pt AS (SELECT page_id, string_agg(line, chr(10) ORDER BY ord, i) AS lines, string_agg(section, {_NL} ORDER BY ord, i) AS detail FROM tx GROUP BY page_id)
+SELECT page_id, '# ' || coalesce(title, url, '') || {_NL} || '## 2. Page structure' || {_NL} || coalesce('| # | Section | Heading | Height |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || lines, '_None detected._') || {_NL} || '## 3. Sections' || {_NL} || coalesce(detail, '_None detected._') || chr(10) AS brief FROM mt LEFT JOIN pt USING (page_id)"""
