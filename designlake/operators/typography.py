@@ -40,6 +40,25 @@ def groups(styles: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("family", css.primary_family(F.col("family")))
 
 
+def details(df: DataFrame, by: list[str], tags: int = 6) -> DataFrame:
+    """by, size, weight, letter_spacing, text_transform, tags, sample of each group: the values of most characters (the first
+    seen of equal ones; none stands for normal or none), the first tags in order of reading, and the longest text, the
+    first of equal ones; of texts longer than a sample the last one, cut.
+
+    df has ord, tag, text and the CSS strings font_size, font_weight, letter_spacing, text_transform. Samples are one
+    maximum a group, not its texts; elements without text or size do not count."""
+    key = [*by, "size", "weight"]
+    size = css.whole(F.coalesce(css.number(F.col("font_size")), F.lit(0.0)))
+    weight = css.whole(F.coalesce(F.nullif(css.number(F.col("font_weight")), F.lit(0.0)), F.lit(400.0)))
+    said = lambda c, none: F.coalesce(F.nullif(c, F.lit("")), F.lit(none)).alias(c)
+    t = df.where(F.length("text") > 0).select(*by, "ord", "tag", "text", F.length("text").alias("chars"), size.alias("size"), weight.alias("weight"), said("letter_spacing", "normal"), said("text_transform", "none")).where("size > 0")
+    long = F.col("chars") > SAMPLE
+    best = F.max(F.struct(long.alias("long"), F.when(long, F.col("ord")).otherwise(F.col("chars")).alias("a"), F.when(long, F.lit(0)).otherwise(-F.col("ord")).alias("b"), F.substring("text", 1, SAMPLE).alias("text")))["text"]
+    g = t.groupBy(*key).agg(best.alias("sample"))
+    first = t.groupBy(*key, "tag").agg(F.min("ord").alias("o")).groupBy(*key).agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("o", "tag"))), 1, tags), lambda x: x["tag"]), ",").alias("tags"))
+    return g.join(first, key).join(_mode(t, by, "letter_spacing"), key).join(_mode(t, by, "text_transform"), key).select(*key, "letter_spacing", "text_transform", "tags", "sample")
+
+
 def _first(condition: Column, by: list[str], *order) -> Column:
     """Whether a row is the first of its page among those with the condition."""
     rank = F.row_number().over(Window.partitionBy(*by, condition).orderBy(*order))
@@ -110,3 +129,24 @@ def families(styles: DataFrame, sizes: DataFrame, network: DataFrame, asked: Dat
     usage = F.when(F.col("stack").rlike("(?i)mono|code|courier"), "mono").when(F.col("head_area") > F.col("area") * 0.5, "display").otherwise("body")
     urls = F.when(F.size("own_files") > 0, F.col("own_files")).when(source == "self-hosted", F.slice("all_files", 1, MOST_FILES)).otherwise(F.array().cast("array<string>"))
     return t.select(*by, "rank", "stack", "family", usage.alias("usage"), source.alias("source"), F.array_join(F.transform("weights", lambda x: x.cast("string")), ";").alias("weights"), F.array_join(urls, "\n").alias("urls"), "area")
+
+
+def import_code(fallback: str = "400;700") -> Column:
+    """How to load a family (family, stack, source, weights and urls as families gives them), as code with comments: at most
+    four files are declared and eight named. Weights are those used, else `fallback`."""
+    weights = F.when(F.coalesce(F.col("weights"), F.lit("")) == "", F.lit(fallback)).otherwise(F.col("weights"))
+    href = F.concat(F.lit("@import url('https://fonts.googleapis.com/css2?family="), F.regexp_replace("family", r"\s+", "+"), F.lit(":wght@"), weights, F.lit("&display=swap');"))
+    name = F.regexp_replace("family", "[^A-Za-z0-9]", "_")
+    stack = F.concat(F.lit("font-family: "), "stack", F.lit(";"))
+    listed = F.concat(F.lit("'"), F.replace(weights, F.lit(";"), F.lit("', '")), F.lit("'"))
+    files = F.filter(F.split(F.coalesce("urls", F.lit("")), "\n"), lambda u: u != "")
+    faces = F.transform(F.slice(files, 1, 4), lambda u: F.concat(F.lit("@font-face { font-family: '"), F.col("family"), F.lit("'; src: url('"), u, F.lit("') format('woff2'); font-display: swap; }")))
+    sources = F.transform(F.slice(files, 1, 8), lambda u: F.concat(F.lit(" * "), u))
+    # The words of the code and its comments.
+    google = F.concat(F.lit("/* CSS */\n"), href, F.lit("\n\n// next/font (preferred in Next.js — self-hosts and avoids a round trip)\nimport { "), name, F.lit(" } from 'next/font/google';\nconst font = "), name, F.lit("({\n  subsets: ['latin'],\n  weight: ["), listed, F.lit("],\n  display: 'swap',\n});"))
+    hosted = F.array_join(F.concat(F.array(F.lit("/* Self-hosted. Copy the files, then declare them: */")), faces, F.array(F.lit(""), F.lit("/* Original sources:")), sources, F.array(F.lit(" */"))), "\n")
+    adobe = F.lit("/* Adobe Fonts (Typekit). Add your own kit id: */\n@import url('https://use.typekit.net/YOUR_KIT.css');")
+    system = F.concat(F.lit("/* System stack — no import needed. */\n"), stack)
+    unknown = F.concat(F.lit('/* "'), "family", F.lit('" is requested by the stack, but no font file was served\n * with the page. It either resolved from a local install or fell back to\n * the next family. To use it deliberately, load it explicitly: */\n'), href, F.lit("\n\n"), stack)
+    source = F.col("source")
+    return F.when(source == "google", google).when(source == "self-hosted", hosted).when(source == "adobe", adobe).when(source == "system", system).otherwise(unknown)

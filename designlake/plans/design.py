@@ -27,6 +27,9 @@ ELEMENTS = {
     "font_size": f"concat({_S(f'10 + {_Q} % 9 * 3')}, CASE WHEN {_K} % 3 = 0 THEN '.4px' ELSE 'px' END)",
     "font_weight": f"CASE WHEN {_K} % 5 = 0 THEN '700' WHEN {_K} % 5 = 1 THEN 'bold' ELSE '400' END",
     "line_height": f"CASE WHEN {_K} % 4 = 0 THEN 'normal' ELSE concat({_S(f'{_Q} + 6')}, 'px') END",
+    "letter_spacing": f"CASE {_Q} % 4 WHEN 0 THEN '' WHEN 1 THEN '-0.5px' ELSE concat('0.', {_S(f'{_Q} % 3')}, 'px') END",
+    "text_transform": f"CASE {_K} % 7 WHEN 0 THEN 'uppercase' WHEN 1 THEN NULL ELSE 'none' END",
+    "text": f"substr(repeat(concat({_S(_K)}, '-'), 65), 1, CAST({_K} % 130 AS INT))",
     "family": f"CASE {_K} % 3 WHEN 0 THEN 'Inter, -apple-system, sans-serif' WHEN 1 THEN '\"Segoe UI\", system-ui' ELSE 'system-ui, sans-serif' END",
     "color": f"CASE WHEN {_K} % 13 = 0 THEN 'transparent' ELSE concat('rgb(', {_S(f'{_K} % 4 * 60')}, ', ', {_S(f'{_K} % 3 * 70 + {_X} % 2')}, ', ', {_S(f'{_K} % 5 * 50')}, ')') END",
     "background": f"CASE WHEN {_K} % 2 = 0 THEN concat('rgba(', {_S(f'255 - {_D} * 20')}, ', 250, ', {_S(f'255 - {_X} * 30')}, ', 0.', {_S(_D)}, ')') WHEN {_K} % 7 < 3 THEN '#fff' ELSE concat('#', '0f', {_S(f'10 + {_D}')}, 'a0') END",
@@ -102,6 +105,10 @@ def type_groups(spark, sf_dir):
     return typography.groups(_texts(spark, sf_dir), BY).drop("first_at")
 
 
+def type_details(spark, sf_dir):
+    return typography.details(elements(spark, sf_dir, "tag", "text", "font_size", "font_weight", "letter_spacing", "text_transform"), BY)
+
+
 def type_scale(spark, sf_dir):
     return typography.scale(_texts(spark, sf_dir), BY).select("page_id", "size", "weight", "name", "n", "body_size")
 
@@ -208,7 +215,7 @@ def http_failures(spark, sf_dir):
 
 # The top-level domains that are tried.
 TLDS = ["com", "io", "dev", "app", "co", "ai", "org", "net"]
-QUERIES = [radius_tokens, shadow_tokens, border_widths, motion_tokens, media_breakpoints, breakpoint_asof, container_width, spacing_grid, spacing_steps, type_groups, type_scale, font_stacks, color_observations, color_clusters, palette_roles, palette_tokens, dark_palette, color_parse, color_distance, css_scalars, css_list_split, padding_shorthand, placeholder_text, escapes, site_candidates, http_failures]
+QUERIES = [radius_tokens, shadow_tokens, border_widths, motion_tokens, media_breakpoints, breakpoint_asof, container_width, spacing_grid, spacing_steps, type_groups, type_details, type_scale, font_stacks, color_observations, color_clusters, palette_roles, palette_tokens, dark_palette, color_parse, color_distance, css_scalars, css_list_split, padding_shorthand, placeholder_text, escapes, site_candidates, http_failures]
 
 
 def queries() -> dict:
@@ -334,6 +341,10 @@ LEFT JOIN (SELECT page_id, CAST(floor(p + 0.5) AS BIGINT) AS padding_x FROM ({_T
 SELECT page_id, px, CASE WHEN px % base <> 0 THEN 'px-' || CAST(px AS VARCHAR) WHEN px % 4 = 0 THEN CAST(px // 4 AS VARCHAR) ELSE replace(CAST(px / 4 AS VARCHAR), '.', '_') END AS key FROM s JOIN grid USING (page_id)""",
     "type_groups": f"""{_E}, {_TEXTS}, g AS (SELECT page_id, size, weight, CAST(sum(chars) AS BIGINT) AS chars, count(*) AS n FROM t GROUP BY ALL)
 SELECT g.*, lh.line_height, {_FAMILY("fa.family")} AS family FROM g JOIN {_MODE("line_height")} lh USING (page_id, size, weight) JOIN {_MODE("family")} fa USING (page_id, size, weight)""",
+    "type_details": f"""{_E}, t AS (SELECT page_id, ord, tag, text, length(text) AS chars, CAST(floor(coalesce({_NUM("font_size")}, 0) + 0.5) AS BIGINT) AS size, CAST(floor(coalesce(nullif({_NUM("font_weight")}, 0), 400) + 0.5) AS BIGINT) AS weight, coalesce(nullif(letter_spacing, ''), 'normal') AS letter_spacing, coalesce(nullif(text_transform, ''), 'none') AS text_transform FROM e WHERE length(text) > 0),
+lo AS (SELECT page_id, size, weight, coalesce(arg_max(text, ord) FILTER (chars > {typography.SAMPLE}), arg_max(text, row(chars, -ord))) AS sample FROM t WHERE size > 0 GROUP BY ALL),
+tg AS (SELECT page_id, size, weight, string_agg(tag, ',' ORDER BY o) AS tags FROM (SELECT * FROM (SELECT page_id, size, weight, tag, min(ord) AS o FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY page_id, size, weight ORDER BY o, tag) <= 6) GROUP BY ALL)
+SELECT lo.page_id, lo.size, lo.weight, letter_spacing, text_transform, tags, left(sample, {typography.SAMPLE}) AS sample FROM lo JOIN tg USING (page_id, size, weight) JOIN {_MODE("letter_spacing")} USING (page_id, size, weight) JOIN {_MODE("text_transform")} USING (page_id, size, weight)""",
     "type_scale": f"""{_E}, {_TEXTS}, g AS (SELECT page_id, size, weight, sum(chars) AS chars, count(*) AS n, {", ".join(f"count(*) FILTER (tag = '{h}') AS {h}" for h in typography.HEADINGS)} FROM t GROUP BY ALL),
 p AS (SELECT *, chars >= {typography.PROSE} OR max(chars) OVER (PARTITION BY page_id) < {typography.PROSE} AS prose FROM g),
 b AS (SELECT *, CASE WHEN prose AND row_number() OVER (PARTITION BY page_id, prose ORDER BY chars DESC, {_SCALE}) = 1 THEN 'body' END AS name FROM p),

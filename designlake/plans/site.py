@@ -98,6 +98,11 @@ def font_families(spark, sf_dir):
     return typography.families(texts, heads, network, asked, ["page_id"])
 
 
+def font_imports(spark, sf_dir):
+    """How to load each family of a page."""
+    return font_families(spark, sf_dir).select("page_id", "rank", "family", "source", typography.import_code().alias("code"))
+
+
 def _design(spark, sf_dir):
     """The tables of each page's design that emitters write."""
     of = lambda q, *a: written(q(spark, sf_dir), "design")
@@ -120,6 +125,12 @@ def tailwind_theme(spark, sf_dir):
     return emit.tailwind_theme(_design(spark, sf_dir), ["page_id"])
 
 
+def tailwind_config(spark, sf_dir):
+    parts = _design(spark, sf_dir)
+    parts["scale"] = parts["scale"].join(design.type_details(spark, sf_dir).select("page_id", "size", "weight", "letter_spacing"), ["page_id", "size", "weight"], "left")
+    return emit.tailwind_config(parts, ["page_id"])
+
+
 def design_tokens_json(spark, sf_dir):
     return emit.tokens_json(_design(spark, sf_dir), ["page_id"])
 
@@ -128,7 +139,7 @@ def compact_brief(spark, sf_dir):
     return emit.brief(design.type_scale(spark, sf_dir), design.spacing_grid(spark, sf_dir), design.container_width(spark, sf_dir), ["page_id"])
 
 
-QUERIES = [robots_verdict, harvest_import, request_states, pending_requests, job_events_kept, job_expiry, color_map, extraction_stats, font_families, tokens_css, tailwind_theme, design_tokens_json, compact_brief]
+QUERIES = [robots_verdict, harvest_import, request_states, pending_requests, job_events_kept, job_expiry, color_map, extraction_stats, font_families, font_imports, tokens_css, tailwind_theme, tailwind_config, design_tokens_json, compact_brief]
 
 
 def queries() -> dict:
@@ -191,6 +202,19 @@ SELECT queue, request, created_at, updated_at, CAST(row_number() OVER (PARTITION
 cc AS (SELECT page_id, count(*) AS colors FROM {_SUB("color_clusters")} WHERE rank <= {palette.MOST_TOKENS} GROUP BY page_id)
 SELECT page_id, nodes, coalesce(colors, 0) AS colors, coalesce(sections, 0) AS sections, coalesce(components, 0) AS components, coalesce(unreadable, 0) AS unreadable FROM nd LEFT JOIN sc USING (page_id) LEFT JOIN cc USING (page_id) LEFT JOIN (SELECT page_id, unreadable FROM ({sheets.SQL["sheet_statistics"]})) USING (page_id)""",
     "font_families": f"{_FAMILIES} SELECT page_id, rank, stack, family, usage, source, weights, urls, area FROM fam",
+    "font_imports": f"""{_FAMILIES}, fu AS (SELECT *, '@import url(''https://fonts.googleapis.com/css2?family=' || regexp_replace(family, '\\s+', '+', 'g') || ':wght@' || weights || '&display=swap'');' AS href, regexp_replace(family, '[^A-Za-z0-9]', '_', 'g') AS name, list_filter(string_split(urls, chr(10)), lambda u: u <> '') AS files FROM fam)
+SELECT page_id, rank, family, source, CASE source WHEN 'google' THEN concat_ws(chr(10), '/* CSS */', href, '', '// next/font (preferred in Next.js — self-hosts and avoids a round trip)', 'import {{ ' || name || ' }} from ''next/font/google'';', 'const font = ' || name || '({{', '  subsets: [''latin''],', '  weight: [''' || replace(weights, ';', ''', ''') || '''],', '  display: ''swap'',', '}});')
+  WHEN 'self-hosted' THEN array_to_string(list_concat(list_concat(['/* Self-hosted. Copy the files, then declare them: */'], list_transform(files[:4], lambda u: '@font-face {{ font-family: ''' || family || '''; src: url(''' || u || ''') format(''woff2''); font-display: swap; }}')), list_concat(['', '/* Original sources:'], list_concat(list_transform(files[:8], lambda u: ' * ' || u), [' */']))), chr(10))
+  WHEN 'adobe' THEN '/* Adobe Fonts (Typekit). Add your own kit id: */' || chr(10) || '@import url(''https://use.typekit.net/YOUR_KIT.css'');' WHEN 'system' THEN '/* System stack — no import needed. */' || chr(10) || 'font-family: ' || stack || ';'
+  ELSE concat_ws(chr(10), '/* "' || family || '" is requested by the stack, but no font file was served', ' * with the page. It either resolved from a local install or fell back to', ' * the next family. To use it deliberately, load it explicitly: */', href, '', 'font-family: ' || stack || ';') END AS code FROM fu""",
+    "tailwind_config": f"""{_DESIGN}, td AS MATERIALIZED {_SUB("type_details")}, sz AS (SELECT sc.*, td.letter_spacing FROM sc LEFT JOIN td USING (page_id, size, weight)),
+fl AS (SELECT *, min(rank) OVER (PARTITION BY page_id, usage) AS o FROM fam QUALIFY row_number() OVER (PARTITION BY page_id, usage ORDER BY rank DESC) = 1),
+pt AS ({_OBJECT("colors", "cm", "name", "hex", _BYCOLOUR)} UNION ALL {_OBJECT("borderRadius", "rd", "token", "radius", "token")} UNION ALL {_OBJECT("boxShadow", "sw", "token", "shadow", "token")} UNION ALL {_OBJECT("screens", "bk", "'bp' || width", "width || 'px'", "width")} UNION ALL {_OBJECT("maxWidth", "(SELECT * FROM ct WHERE max_width IS NOT NULL)", "'container'", "max_width || 'px'", "max_width")}
+  UNION ALL {_OBJECT("transitionDuration", "(SELECT * FROM mo WHERE kind = 'duration' AND rank = 1)", "'DEFAULT'", "value", "rank")} UNION ALL {_OBJECT("transitionTimingFunction", "(SELECT * FROM mo WHERE kind = 'easing' AND rank = 1)", "'DEFAULT'", "value", "rank")}
+  UNION ALL {_OBJECT("fontFamily", "fl", "usage", "list_transform(string_split(stack, ','), lambda x: trim(trim(x), chr(34) || chr(39)))", "o")}
+  UNION ALL SELECT page_id, 'fontSize', '{{' || string_agg({_J("regexp_replace(name, '^text-', '')")} || ':["' || size || 'px",{{"lineHeight":"' || line_height || '","letterSpacing":' || {_J("CASE WHEN letter_spacing = 'normal' THEN '0' ELSE letter_spacing END")} || ',"fontWeight":"' || weight || '"}}]', ',' ORDER BY size DESC, weight DESC) || '}}' FROM sz GROUP BY page_id),
+pg AS (SELECT page_id, map_from_entries(list(row(k, json))) AS m FROM pt GROUP BY page_id)
+SELECT page_id, '{emit.CONFIG_HEAD}' || '{{' || concat_ws(',', {", ".join(f"'{chr(34)}{k}{chr(34)}:' || coalesce(m['{k}'], '{{}}')" for k in ("colors", "fontFamily", "fontSize", "borderRadius", "boxShadow", "screens", "maxWidth", "transitionDuration", "transitionTimingFunction"))}) || '}}' || '{emit.CONFIG_TAIL}' AS config FROM pg""",
     "tokens_css": f"""{_DESIGN}, cl AS ({_LINES([
         ("SELECT DISTINCT page_id FROM cm", "0", "'  /* Color */'"), ("cm", _BYCOLOUR, "'  --color-' || name || ': ' || hex || ';'"), ("SELECT DISTINCT page_id FROM fam", "0", "chr(10) || '  /* Typography */'"), ("fam", "rank", "'  --font-' || usage || ': ' || stack || ';'"),
         ("sc", _BYSIZE, "'  --text-' || name || ': ' || size || 'px;' || chr(10) || '  --leading-' || name || ': ' || line_height || ';'"), ("SELECT DISTINCT page_id FROM sp", "0", "chr(10) || '  /* Spacing */'"), ("sp", "px", "'  --space-' || px || ': ' || px || 'px;'"),
