@@ -114,3 +114,20 @@ def brief(pages: DataFrame, d: DataFrame) -> DataFrame:
     detail = F.when(F.size("s") > 0, of("text", "\n\n")).otherwise(none)
     parts = [F.concat(F.lit("# "), name), F.lit("## 2. Page structure"), structure, F.lit("## 3. Sections"), detail]
     return pages.select("page_id", "url", "title").join(s, "page_id", "left").select("page_id", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("brief"))
+
+
+def compact(pages: DataFrame, d: DataFrame) -> DataFrame:
+    """page_id, brief of each page (page_id, url, title): one line a section with layout and padding, and below it what it
+    says, its buttons and its repeat."""
+    quoted = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f'  - {name}: "'), c, F.lit('"')))
+    columns = F.when(F.col("layout.columns") > 1, F.concat(F.lit(", "), F.col("layout.columns").cast("string"), F.lit(" cols"))).otherwise("")
+    pad = F.concat(F.lit("pad "), F.col("layout.padding_top").cast("string"), F.lit("/"), F.col("layout.padding_bottom").cast("string"))
+    name = F.concat(F.lit("- **"), F.col("ord").cast("string"), F.lit(". "), label(F.col("kind")), F.lit("** (`"), "kind", F.lit("`)"))
+    buttons = F.array_join(F.transform("ctas", lambda x: F.concat(F.lit('"'), x["label"], F.lit('" ('), x["variant"], F.lit(")"))), ", ")
+    line = F.concat_ws(
+        "\n", F.concat_ws(" · ", name, F.concat("layout.display", columns), pad), quoted("Heading", "heading"), quoted("Sub", "subheading"), F.when(F.size("ctas") > 0, F.concat(F.lit("  - Buttons: "), buttons)),
+        F.when(F.size("items") > 0, F.concat(F.lit("  - "), F.size("items").cast("string"), F.lit("× `<"), F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in NAMES.items()], F.lit("Item")), F.lit(" />`"))),
+    )
+    s = _by_page(d, line, "\n")
+    head = F.concat(F.lit("# "), F.coalesce("title", "url", F.lit("")), F.lit("\n\nSource: "), F.coalesce("url", F.lit("")), F.lit(" · "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" sections\n\n## Sections\n"))
+    return pages.select("page_id", "url", "title").join(s, "page_id", "left").select("page_id", F.concat_ws("\n", head, "v").alias("brief"))

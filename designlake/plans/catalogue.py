@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import challenge, color, url
@@ -202,21 +202,35 @@ def repeat_items(spark, sf_dir):
     return layout.items(n, _repeated(n, _found(n)))
 
 
-#: Parts of a page's head: pattern and most characters.
+_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_VALUE = lambda name: (rf'(?i)\s{name}\s*=\s*"([^"]*)"', rf"(?i)\s{name}\s*=\s*'([^']*)'")
+_WITH = lambda tag, name, value: rf"""(?i)<{tag}\s(?:{_ATTRS}\s)?{name}\s*=\s*["']?{value}(?:["'\s/]{_ATTRS})?>"""
+#: Parts of a page's head: the first tag that has them, the attribute (None: the text inside) and most characters. Attributes
+#: come in any order and with either kind of quotes.
 META = {
-    "title": (r"(?is)<title[^>]*>(.*?)</title>", 200),
-    "lang": (r'(?i)<html[^>]* lang="([^"]*)"', 100),
-    "description": (r'(?i)<meta[^>]* name="description"[^>]* content="([^"]*)"', 400),
-    "theme_color": (r'(?i)<meta[^>]* name="theme-color"[^>]* content="([^"]*)"', 100),
-    "og_image": (r'(?i)<meta[^>]* property="og:image"[^>]* content="([^"]*)"', 2000),
-    "generator": (r'(?i)<meta[^>]* name="generator"[^>]* content="([^"]*)"', 200),
-    "favicon": (r'(?i)<link[^>]* rel="(?:shortcut )?icon"[^>]* href="([^"]*)"', 2000),
+    "title": (r"(?is)<title[^>]*>(.*?)</title>", None, 200),
+    "lang": (rf"(?i)<html\s{_ATTRS}>", "lang", 100),
+    "description": (_WITH("meta", "name", "description"), "content", 400),
+    "theme_color": (_WITH("meta", "name", "theme-color"), "content", 100),
+    "og_image": (_WITH("meta", "property", "og:image"), "content", 2000),
+    "generator": (_WITH("meta", "name", "generator"), "content", 200),
+    "favicon": (_WITH("link", "rel", "(?:shortcut )?icon"), "href", 2000),
 }
 
 
+def head_part(html: Column, name: str) -> Column:
+    """One of META's parts of a page; null where the page, the tag or the attribute is missing or blank."""
+    pattern, attribute, most = META[name]
+    if attribute is None:
+        value = F.regexp_extract(html, pattern, 1)
+    else:
+        tag = F.regexp_extract(html, pattern, 0)
+        value = F.coalesce(*[F.nullif(F.regexp_extract(tag, p, 1), F.lit("")) for p in _VALUE(attribute)])
+    return F.nullif(F.substring(F.trim(F.regexp_replace(value, r"\s+", " ")), 1, most), F.lit(""))
+
+
 def meta_extract(spark, sf_dir):
-    one = lambda p, n: F.nullif(F.substring(F.trim(F.regexp_replace(F.regexp_extract("html", p, 1), r"\s+", " ")), 1, n), F.lit(""))
-    return _t(spark, sf_dir, "pages").select("page_id", *[one(p, n).alias(k) for k, (p, n) in META.items()])
+    return _t(spark, sf_dir, "pages").select("page_id", *[head_part(F.col("html"), k).alias(k) for k in META])
 
 
 def text_lines(spark, sf_dir):
@@ -345,6 +359,9 @@ _TEXT = rf"trim(regexp_replace(regexp_replace(html, '{challenge.UNSEEN}', ' ', '
 _PHRASE = " ".join(f"WHEN contains(lower(t), '{p}') THEN '{p}'" for p in challenge.PHRASES)
 _VENDOR = " ".join(f"WHEN regexp_matches(lower(t || ' ' || url), '{r}') THEN '{v}'" for r, v in challenge.VENDORS)
 
+_LIT = lambda p: "'" + p.replace("'", "''") + "'"
+_HEAD = lambda p, a: f"regexp_extract(html, {_LIT(p)}, 1)" if a is None else "coalesce(" + ", ".join(f"nullif(regexp_extract(regexp_extract(html, {_LIT(p)}, 0), {_LIT(v)}, 1), '')" for v in _VALUE(a)) + ")"
+
 SQL = {
     "dom_nodes": f"WITH {_NODES} SELECT page_id, i, tag, parent, depth, n_descendants, own_text FROM full_",
     "tree_descendants": f"WITH {_NODES} SELECT page_id, i, tag, depth, n_descendants FROM nd",
@@ -425,7 +442,7 @@ x AS (SELECT *, {_linear("r")} AS lr, {_linear("g")} AS lg, {_linear("b")} AS lb
 m AS (SELECT *, {", ".join(f"cbrt({r[0]} * lr + {r[1]} * lg + {r[2]} * lb) AS m{k}" for k, r in enumerate(color.TO_LMS))} FROM x),
 o AS (SELECT *, {", ".join(f"CAST({r[0]} AS DOUBLE) * m0 + CAST({r[1]} AS DOUBLE) * m1 + CAST({r[2]} AS DOUBLE) * m2 AS o{k}" for k, r in enumerate(color.TO_LAB))} FROM m)
 SELECT p_partkey, printf('#%02x%02x%02x', r, g, b) AS hex, round(o0, 4) AS lightness, round(sqrt(o1 * o1 + o2 * o2), 4) AS chroma FROM o""",
-    "meta_extract": "SELECT page_id, " + ", ".join(rf"nullif(substr(trim(regexp_replace(regexp_extract(html, '{p}', 1), '\s+', ' ', 'g')), 1, {n}), '') AS {k}" for k, (p, n) in META.items()) + " FROM pages",
+    "meta_extract": "SELECT page_id, " + ", ".join(rf"nullif(substr(trim(regexp_replace({_HEAD(p, a)}, '\s+', ' ', 'g')), 1, {n}), '') AS {k}" for k, (p, a, n) in META.items()) + " FROM pages",
     "text_lines": "WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT doc_id, trim(line) AS line, min(pos) AS first_at, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(line)",
     "job_latest_state": LATEST,
     "job_ttl_sweep": f'WITH j AS ({LATEST}) SELECT * FROM j WHERE j."at" < (SELECT max(k."at") FROM j AS k) - INTERVAL 30 MINUTE',

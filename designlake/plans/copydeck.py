@@ -130,7 +130,12 @@ def page_brief(spark, sf_dir):
     return briefs.brief(_told(spark, sf_dir), _specified(spark, sf_dir))
 
 
-QUERIES = [image_manifest, icon_library, google_fonts, asset_manifest, responsive_match, viewport_sets, section_copy, section_notes, component_names, page_html, spec_json, page_brief]
+def compact_sections(spark, sf_dir):
+    """The sections of each page in a few lines."""
+    return briefs.compact(_told(spark, sf_dir), _specified(spark, sf_dir))
+
+
+QUERIES = [image_manifest, icon_library, google_fonts, asset_manifest, responsive_match, viewport_sets, section_copy, section_notes, component_names, page_html, spec_json, page_brief, compact_sections]
 
 
 def queries() -> dict:
@@ -223,3 +228,9 @@ tx AS (SELECT page_id, i, ord, '| ' || ord || ' | ' || {_LABEL} || ' | ' || {_CE
   CASE WHEN len(notes) > 0 THEN '**Notes**' || {_NL} || '- ' || array_to_string(notes, chr(10) || '- ') END) AS section FROM tl),
 pt AS (SELECT page_id, string_agg(line, chr(10) ORDER BY ord, i) AS lines, string_agg(section, {_NL} ORDER BY ord, i) AS detail FROM tx GROUP BY page_id)
 SELECT page_id, '# ' || coalesce(title, url, '') || {_NL} || '## 2. Page structure' || {_NL} || coalesce('| # | Section | Heading | Height |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || lines, '_None detected._') || {_NL} || '## 3. Sections' || {_NL} || coalesce(detail, '_None detected._') || chr(10) AS brief FROM mt LEFT JOIN pt USING (page_id)"""
+_SAID = lambda name, c: f"'  - {name}: \"' || nullif({c}, '') || '\"'"
+SQL["compact_sections"] = f"""WITH {_SPECIFIED},
+cl AS (SELECT page_id, i, ord, concat_ws(chr(10), concat_ws(' · ', '- **' || ord || '. ' || {_LABEL} || '** (`' || kind || '`)', layout.display || CASE WHEN layout.columns > 1 THEN ', ' || layout.columns || ' cols' ELSE '' END, 'pad ' || layout.padding_top || '/' || layout.padding_bottom), {_SAID("Heading", "heading")}, {_SAID("Sub", "subheading")},
+  CASE WHEN len(ctas) > 0 THEN '  - Buttons: ' || array_to_string(list_transform(ctas, lambda c: '"' || c.label || '" (' || c.variant || ')'), ', ') END, CASE WHEN len(items) > 0 THEN '  - ' || len(items) || '× `<' || CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in assets.NAMES.items())} ELSE 'Item' END || ' />`' END) AS line FROM sd),
+cg AS (SELECT page_id, count(*) AS n, string_agg(line, chr(10) ORDER BY ord, i) AS v FROM cl GROUP BY page_id)
+SELECT page_id, concat_ws(chr(10), '# ' || coalesce(title, url, '') || {_NL} || 'Source: ' || coalesce(url, '') || ' · ' || coalesce(n, 0) || ' sections' || {_NL} || '## Sections' || chr(10), v) AS brief FROM mt LEFT JOIN cg USING (page_id)"""

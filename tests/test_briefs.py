@@ -116,3 +116,11 @@ def test_empty_tables(spark):
     *parts, pages = (t.where("false") for t in tables(spark))
     d = briefs.described(*parts)
     assert d.count() == 0 and briefs.spec(pages, d).count() == 0 and briefs.brief(pages, d).count() == 0
+
+
+def test_compact(spark):
+    *parts, pages = tables(spark)
+    got = {r.page_id: r.brief for r in briefs.compact(pages, briefs.described(*parts)).collect()}
+    assert got[2] == "# https://b.example/\n\nSource: https://b.example/ · 0 sections\n\n## Sections\n"
+    grid = '- **2. Feature Grid** (`feature-grid`) · grid, 3 cols · pad 8/10\n  - Heading: "All "in" | one"\n  - Sub: "First line"\n  - Buttons: "Go" (primary), "Stay | here" (link)\n  - 2× `<' + briefs.NAMES.get("feature-grid", "Item") + " />`"
+    assert got[1] == "# Title\n\nSource: https://a.example/ · 3 sections\n\n## Sections\n\n- **1. Nav** (`nav`) · block · pad 0/0\n" + grid + "\n- **10. Cta** (`cta`)"
