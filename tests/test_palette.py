@@ -165,3 +165,30 @@ def test_dark_roles(spark):
     dark = spark.createDataFrame([(1, "background", "#000"), (1, "accent", "#f00"), (2, "background", "#fff"), (2, "border", "#111"), (3, "background", "#000")], "page int, role string, hex string")
     got = sorted(map(tuple, palette.dark_roles(light, dark, ["page"]).collect()), key=repr)
     assert got == sorted([(1, "background", "#fff", "#000"), (1, "border", "#eee", None), (1, "accent", None, "#f00"), (3, "background", None, "#000"), (3, "foreground", "#000", None)], key=repr)
+
+
+def test_groups_go_on_over_batches(spark):
+    """Clusters and roles of groups larger than an Arrow batch, many in one, and one without a key."""
+    rows = [(g, "color", f"c{g}-{i}", False, 1, 1.0, float(i % 7), i, f"#{i % 5:06x}", 1.0, 0.2 * (i % 5), 0.0, 0.0) for g in (1, None, 2, 3) for i in range(25 if g == 2 else 3)]
+    seen = spark.createDataFrame(rows, "page long, property string, raw string, on_interactive boolean, n long, area double, largest double, first long, hex string, alpha double, l double, c double, h double")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    size = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        found = palette.palette(seen, ["page"])
+        got = defaultdict(list)
+        for r in found.orderBy("page", "rank").collect():
+            got[r.page].append((r.hex, r.n))
+        given = {(r.page, r.role): r.hex for r in palette.roles(found, ["page"]).collect()}
+    finally:
+        spark.conf.set(key, size)
+    # the largest use of each colour: 6 of its numbers come first
+    assert got == {None: [("#000002", 1), ("#000001", 1), ("#000000", 1)], 1: [("#000002", 1), ("#000001", 1), ("#000000", 1)], 3: [("#000002", 1), ("#000001", 1), ("#000000", 1)], 2: [(f"#{i % 5:06x}", 5) for i in (6, 13, 20, 12, 19)]}
+    assert given == {(g, "foreground"): got[g][0][0] for g in (None, 1, 2, 3)}
+
+
+def test_no_table_is_made_for_each_group(spark):
+    """A Python call for each page was what made palettes slow; batches of whole groups are solved instead."""
+    seen = spark.createDataFrame([(1, "color", "#fff", False, 1, 1.0, 1.0, 1, "#ffffff", 1.0, 1.0, 0.0, 0.0)], "page long, property string, raw string, on_interactive boolean, n long, area double, largest double, first long, hex string, alpha double, l double, c double, h double")
+    for d in (palette.palette(seen, ["page"]), palette.roles(palette.palette(seen, ["page"]), ["page"])):
+        assert "FlatMapGroups" not in d._jdf.queryExecution().toString()
