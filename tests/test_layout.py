@@ -251,3 +251,15 @@ def test_kinds_and_copy(spark, pages):
         if (p, i) in marks and not chrome:
             told.append(f"{marks[p, i][0]} repeating items in {marks[p, i][2]} column(s) — emit one {assets.NAMES.get(kind, 'Item')} and map over the data.")
         assert notes[p, i] == "\n".join(told)
+
+
+def test_pages_are_dealt_by_their_markup(spark):
+    """More pages make more tasks, not larger ones; each page stays whole."""
+    pages = spark.createDataFrame([(i, "<p>" + "x" * 97) for i in range(400)] + [(900, None)], "page_id long, html string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tree.dealt(pages).rdd.getNumPartitions() == least and tree.dealt(pages.limit(0)).rdd.getNumPartitions() == least
+    many = tree.dealt(pages, 1000)
+    assert many.rdd.getNumPartitions() == 40 and many.count() == 401
+    chars = many.rdd.mapPartitions(lambda rows: [sum(len(r.html or "") for r in rows)]).collect()
+    assert max(chars) < 3000
+    assert f"hashpartitioning(page_id, {least})" in " ".join(re.sub(r"#\d+L?", "", tree.nodes(pages)._jdf.queryExecution().toString()).split())
