@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from designlake.operators import effects, stylesheets, typography
+from designlake.operators import assets, effects, stylesheets, typography
 
 
 def plan(df):
@@ -37,3 +37,11 @@ def test_letter_spacings_are_those_of_the_details(spark):
     short = typography.letter_spacings(d, ["page_id"])
     assert sorted(map(tuple, short.select(*key).collect())) == sorted(map(tuple, typography.details(d, ["page_id"]).select(*key).collect()))
     assert plan(short).count("SortMergeJoin") + plan(short).count("BroadcastHashJoin") == 0
+
+
+def test_drawings_are_dealt_by_their_number(spark):
+    kinds = {"view_box": "'0 0 24 24'", "cls": "CASE WHEN id % 2 = 0 THEN 'Feather' ELSE '' END", "fill": "'none'", "stroke": "'none'", "width": "id", "height": "id", "paths": "id", "d": "'M'"}
+    d = spark.range(200).select((F.col("id") % 50).alias("page_id"), F.col("id").alias("ord"), *[F.expr(v).alias(k) for k, v in kinds.items()])
+    few, many = assets.icons(d, ["page_id"], rows=1000), assets.icons(d, ["page_id"], rows=2)
+    assert re.search(r"hashpartitioning\(page_id#\d+L?, 100\)", plan(many))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() == 50
