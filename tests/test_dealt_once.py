@@ -45,3 +45,14 @@ def test_drawings_are_dealt_by_their_number(spark):
     few, many = assets.icons(d, ["page_id"], rows=1000), assets.icons(d, ["page_id"], rows=2)
     assert re.search(r"hashpartitioning\(page_id#\d+L?, 100\)", plan(many))
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() == 50
+
+
+def test_page_elements_are_read_from_markup_once(spark, tmp_path):
+    """Subtree sizes and texts came from further passes over the markup, each with all windows."""
+    from designlake.operators import tree
+
+    path = str(tmp_path / "pages")
+    spark.createDataFrame([(1, "<body><p>a<div>b<p>c</div>d<a>x</a></p></div>tail"), (2, "<ul><li>1<li>2</ul>")], "page_id long, html string").write.parquet(path)
+    n = tree.nodes(spark.read.parquet(path))
+    assert n._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert [(r.page_id, r.i, r.tag, r.n_descendants, r.own_text) for r in n.orderBy("page_id", "i").collect()] == [(1, 0, "body", 4, "d"), (1, 1, "p", 0, "a"), (1, 2, "div", 1, "b"), (1, 3, "p", 0, "c"), (1, 4, "a", 0, "x"), (2, 0, "ul", 2, ""), (2, 1, "li", 1, "1"), (2, 2, "li", 0, "2")]
