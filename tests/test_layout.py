@@ -263,3 +263,17 @@ def test_pages_are_dealt_by_their_markup(spark):
     chars = many.rdd.mapPartitions(lambda rows: [sum(len(r.html or "") for r in rows)]).collect()
     assert max(chars) < 3000
     assert f"hashpartitioning(page_id, {least})" in " ".join(re.sub(r"#\d+L?", "", tree.nodes(pages)._jdf.queryExecution().toString()).split())
+
+
+def test_own_text_of_dom_nodes_is_whole(spark, tmp_path):
+    """It ended after 400 characters."""
+    import duckdb
+
+    from designlake.plans import catalogue
+
+    said = " ".join(f"word{k}" for k in range(300))
+    spark.createDataFrame([(1, f"<div>{said}<b>x</b>end</div>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [(r.tag, r.own_text) for r in catalogue.dom_nodes(spark, str(tmp_path)).orderBy("i").collect()] == [("div", f"{said}end"), ("b", "x")]
+    assert [r.own_text for r in catalogue._nodes(spark, str(tmp_path)).orderBy("i").collect()] == [said[:400], "x"]
+    sql = lambda q: sorted(x[-1] for x in duckdb.sql(q.replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall())
+    assert sql(catalogue.SQL["dom_nodes"]) == sorted([f"{said}end", "x"])
