@@ -277,3 +277,19 @@ def test_own_text_of_dom_nodes_is_whole(spark, tmp_path):
     assert [r.own_text for r in catalogue._nodes(spark, str(tmp_path)).orderBy("i").collect()] == [said[:400], "x"]
     sql = lambda q: sorted(x[-1] for x in duckdb.sql(q.replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall())
     assert sql(catalogue.SQL["dom_nodes"]) == sorted([f"{said}end", "x"])
+
+
+def test_components_are_named_by_all_items_of_a_repeat(spark, tmp_path):
+    """Images were looked for in the first 12 items, so a longer repeat never had them."""
+    import duckdb
+
+    from designlake.plans import catalogue, copydeck
+
+    items = lambda n, less=0: "<section>" + "<div><img src='a.png'></div>".replace("'", '"') * (n - less) + "<div><img></div>" * less + "</section>"
+    spark.createDataFrame([(1, f"<body>{items(14)}{items(12)}{items(20, 1)}{items(20, 2)}</body>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [r.component for r in copydeck.component_names(spark, str(tmp_path)).orderBy("i").collect()]
+    assert got == ["LogoCloud", "LogoCloud2", "LogoCloud3", "Gallery"]
+    sql = duckdb.sql(copydeck.SQL["component_names"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert [x[2] for x in sorted(sql)] == got
+    # the query of kinds keeps its rule, which looks at the first items
+    assert [r.kind for r in catalogue.section_classify(spark, str(tmp_path)).orderBy("i").collect()] == ["gallery", "logo-cloud", "gallery", "gallery"]
