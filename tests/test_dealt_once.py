@@ -56,3 +56,22 @@ def test_page_elements_are_read_from_markup_once(spark, tmp_path):
     n = tree.nodes(spark.read.parquet(path))
     assert n._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert [(r.page_id, r.i, r.tag, r.n_descendants, r.own_text) for r in n.orderBy("page_id", "i").collect()] == [(1, 0, "body", 4, "d"), (1, 1, "p", 0, "a"), (1, 2, "div", 1, "b"), (1, 3, "p", 0, "c"), (1, 4, "a", 0, "x"), (2, 0, "ul", 2, ""), (2, 1, "li", 1, "1"), (2, 2, "li", 0, "2")]
+
+
+def test_emitters_compute_only_the_tables_they_write(spark, monkeypatch):
+    """Dark palettes and sheets were computed for files that do not have them, and a media query for each element with it."""
+    from designlake.plans import site
+
+    asked = []
+    monkeypatch.setattr(site, "_design", lambda spark, sf_dir, *names: asked.append(set(names)) or {})
+    for q in (site.tailwind_theme, site.tokens_css):
+        try:
+            q(spark, "")
+        except KeyError:
+            pass
+    assert asked[0] == {"colours", "families", "scale", "spacing", "radii", "shadows", "breakpoints"}
+    assert not asked[1] & {"breakpoints", "variables", "keyframes", "grid", "borders"}
+    d = spark.createDataFrame([(1, "(min-width: 40em)")] * 3 + [(1, "(min-width: 640px)"), (2, None)], "page_id long, media string")
+    got = effects.breakpoints(d, ["page_id"], "media")
+    assert "media_widths" not in plan(got) and plan(got).rstrip().split("HashAggregate")[-1].count("regexp") == 0
+    assert [tuple(r) for r in got.collect()] == [(1, 640)]
